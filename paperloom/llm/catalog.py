@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_shards
+from . import perspectives, piece_codec, simhash, source_mix, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,25 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_digests(manifest)
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sizes(_table(spark, sf_dir, "documents"))
+
+
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_shards": op1_token_shards}
+    return {f.__name__: f for f in (op1_token_shards, op3_perspectives, op5_simhash, op7_source_mix, op8_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_perspectives": perspectives.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}

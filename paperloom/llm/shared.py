@@ -4,7 +4,7 @@ store that pyarrow can open, and vectorised word splitting and hashing over Arro
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,3 +165,42 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: in
         out[i:j] = span_hashes(_BYTE[raw[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base, _BASE)
         i = j
     return out
+
+
+class UnitCache:
+    """Ids of text units: Arrow numbers the distinct units of a batch, and only units that aren't known are encoded."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 800_000):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _rows(self, units: list[str]) -> np.ndarray:
+        if len(self.known) > self.limit:
+            self.clear()
+        rows = list(map(self.known.get, units))
+        new = [u for u, r in zip(units, rows, strict=True) if r is None]
+        if new:
+            first, ids = len(self.known), self.encode(new)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, *ids])
+            self.ends = np.concatenate([self.ends, np.cumsum([len(i) for i in ids]) + self.ends[-1]])
+            fresh = iter(range(first, first + len(new)))
+            rows = [next(fresh) if r is None else r for r in rows]
+        return np.array(rows, np.int64)
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents at offsets, whose units begin at starts, one after the other; and each document's count."""
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        edges = np.append(starts, len(raw)).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(raw)).dictionary_encode()
+        rows = self._rows(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        flat, ends = self.flat, self.ends
+        length = ends[rows + 1] - ends[rows]
+        total = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.repeat(ends[rows] - total[:-1], length) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])

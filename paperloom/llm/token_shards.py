@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import aliased, read_file, runs, scratch_dir, shuffle_partitions, staged, text_bytes, write_file
+from .shared import UnitCache, aliased, read_file, runs, scratch_dir, shuffle_partitions, staged, text_bytes, write_file
 from .wavelet import WaveletMatrix, packed, unpacked
 
 SHARD_TOKENS = 1 << 21
 BATCH_BYTES = 1 << 24
-CACHE_UNITS = 800_000
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
@@ -49,9 +48,7 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.length = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
-        self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.ends = [np.zeros(1, np.int64)]
+        self.cache = UnitCache(self._ids)
 
     def _ids(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units, many in one call: those that are one blank or newline and one word stand side by side as in a text."""
@@ -67,45 +64,16 @@ class UnitEncoder:
         rest = iter(together)
         return [next(rest) if j else next(alone) for j in joint]
 
-    def _rows(self, units: list[str]) -> np.ndarray:
-        """Rows of units in the cache, after the missing ones are encoded."""
-        if len(self.known) > CACHE_UNITS:
-            self.known, self.flat, self.ends = {}, [], [np.zeros(1, np.int64)]
-        known = self.known
-        rows = list(map(known.get, units))
-        new = [u for u, r in zip(units, rows, strict=True) if r is None]
-        if new:
-            first, ids = len(known), self._ids(new)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.flat.append(np.concatenate(ids) if ids else np.empty(0, np.uint32))
-            self.ends.append(np.cumsum([len(i) for i in ids]) + self.ends[-1][-1])
-            fresh = iter(range(first, first + len(new)))
-            rows = [next(fresh) if r is None else r for r in rows]
-            if len(self.flat) > 64:
-                self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-        return np.array(rows, np.int64)
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, and each text's count."""
         raw, offsets = text_bytes(column)
-        n = len(offsets) - 1
         whole = self._uncertain(raw, offsets, column)
         cut = (raw == 0x20) | (raw == 0x0A)
         cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
         for k in np.flatnonzero(whole):
             cut[offsets[k] : offsets[k + 1]] = False
             cut[offsets[k]] = True
-        starts = np.flatnonzero(cut)
-        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
-        if not len(starts):
-            return np.empty(0, np.uint32), np.zeros(n, np.int64)
-        rows = self._rows(units.dictionary.to_pylist())[units.indices.to_numpy()]
-        self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-        flat, ends = self.flat[0], self.ends[0]
-        length = ends[rows + 1] - ends[rows]
-        total = np.concatenate(([0], np.cumsum(length)))
-        ids = flat[np.repeat(ends[rows] - total[:-1], length) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+        return self.cache.ids(raw, offsets, np.flatnonzero(cut))
 
     def _uncertain(self, raw: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
         """Texts that aren't cut: white space may stand before a cut and after it."""
