@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,12 @@ class UnitEncoder:
         return out
 
 
+@lru_cache(1)
+def unit_encoder(path: str) -> UnitEncoder:
+    """One encoder for all tasks of a worker process, so that its cache lasts."""
+    return UnitEncoder(path)
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _WIDE = np.zeros(256, bool)  # first bytes of white space beyond ASCII
@@ -136,7 +143,7 @@ class ShardFile:
 
 def _writer(folder: str, tokenizer: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = UnitEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = unit_encoder(tokenizer), TaskContext.get().partitionId(), 0
         docs, lengths, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
