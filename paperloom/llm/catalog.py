@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import perspectives, piece_codec, simhash, source_mix, token_shards
+from . import dimension_scan, kdtree, perspectives, piece_codec, simhash, source_mix, token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.exact_search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sizes(_table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,13 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.search(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_perspectives, op5_simhash, op7_source_mix, op8_piece_codec)}
+    return {f.__name__: f for f in (op1_token_shards, op3_perspectives, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_perspectives": perspectives.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
+    return {"op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}

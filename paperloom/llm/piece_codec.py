@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -96,9 +96,15 @@ class PieceCodec:
         return ids & ~_WRONG, counts, np.diff(wrong[ends]) == 0
 
 
+@lru_cache(1)
+def piece_codec(model: str) -> PieceCodec:
+    """One codec for all tasks of a worker process, so that its cache lasts."""
+    return PieceCodec(model)
+
+
 def _coded(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, ids with begin and end, decoded text, checked."""
-    codec = PieceCodec(model)
+    codec = piece_codec(model)
     sp = codec.library
     bos, eos = sp.bos_id(), sp.eos_id()
     for batch in batches:
