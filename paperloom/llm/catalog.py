@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimension_scan, kdtree, perspectives, piece_codec, simhash, source_mix, token_shards
+from . import dimension_scan, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_digests(manifest)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,8 @@ def op9_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_perspectives, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan)}
+    return {f.__name__: f for f in (op1_token_shards, op2_license_scan, op3_perspectives, op4_toxicity, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
+    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}

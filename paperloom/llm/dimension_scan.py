@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .kdtree import best_of, usable
 from .shared import aliased, read_file, scratch_dir, shuffle_partitions, staged, write_file
 
-SAMPLE, MAX_LISTS, PROBED, LEAST_PROBED, EPSILON, COLUMNS, CHUNK, QUERY_BLOCK = 16384, 1024, 0.35, 12, 2.1, 16, 4096, 256
+SAMPLE, MAX_LISTS, PROBED, LEAST_PROBED, EPSILON, COLUMNS, CHUNK, QUERY_BLOCK = 16384, 1024, 0.65, 16, 2.1, 16, 4096, 256
 _FOUND = "query_id long, vec_id long, score double"
 
 
