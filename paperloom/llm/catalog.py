@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimension_scan, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, token_shards, toxicity
+from . import dimension_scan, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, substring_dedup, token_shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimension_scan.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_license_scan, op3_perspectives, op4_toxicity, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan)}
+    return {f.__name__: f for f in (op1_token_shards, op2_license_scan, op3_perspectives, op4_toxicity, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

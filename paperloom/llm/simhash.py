@@ -205,3 +205,21 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     known = linked.join(least, "root").select("fp", "component_id")
     named = staged(prints.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, **settings) -> DataFrame:
+    """The documents, with all their columns, but only one of each group: the one with the group's least doc_id.
+
+    Of several rows with that doc_id the one with the least fingerprint, text hash and position in the staged
+    table stays; documents without a doc_id are in no group's name, so they stay unless they are copies of a named one.
+    """
+    spark = documents.sparkSession
+    table = staged(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = staged(fingerprints(table.select(F.col("_row").alias("doc_id"), "text"), settings.get("shingle", SHINGLE), settings.get("seed", SEED)), "fingerprints")
+    named = table.select("_row", F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie")).join(rows.select(F.col("doc_id").alias("_row"), "fp"), "_row")
+    order = F.struct(F.col("id").isNull(), "id", "tie", "_row")
+    prints = staged(named.groupBy("fp").agg(F.min(order).alias("least")), "prints")
+    label = components(links(prints, settings.get("radius", RADIUS), settings.get("block", BLOCK)))
+    group = staged(prints.join(label, prints["fp"] == label["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least"), "groups")
+    stay = group.groupBy("root").agg(F.min("least")["_row"].alias("_row")).select("_row")
+    return table.join(stay, "_row", "left_semi").drop("_row")
