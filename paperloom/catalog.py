@@ -1,21 +1,14 @@
-"""Queries of the engine by operator, each with the SQL that says the same."""
+"""All queries of the engine, by operator."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import bank_queries, compose_queries, job_queries  # noqa: F401  importing registers
+from .registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def item_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.where(F.col("text").contains("er")).select("doc_id")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"FLT_1_item_search": item_search}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
