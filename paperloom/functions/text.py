@@ -54,10 +54,20 @@ def wrapped_lines(c: Column, limit: int | Column) -> Column:
     return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.ceil(visual_units(x) / limit)).cast("long"))
 
 
+def characters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def shifted(items: Column, k: int) -> Column:
+    """For each place of an array a struct of the k elements from it on (null beyond the end); no lambda looks back at the array."""
+    return F.arrays_zip(*[F.slice(items, i + 1, F.greatest(F.size(items), F.lit(1))).alias(f"e{i}") for i in range(k)])
+
+
 def grams(c: Column, n: int = 3) -> Column:
     """All substrings of n characters; of a shorter text the text itself, of an empty one none."""
-    size = F.least(F.lit(n), F.length(c))
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, size))).otherwise(F.array().cast("array<string>"))
+    whole = F.filter(shifted(characters(c), n), lambda x: x[f"e{n - 1}"].isNotNull())
+    long = F.transform(whole, lambda x: F.concat(*[x[f"e{i}"] for i in range(n)]))
+    return F.when(F.length(c) >= n, long).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 
 def json_list(c: Column) -> Column:

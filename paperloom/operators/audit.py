@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, grams, text
+from ..functions.text import WS, grams, shifted, text
 
 #: Weights of the parts of a layout score, which sum to 100.
 WEIGHTS = {"pages": 20.0, "text": 35.0, "numbers": 25.0, "regions": 10.0, "figures": 10.0}
@@ -66,18 +68,17 @@ def objective(structure: dict[str, tuple[float, Column]], rendered: Column) -> C
 def near_equal_pages(pages: DataFrame, by: str, page: str, value: str, n: int = 3, least: float = 0.985) -> DataFrame:
     """Pairs of a document's pages whose n-gram multisets have a Dice coefficient of at least ``least``.
 
-    Pages meet on shared grams whose rank in the page is within what a pair below the bound could miss: two pages
-    with that Dice share all but a few grams, so each must hold one of the other's first grams in a common order.
+    Pages meet on their rarest grams only: of pages with that Dice each lacks at most 2 (1 - least) of its grams in
+    the other, so among one gram more than that, in an order common to all pages, at least one is shared.
     """
     base = pages.select(by, F.col(page).alias("_page"), grams(text(value), n).alias("_g")).where(F.size("_g") > 0)
-    counted = base.select(by, "_page", F.size("_g").alias("_n"), F.explode("_g").alias("key"))
-    k = W.partitionBy(by, "_page").orderBy("_h", "key")
-    ranked = counted.withColumn("_h", F.xxhash64("key")).withColumn("_r", F.row_number().over(k))
-    first = ranked.where(F.col("_r") <= F.ceil((1 - least) * 2 * F.col("_n")) + 1).select(by, "_page", "_n", "key").distinct()
+    tally = base.select(by, "_page", F.size("_g").alias("_n"), F.explode("_g").alias("key")).groupBy(by, "_page", "_n", "key").agg(F.count(F.lit(1)).alias("_c"))
+    rare = tally.groupBy(by, "key").agg(F.count(F.lit(1)).alias("_df"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(by, "_page").orderBy("_df", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = tally.join(rare, [by, "key"]).withColumn("_r", before).where(F.col("_r") <= F.ceil((1 - least) * 2 * F.col("_n"))).select(by, "_page", "_n", "key")
     a, b = first.select(by, F.col("_page").alias("a"), F.col("_n").alias("na"), "key"), first.select(by, F.col("_page").alias("b"), F.col("_n").alias("nb"), "key")
     likely = 2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb"))
     pairs = a.join(b, [by, "key"]).where((F.col("a") < F.col("b")) & likely).select(by, "a", "b").distinct()
-    tally = counted.groupBy(by, "_page", "_n", "key").agg(F.count(F.lit(1)).alias("_c"))
     x = tally.select(by, F.col("_page").alias("a"), F.col("_n").alias("na"), "key", F.col("_c").alias("ca"))
     y = tally.select(by, F.col("_page").alias("b"), F.col("_n").alias("nb"), "key", F.col("_c").alias("cb"))
     shared = pairs.join(x, [by, "a"]).join(y, [by, "b", "key"]).groupBy(by, "a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("_m"))
@@ -104,11 +105,12 @@ def editable_share(fragments: DataFrame, output: DataFrame, by: list[str], least
     return g.withColumn("editable", F.col("share") >= least)
 
 
-def sequence_count(tokens: Column, wanted: Column) -> Column:
+def sequence_count(tokens: Column, wanted: list[str]) -> Column:
     """How often a token sequence stands in a token array; occurrences may overlap."""
-    n, k = F.size(tokens), F.size(wanted)
-    places = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-    return F.when((k > 0) & (n >= k), F.size(F.filter(places, lambda i: F.slice(tokens, i, k) == wanted))).otherwise(F.lit(0))
+    if not wanted:
+        return F.lit(0)
+    here = lambda x: reduce(lambda a, b: a & b, [F.coalesce(x[f"e{i}"] == w, F.lit(False)) for i, w in enumerate(wanted)])
+    return F.size(F.filter(shifted(tokens, len(wanted)), here))
 
 
 def missing_things(source: DataFrame, output: DataFrame) -> DataFrame:
