@@ -3,6 +3,8 @@ store that pyarrow can open, and vectorised word splitting and hashing over Arro
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,14 +18,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set for this session only if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a folder of this application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN_ROOTS.setdefault(app, f"file://{os.path.join(tempfile.gettempdir(), f'paperloom-{app}')}")
     return root.rstrip("/")
 
 
