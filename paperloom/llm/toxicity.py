@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -210,27 +211,37 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         for r in rows:
             if not any((b and r.term.startswith(w)) or (r.beginning and w.startswith(r.term)) for w, b in entries):
                 entries.append((r.term, r.beginning))
-        lexicon = Lexicon(entries)
-        value = np.ones(2 * len(entries))
-        scorer = Scorer(lexicon, value)
-        held = docs.toPandas()
-        column = pa.array(held["text"].fillna("").tolist(), pa.string())
-        value[:] = _values(scorer, column, held["toxic"].to_numpy())
-        scorer.weights = _logistic(np.concatenate([scorer.features(column[i:j]) for i, j in runs(text_bytes(column)[1], BATCH_BYTES)]), held["toxic"].to_numpy())
-        scorer.known.clear()
+        scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)))
+        hits = docs.mapInArrow(partial(_codes, scorer), "code int, toxic int").groupBy("code").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
+        scorer.value = _values(hits, len(scorer.value), sizes)
+        rows = np.array([[*r.f, r.toxic] for r in docs.mapInArrow(partial(_features, scorer), "f array<double>, toxic int").collect()])  # five numbers a row of the sample
+        scorer.weights = _logistic(rows[:, :-1], rows[:, -1])
         return scorer
     finally:
         docs.unpersist()
 
 
-def _values(scorer: Scorer, column: pa.Array, toxic: np.ndarray) -> np.ndarray:
+def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct hits of each text, with its label."""
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            codes = {c for w in set((text or "").split()) if (c := scorer._code(w)) >= 0}
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array([toxic] * len(codes), pa.int32())], ["code", "toxic"])
+
+
+def _features(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in runs(text_bytes(batch.column("text"))[1], BATCH_BYTES):
+            f = scorer.features(batch.column("text")[i:j])
+            yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column("toxic")[i:j]], ["f", "toxic"])
+
+
+def _values(hits: list, n: int, sizes: dict[int, int]) -> np.ndarray:
     """The log odds, at least 0, of each entry's exact and misspelled hits: how many texts of either class hold one."""
-    seen = np.zeros((2, len(scorer.value)))
-    for text, label in zip(column.to_pylist(), toxic.tolist(), strict=True):
-        codes = {c for w in set(text.split()) if (c := scorer._code(w)) >= 0}
-        for c in codes:
-            seen[label, c] += 1
-    rate = (seen + 0.5) / (np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]]) + 1)
+    seen = np.zeros((2, n))
+    for r in hits:
+        seen[:, r.code] = r.c, r.t
+    rate = (seen + 0.5) / np.array([[sizes[0] + 1], [sizes[1] + 1]])
     return np.maximum(np.log(rate[1] / rate[0]), 0) * (seen[1] > 0)
 
 
