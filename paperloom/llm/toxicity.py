@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -180,13 +181,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct whole words and beginnings of each text, with its label."""
+    """Distinct whole words and beginnings of each text, whether they stand in it twice or more, and its label."""
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {w for w in map(folded, (text or "").split()) if len(w) >= SHORTEST - 1}
-            starts = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-            terms = [*words, *starts]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([False] * len(words) + [True] * len(starts), pa.bool_()), pa.array([toxic] * len(terms), pa.int32())], ["term", "beginning", "toxic"])
+            words = Counter(w for w in map(folded, (text or "").split()) if len(w) >= SHORTEST - 1)
+            starts: Counter = Counter()
+            for w, k in words.items():
+                for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
+                    starts[w[:n]] += k
+            both = [(w, b, k > 1) for b, some in ((False, words), (True, starts)) for w, k in some.items()]
+            terms, beginning, twice = zip(*both, strict=True) if both else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(beginning, pa.bool_()), pa.array(twice, pa.bool_()), pa.array([toxic] * len(both), pa.int32())], ["term", "beginning", "twice", "toxic"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Scorer:
@@ -200,12 +205,22 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         sizes = {r.toxic: r["count"] for r in docs.groupBy("toxic").count().collect()}
         if len(sizes) < 2:
             return Scorer(Lexicon([]), np.zeros(0))
-        seen = docs.mapInArrow(_terms, "term string, beginning boolean, toxic int").groupBy("term", "beginning").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-        odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1) / ((F.col("c") + 0.5) / (sizes[0] + 1)))
-        # Terms of chance, or of copies of one text, are too rare or not significant (the log-likelihood ratio).
-        surprise = sum(2 * F.col(k) * F.log(F.greatest(k, F.lit(1)) / ((F.col("t") + F.col("c")) * n / sum(sizes.values()))) for k, n in (("t", sizes[1]), ("c", sizes[0])))
-        seen = seen.where((F.col("t") >= max(3, round(0.02 * sizes[1]))) & (surprise >= 20))
-        rows = seen.withColumn("odds", odds).withColumn("surprise", surprise).where(F.col("odds") >= float(np.log(4))).orderBy(F.desc("surprise"), F.length("term"), "term", "beginning").limit(terms).collect()
+        bad, clean, all_rows = F.col("toxic") == 1, F.col("toxic") == 0, sizes[0] + sizes[1]
+        counts = {"t": bad, "c": clean, "t2": bad & F.col("twice"), "c2": clean & F.col("twice")}
+        seen = docs.mapInArrow(_terms, "term string, beginning boolean, twice boolean, toxic int").groupBy("term", "beginning").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+
+        def odds(t: str, c: str) -> Column:
+            return F.log((F.col(t) + 0.5) / (sizes[1] + 1) / ((F.col(c) + 0.5) / (sizes[0] + 1)))
+
+        def surprise(t: str, c: str) -> Column:
+            """The log-likelihood ratio: terms of chance, or of copies of one text, are too rare or not significant."""
+            part = lambda k, n: F.col(k) * F.log(F.greatest(k, F.lit(1)) / F.greatest((F.col(t) + F.col(c)) * n / all_rows, F.lit(1e-9)))
+            return 2 * (part(t, sizes[1]) + part(c, sizes[0]))
+
+        # A term tells by standing in a text, and more so by standing in it twice.
+        seen = seen.where(F.col("t") >= max(3, round(0.02 * sizes[1])))
+        seen = seen.withColumns({"odds": odds("t", "c"), "surprise": F.greatest(surprise("t", "c"), surprise("t2", "c2"))})
+        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= float(np.log(4)))).orderBy(F.desc("surprise"), F.length("term"), "term", "beginning").limit(terms).collect()
         # The most telling of the entries that begin one another stands for them.
         entries: list[tuple[str, bool]] = []
         for r in rows:
