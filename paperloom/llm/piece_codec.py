@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import UnitCache, aliased, runs, text_bytes
+from .shared import UnitCache, aliased, held, runs, text_bytes
 
 MARK = "▁"
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 21
 _WRONG = np.uint32(1 << 31)  # set in the ids of a unit on which the library disagrees
 
 
@@ -96,10 +96,9 @@ class PieceCodec:
         return ids & ~_WRONG, counts, np.diff(wrong[ends]) == 0
 
 
-@lru_cache(1)
 def piece_codec(model: str) -> PieceCodec:
     """One codec for all tasks of a worker process, so that its cache lasts."""
-    return PieceCodec(model)
+    return held(f"piece codec {model}", lambda: PieceCodec(model))
 
 
 def _coded(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,9 @@ store that pyarrow can open, and vectorised word splitting and hashing over Arro
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -170,10 +173,30 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: in
     return out
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What one operator keeps for all tasks of a worker process; it takes the place of what another one kept."""
+    if name not in _HELD:
+        released()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def released() -> None:
+    """Give back what former operators have kept in this worker process, which Spark uses again for other stages."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class UnitCache:
     """Ids of text units: Arrow numbers the distinct units of a batch, and only units that aren't known are encoded."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

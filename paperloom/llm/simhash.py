@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aliased, runs, shuffle_partitions, staged, text_bytes, word_spans
+from .shared import aliased, released, runs, shuffle_partitions, staged, text_bytes, word_spans
 
 SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 4096
 BATCH_BYTES = 1 << 22
 
 
 def _fingerprints(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released()
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         for i, j in runs(text_bytes(batch.column("text"))[1], BATCH_BYTES):

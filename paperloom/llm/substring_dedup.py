@@ -35,7 +35,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import opened, runs, scratch_dir, shuffle_partitions, span_hashes, staged, text_bytes, word_hashes, word_spans
+from .shared import opened, released, runs, scratch_dir, shuffle_partitions, span_hashes, staged, text_bytes, word_hashes, word_spans
 from .wavelet import WaveletMatrix
 
 WINDOW, GRAM, HOT, MOST = 35, 8, 256, 32  # MOST: windows of a segment, one bit each in a mask
@@ -102,6 +102,7 @@ def cut_up(column: pa.Array, window: int) -> Piece:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.RecordBatch, Piece]]:
+    released()
     for batch in batches:
         chunks = batch.column("_chunk").to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]

@@ -16,7 +16,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import UnitCache, aliased, read_file, runs, scratch_dir, shuffle_partitions, staged, text_bytes, write_file
+from .shared import UnitCache, aliased, held, read_file, runs, scratch_dir, shuffle_partitions, staged, text_bytes, write_file
 from .wavelet import WaveletMatrix, packed, unpacked
 
 SHARD_TOKENS = 1 << 21
@@ -88,10 +87,9 @@ class UnitEncoder:
         return out
 
 
-@lru_cache(1)
 def unit_encoder(path: str) -> UnitEncoder:
     """One encoder for all tasks of a worker process, so that its cache lasts."""
-    return UnitEncoder(path)
+    return held(f"unit encoder {path}", lambda: UnitEncoder(path))
 
 
 _BLANK = np.zeros(256, bool)

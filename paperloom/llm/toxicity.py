@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aliased, runs, text_bytes, word_spans
+from .shared import aliased, released, runs, text_bytes, word_spans
 
 SAMPLE, TERMS, WINDOW, FOLDS = 4000, 1000, 8, 5
 SHORTEST, LONGEST, FUZZY = 4, 8, 5  # letters of a beginning; letters from which an edit is allowed
-BATCH_BYTES, CACHE_WORDS = 1 << 22, 1_000_000
+BATCH_BYTES, CACHE_WORDS = 1 << 22, 500_000
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^\W+|\W+$")
 _OPEN, _CLOSE = "\"“„«‹'‘", "\"”“»›'’"
@@ -281,6 +281,7 @@ def scored(scorer: Scorer, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        released()
         for texts in batches:
             yield pd.Series(scorer.score(pa.array(texts, pa.string(), from_pandas=True)))
 
