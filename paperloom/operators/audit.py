@@ -216,3 +216,13 @@ def findings_by_item(findings: DataFrame) -> DataFrame:
     kinds = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", "kind"))), lambda x: x["kind"]))
     g = findings.groupBy("item_id").agg(kinds.alias("kinds"), F.min("page").alias("page"))
     return g.select("item_id", "page", F.slice("kinds", 1, 8).alias("kinds"), F.greatest(F.size("kinds") - 8, F.lit(0)).cast("long").alias("more"))
+
+
+def paragraph_flow(lines: DataFrame, paragraphs: DataFrame, by: list[str]) -> DataFrame:
+    """For neighbouring source lines (first, second): ``kept`` if a paragraph holds both in order, ``split`` if each stands somewhere, else ``missing``."""
+    at = F.position(F.col("first"), F.col("text"))
+    second = F.position(F.col("second"), F.col("text"), at + F.length("first"))
+    both = lines.join(paragraphs, by, "left").withColumns({"_both": (at > 0) & (second > 0), "_a": F.contains("text", "first"), "_b": F.contains("text", "second")})
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    g = both.groupBy(*by, "line_id").agg(any_of("_both").alias("_both"), any_of("_a").alias("_a"), any_of("_b").alias("_b"))
+    return g.select(*by, "line_id", F.when(F.col("_both"), "kept").when(F.col("_a") & F.col("_b"), "split").otherwise("missing").alias("flow"))

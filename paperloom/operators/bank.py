@@ -150,3 +150,28 @@ def safe_image_paths(paths: Column) -> Column:
     """Relative paths without ``..`` that end like images, each once, in order."""
     ok = lambda p: ~p.rlike(r"^([/\\]|[A-Za-z]:)") & ~p.rlike(r"(^|[/\\])\.\.([/\\]|$)") & ascii_fold(p).rlike(r"\.(png|jpg|jpeg|gif|webp|bmp)$")
     return F.array_distinct(F.filter(paths, ok))
+
+
+def loose_key(number: Column, stem: Column) -> Column:
+    """A key that survives drifting choices and pictures: the first six lines' letters and digits, 24 of them at least; else empty."""
+    head = F.array_join(F.slice(F.split(text(stem), "\n"), 1, 6), "\n")
+    bare = F.regexp_replace(F.regexp_replace(head, r"^\s*\d{1,3}\s*[.)]\s*", ""), r"[^0-9A-Za-z가-힣α-ωΑ-Ω]+", "")
+    return F.when(F.length(bare) < 24, "").otherwise(F.concat(text(number), F.lit(":"), F.substring(bare, 1, 180)))
+
+
+def safe_name(name: Column, most: int = 80) -> Column:
+    """A file name of letters, digits, dots, lines and dashes; runs of others become one line."""
+    return F.substring(F.regexp_replace(text(name), r"[^0-9A-Za-z가-힣._-]+", "_"), 1, most)
+
+
+def normal_tables(tables: Column) -> Column:
+    """Tables of stripped cells; missing tables, rows and cells are empty, and tables without rows fall away."""
+    cell = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"^{WS}+|{WS}+$", "")
+    row = lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), cell)
+    table = lambda t: F.transform(F.coalesce(t, F.array().cast("array<array<string>>")), row)
+    return F.filter(F.transform(tables, table), lambda t: F.size(t) > 0)
+
+
+def identifiers(value: Column) -> Column:
+    """Literal identifiers in a text: letters, then digits, then dashed numbers."""
+    return F.regexp_extract_all(text(value), F.lit(r"([A-Za-z]+[0-9]+(?:-[0-9]+)*)"))

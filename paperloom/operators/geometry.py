@@ -138,3 +138,28 @@ def merge_page_boxes(boxes: DataFrame, by: list[str], gap: float = 4.0, most_wid
         return out[[*by, *names]]
 
     return boxes.groupBy(*by).applyInPandas(merge, ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} double" for c in names)]))
+
+
+def folded(rows: DataFrame, by: str, order: list[str], function, schema: str) -> DataFrame:
+    """A function from a group's rows, in order, to rows; a group is a page or a document, which is bounded.
+
+    The schema begins with the group's column; the function returns dicts of the other columns.
+    """
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = function(group.sort_values(order).to_dict("records"))
+        return pd.DataFrame([{by: group[by].iloc[0], **r} for r in out], columns=names)
+
+    return rows.groupBy(by).applyInPandas(run, schema)
+
+
+def automatic_numbers(levels: list[int]) -> list[str]:
+    """Outline numbers of paragraphs by their levels (0 first): a level counts on, deeper ones begin anew."""
+    counts: dict[int, int] = {}
+    out = []
+    for level in levels:
+        counts = {k: v for k, v in counts.items() if k <= level}
+        counts[level] = counts.get(level, 0) + 1
+        out.append(".".join(str(counts.get(k, 1)) for k in range(level + 1)))
+    return out

@@ -212,3 +212,16 @@ def placed_cells(cells: DataFrame, by: str, most: int = 20000) -> DataFrame:
     bad = times.groupBy(by).agg((F.max("_n") > 1).alias("_clash"), F.count(F.lit(1)).alias("_cells"))
     own = (F.col("_r") == F.col("row")) & (F.col("_c") == F.col("col"))
     return grid.join(bad, by).where(own | ~(F.col("_clash") | (F.col("_cells") > most))).select(by, F.col("_r").alias("grid_row"), F.col("_c").alias("grid_col"), "cell_id")
+
+
+def groups_by_end(rows: DataFrame, end: Column, by: str, order: str) -> DataFrame:
+    """Group of each row where a group closes with its end mark: the marks before the row."""
+    n = F.sum(end.cast("long")).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("group", n - end.cast("long"))
+
+
+def walked_columns(rows: DataFrame, by: str, order: str, top: str = "top") -> DataFrame:
+    """Running column of lines: a line that stands above its predecessor begins a new one."""
+    w = W.partitionBy(by).orderBy(order)
+    back = F.coalesce((F.col(top) < F.lag(top).over(w)).cast("long"), F.lit(0))
+    return rows.withColumn("_back", back).withColumn("column", F.sum("_back").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_back")
