@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL}
+    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

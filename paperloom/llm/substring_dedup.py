@@ -494,3 +494,14 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     if "_chunk" in documents.columns:
         raise ValueError("a column must not be named _chunk")
     return _remove(documents, documents.schema, False, window)
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 0) + 1)) AS i FROM d),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS n FROM p),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM h WHERE n > 1),
+k AS (SELECT d.doc_id, x.j, x.word FROM d, (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) x WHERE x.doc_id = d.doc_id),
+s AS (SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.j) AS kept, count(*) AS n FROM k ANTI JOIN c ON c.doc_id = k.doc_id AND c.j = k.j GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
