@@ -82,6 +82,14 @@ def aliased(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't use."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets (n + 1) of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aliased, released, runs, shuffle_partitions, staged, text_bytes, word_spans
+from .shared import aliased, fresh, released, runs, shuffle_partitions, staged, text_bytes, word_spans
 
 SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 4096
 BATCH_BYTES = 1 << 22
@@ -214,13 +214,14 @@ def one_of_each(documents: DataFrame, **settings) -> DataFrame:
     Of several rows with that doc_id the one with the least fingerprint, text hash and position in the staged
     table stays; documents without a doc_id are in no group's name, so they stay unless they are copies of a named one.
     """
-    spark = documents.sparkSession
-    table = staged(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rows = staged(fingerprints(table.select(F.col("_row").alias("doc_id"), "text"), settings.get("shingle", SHINGLE), settings.get("seed", SEED)), "fingerprints")
-    named = table.select("_row", F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie")).join(rows.select(F.col("doc_id").alias("_row"), "fp"), "_row")
-    order = F.struct(F.col("id").isNull(), "id", "tie", "_row")
+    row = fresh(documents, "_row")
+    table = staged(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = table.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text")
+    prints_of = staged(fingerprints(narrow.select(F.col("row").alias("doc_id"), "text"), settings.get("shingle", SHINGLE), settings.get("seed", SEED)), "fingerprints")
+    named = narrow.select("row", "id", F.xxhash64("text").alias("tie")).join(prints_of.select(F.col("doc_id").alias("row"), "fp"), "row")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tie", "row")
     prints = staged(named.groupBy("fp").agg(F.min(order).alias("least")), "prints")
     label = components(links(prints, settings.get("radius", RADIUS), settings.get("block", BLOCK)))
     group = staged(prints.join(label, prints["fp"] == label["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least"), "groups")
-    stay = group.groupBy("root").agg(F.min("least")["_row"].alias("_row")).select("_row")
-    return table.join(stay, "_row", "left_semi").drop("_row")
+    stay = group.groupBy("root").agg(F.min("least")["row"].alias(row)).select(row)
+    return table.join(stay, row, "left_semi").select(*documents.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, aliased, staged
+from .shared import WORD, aliased, fresh, staged
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 _HEX_DIGITS = 13  # 52 bits: exact in a double
@@ -52,8 +52,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def _by_source(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Join on a source that may be null; the tables' own sizes decide whether Spark broadcasts, else it splits hot sources."""
-    t = targets.select(F.col("source").alias("_source"), *[F.col(c) for c in targets.columns if c != "source"])
-    return docs.join(t, docs["source"].eqNullSafe(t["_source"])).drop("_source")
+    key = fresh(docs, "_source")
+    t = targets.withColumnRenamed("source", key)
+    return docs.join(t, docs["source"].eqNullSafe(t[key])).drop(key)
 
 
 def mix_sizes(documents: DataFrame, seed: str = SEED, **mix) -> DataFrame:
@@ -67,11 +68,12 @@ def mix_sizes(documents: DataFrame, seed: str = SEED, **mix) -> DataFrame:
 def mix_documents(documents: DataFrame, seed: str = SEED, **mix) -> DataFrame:
     """The mixture itself: each document's row, with all its columns, as often as it is taken."""
     sizes = staged(aliased(documents, source="source", size=words(F.col("text"))).groupBy("source").agg(F.sum("size").alias("size")), "mix-sizes")
-    targets = source_targets(sizes, **mix).select("source", F.col("rate").alias("_rate"))
-    rate = F.col("_rate")
+    rate_name, copy = fresh(documents, "_rate"), fresh(documents, "_copy")
+    targets = source_targets(sizes, **mix).select("source", F.col("rate").alias(rate_name))
+    rate = F.col(rate_name)
     joined = _by_source(documents, targets)
     copies = (F.floor(rate) + (draw(documents["doc_id"], seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where((copies > 0) & (F.col("_copy") <= copies))
+    out = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col(copy) <= copies)
     return out.select(*[documents[c] for c in documents.columns])
 
 

@@ -35,7 +35,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import opened, released, runs, scratch_dir, shuffle_partitions, span_hashes, staged, text_bytes, word_hashes, word_spans
+from .shared import fresh, opened, released, runs, scratch_dir, shuffle_partitions, span_hashes, staged, text_bytes, word_hashes, word_spans
 from .wavelet import WaveletMatrix
 
 WINDOW, GRAM, HOT, MOST = 35, 8, 256, 32  # MOST: windows of a segment, one bit each in a mask
@@ -491,9 +491,10 @@ def digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns; a text that loses words is the rest of its words, joined by one blank."""
-    if "_chunk" in documents.columns:
-        raise ValueError("a column must not be named _chunk")
-    return _remove(documents, documents.schema, False, window)
+    names = documents.columns
+    inner = [fresh(documents, "_own_chunk") if c.lower() == "_chunk" else c for c in names]  # the operator's own name
+    documents = documents.toDF(*inner)
+    return _remove(documents, documents.schema, False, window).toDF(*names)
 
 
 ORACLE_SQL = f"""

@@ -388,6 +388,15 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert substring_dedup.digests(documents(spark, [])).count() == 0
 
 
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(1, prose(60, 80)), (2, prose(60, 80)), (3, prose(61, 80))]
+    docs = documents(spark, rows).selectExpr("*", "1 as _chunk", "2 as _row", "3 as _rate", "4 as _copy", "'own' as _source")
+    for out, ids in ((substring_dedup.without_repeats(docs), {1, 2, 3}), (simhash.one_of_each(docs), {1, 3}), (source_mix.mix_documents(docs), None)):
+        got = out.collect()
+        assert out.columns == docs.columns and all((r._chunk, r._row, r._rate, r._copy, r._source) == (1, 2, 3, 4, "own") for r in got)
+        assert ids is None or {r.doc_id for r in got} == ids
+
+
 def test_index_counts_windows_like_a_dictionary():
     rng = np.random.default_rng(1)
     for _ in range(40):
