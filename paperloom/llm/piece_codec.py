@@ -118,7 +118,8 @@ def _coded(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             at = np.concatenate(([0], np.cumsum(counts + 2)))
             ids[at[:-1]], ids[at[1:] - 1] = bos, eos
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
-            decoded = sp.decode(lists.to_pylist(), num_threads=1)
+            flat, cuts = ids.tolist(), at.tolist()
+            decoded = sp.decode([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], num_threads=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], lists, pa.array(decoded, pa.string()), pa.array(agreed)], ["doc_id", "ids", "decoded", "checked"])
 
 
