@@ -58,13 +58,21 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_file(uri: str, data: bytes) -> None:
-    """Write whole files so that a task that runs twice leaves one complete file: write aside, then move."""
+    """Write whole files so that a task that runs twice leaves one complete file: write aside, then move.
+
+    Stores differ in whether a move replaces a file; where it doesn't, the other attempt's file has the same content.
+    """
     fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     aside = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(aside) as out:
         out.write(data)
-    fs.move(aside, path)
+    try:
+        fs.move(aside, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(aside)
 
 
 def read_file(uri: str) -> bytes:
