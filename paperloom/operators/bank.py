@@ -107,9 +107,9 @@ def deleted(bank: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def appended(bank: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows with new ids after the largest one, in the order of their pos: partitions are counted, then numbered."""
+    """Rows with new ids after the largest one, in the order of their pos. One window numbers them: they are one import, not the bank."""
     top = bank.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy("pos"))) if "pos" in rows.columns else rows
+    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy("pos")))
     return bank.unionByName(numbered.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).select(*bank.columns))
 
 

@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, wherever they run and whatever their path is."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="paperloom-"))) / "paperloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
 
 def session(name: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; a cluster's own settings win where they are given."""
@@ -18,4 +39,6 @@ def session(name: str = "paperloom", master: str | None = None, **conf: str) ->
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
