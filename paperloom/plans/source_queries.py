@@ -120,3 +120,22 @@ def pairs(spark, d):
 
     t = F.concat(F.lit("빠른 정답 1. ③ 2. ⑤ "), "text")
     return table(spark, d, "conversations").select("conv_id", "turn", F.explode(key_pairs(t)).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query("STR_15_numbered_lines")
+def numbered_lines(spark, d):
+    number = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), F.col("text"))
+    numbered = T.arrow(lambda t: T.numbered_lines(t.split("\n")[1:], t.split("\n")[0]), "array<string>")
+    return table(spark, d, "conversations").select("conv_id", "turn", numbered(number).alias("lines"))
+
+
+@query("STR_6_math_pieces")
+def math_pieces(spark, d):
+    pieces = T.arrow(lambda t: [{"piece": p, "math": m} for p, m in T.split_math(t)], "array<struct<piece:string,math:boolean>>")
+    return table(spark, d, "conversations").select("conv_id", "turn", pieces(F.concat(F.lit("가 $x+1$ 나 "), "text")).alias("pieces"))
+
+
+@query("STR_1_glyphs")
+def glyphs(spark, d):
+    raw = F.concat(F.lit("𝑥＋１ "), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", T.arrow(T.glyphs, "string")(raw).alias("text"))

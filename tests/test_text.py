@@ -79,3 +79,10 @@ def test_columns(spark):
     assert [r.c for r in out] == ["a b", "가나 x", "", ""] and out[1].u == 6 and out[1].g == ["가나 ", "나 x"] and out[2].g == []
     found = spark.createDataFrame([("50% a\\b",), ("50x a\\b",), ("ÄB",)], "t string")
     assert found.where(X.like(F.col("t"), "0% A\\B")).count() == 2 and found.where(X.like(F.col("t"), "äb")).count() == 0
+
+
+def test_numbered_lines():
+    assert T.numbered_lines(["27. 값은?", "더"], "3") == ["3. 값은?", "더"]
+    assert T.numbered_lines(["3.5는 수다."], "4") == ["4. 3.5는 수다."]
+    assert T.numbered_lines(["[1~2] 다음 글을 읽고 답하시오.", "지문", "옳은 것은? [2점]"], "1") == ["[1~2] 다음 글을 읽고 답하시오.", "지문", "1. 옳은 것은? [2점]"]
+    assert T.numbered_lines([], "1") == ["1."] and T.numbered_lines(["가"], "") == ["가"]
