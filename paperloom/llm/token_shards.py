@@ -48,7 +48,7 @@ class UnitEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.length = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
-        self.cache = UnitCache(self._ids)
+        self.cache = UnitCache(self._ids, limit=800_000)
 
     def _ids(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units, many in one call: those that are one blank or newline and one word stand side by side as in a text."""
