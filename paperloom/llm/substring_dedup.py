@@ -266,18 +266,20 @@ def _claimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Round 2: tell each chunk the corpus counts of its contents that may repeat, doubled, plus one if it shall send."""
     for rows in _by_bucket(batches):
         a, b, n = (np.concatenate([_numbers(r[k]) for r in rows]) for k in "abc")
-        of = np.repeat(np.arange(len(rows)), [len(r["a"]) // 8 for r in rows])
+        chunks, of = np.unique(np.array([r["chunk"] for r in rows]), return_inverse=True)
+        of = np.repeat(of, [len(r["a"]) // 8 for r in rows])
         order = np.lexsort((of, b, a))
         a, b, n, of = a[order], b[order], n[order], of[order]
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
         new = new_a | np.concatenate(([True], b[1:] != b[:-1]))
         total = np.bincount(np.cumsum(new_a) - 1, n)[np.cumsum(new_a) - 1]
         count = np.bincount(np.cumsum(new) - 1, n)[np.cumsum(new) - 1].astype(np.uint64)
-        keep = (total > 1) | (b != ~a)  # a single window must stand twice, a segment may repeat itself
+        own = new | np.concatenate(([True], of[1:] != of[:-1]))  # a chunk told in parts may name a content in each: one answer
+        keep = own & ((total > 1) | (b != ~a))  # a single window must stand twice, a segment may repeat itself
         a, b, code, of = a[keep], b[keep], (count * np.uint64(2) + new)[keep], of[keep]
         by = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[by], np.arange(len(rows) + 1))
-        yield _answers([_answer(r["chunk"], r["bucket"], *(x[by[s:e]] for x in (a, b, code))) for r, s, e in zip(rows, cuts[:-1], cuts[1:], strict=True) if e > s])
+        cuts = np.searchsorted(of[by], np.arange(len(chunks) + 1))
+        yield _answers([_answer(c, rows[0]["bucket"], *(x[by[s:e]] for x in (a, b, code))) for c, s, e in zip(chunks.tolist(), cuts[:-1], cuts[1:], strict=True) if e > s])
 
 
 def _contents(window: int, buckets: int, first: str, second: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

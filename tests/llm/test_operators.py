@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -388,6 +389,44 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert substring_dedup.digests(documents(spark, [])).count() == 0
 
 
+def rounds(tasks, window, folder):
+    """Words that stay of every text, by the operator's rounds without Spark; a task is a list of (chunk, texts)."""
+    read = lambda task: [pa.RecordBatch.from_arrays([pa.array([c] * len(texts), pa.int32()), pa.array(texts, pa.string())], ["_chunk", "text"]) for c, texts in task]
+
+    def dealt(told):
+        rows = sorted((r for batch in told for r in batch.to_pylist()), key=lambda r: (r["bucket"], r["kind"]))
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 4
+        return iter([pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(["bucket", "chunk", "kind", *"abcd"], kinds, strict=True))))])
+
+    def filed(answers, name):
+        rows = [r for batch in answers for r in batch.to_pylist()]
+        for i, r in enumerate(rows):
+            (folder / name / f"chunk={r['chunk']}").mkdir(parents=True, exist_ok=True)
+            pq.write_table(pa.table({k: pa.array([r[k]], pa.binary()) for k in "abc"}), folder / name / f"chunk={r['chunk']}" / f"{i}.parquet")
+        return str(folder / name), rows
+
+    s = substring_dedup
+    first, _ = filed(s._repeated(dealt(b for t in tasks for b in s._counts(window, 4, None, iter(read(t))))), "repeated")
+    second, claims = filed(s._claimed(dealt(b for t in tasks for b in s._counts(window, 4, first, iter(read(t))))), "claimed")
+    sent = [b for t in tasks for b in s._contents(window, 4, first, second, iter(read(t)))]
+    claimed = pa.RecordBatch.from_pylist([{**r, "kind": 0, "d": None} for r in claims])
+    third, _ = filed(s._indexed(window, dealt([claimed, *sent])), "masks")
+    return [s.kept(p, s.covered(p, s.beside(first, c), s.beside(third, c)))[0] for t in tasks for c, _, p in s._pieces(iter(read(t)), window)]
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_contents_told_in_parts(monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    shared = [prose(80 + i, 60) for i in range(12)]
+    texts = [f"{prose(600 + i, 30)} {shared[i % 12]} {prose(700 + i, 30)}" for i in range(36)]
+    one = [[(k, [t]) for t in texts[k * 18 : k * 18 + 18]] for k in (0, 1)]
+    want = rounds(one, 20, tmp_path / "whole")
+    assert all(x not in w.decode() for x in shared for w in want)
+    monkeypatch.setattr(substring_dedup, "HELD", 5)
+    assert rounds(one, 20, tmp_path / "flushed") == want  # a chunk's keys in several rows
+    assert rounds([[(0, [t]) for t in texts[:20]], [(0, [t]) for t in texts[20:]]], 20, tmp_path / "split") == want  # a chunk read by two tasks
+
+
 def test_columns_with_the_operators_own_names(spark):
     rows = [(1, prose(60, 80)), (2, prose(60, 80)), (3, prose(61, 80))]
     docs = documents(spark, rows).selectExpr("*", "1 as _chunk", "2 as _row", "3 as _rate", "4 as _copy", "'own' as _source")
