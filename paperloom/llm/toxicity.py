@@ -220,12 +220,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         # A term tells by standing in a text, and more so by standing in it twice.
         seen = seen.where(F.col("t") >= max(3, round(0.02 * sizes[1])))
         seen = seen.withColumns({"odds": odds("t", "c"), "surprise": F.greatest(surprise("t", "c"), surprise("t2", "c2"))})
-        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= float(np.log(4)))).orderBy(F.desc("surprise"), F.length("term"), "term", "beginning").limit(terms).collect()
-        # The most telling of the entries that begin one another stands for them.
+        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= float(np.log(4)))).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").limit(terms).collect()
+        # The most telling of the entries that begin one another stands for them, on ties the longest; words that
+        # allow an edit stay beside beginnings, which would take their misspellings' place, and come before them.
         entries: list[tuple[str, bool]] = []
         for r in rows:
-            if not any((b and r.term.startswith(w)) or (r.beginning and w.startswith(r.term)) for w, b in entries):
+            if not r.beginning and len(r.term) >= FUZZY:
+                entries.append((r.term, False))
+            elif not any((b and r.term.startswith(w)) or (r.beginning and w.startswith(r.term)) for w, b in entries if b or len(w) < FUZZY):
                 entries.append((r.term, r.beginning))
+        entries.sort(key=lambda e: e[1])
         scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)))
         hits = docs.mapInArrow(partial(_codes, scorer), "code int, toxic int").groupBy("code").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
         scorer.value = _values(hits, len(scorer.value), sizes)

@@ -184,6 +184,15 @@ def test_toxicity_holds_out(spark):
     assert kept.columns == documents(spark, []).columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4}
 
 
+def test_toxic_words_are_not_displaced_by_their_beginnings(spark):
+    docs, labels = labelled(spark)
+    lexicon = toxicity.fit(documents(spark, docs), labels).lexicon
+    assert {("grimble", False), ("snorpish", False), ("blatface", False)} <= set(lexicon.entries)
+    assert all(len(w) >= toxicity.FUZZY for w, _ in lexicon.entries)  # a beginning that tells no more than the word
+    for w in ("grymble", "gimble", "srnorpish", "bltface"):  # one edit within the first four letters
+        assert lexicon.find(w)[0] == 1, w
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.classify(documents(spark, docs), labels.where("toxic = 0")).collect()} == {0.0}
