@@ -32,6 +32,8 @@ from .shared import aliased, released, runs, text_bytes, word_spans
 
 SAMPLE, TERMS, WINDOW, FOLDS = 4000, 1000, 8, 5
 SHORTEST, LONGEST, FUZZY = 4, 8, 5  # letters of a beginning; letters from which an edit is allowed
+ODDS = float(np.log(4))  # log odds from which a term tells
+SHARE = 0.5  # what a misspelling that the sample doesn't have is worth of its entry
 BATCH_BYTES, CACHE_WORDS = 1 << 22, 500_000
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -118,12 +120,13 @@ class Scorer:
 
     def __init__(self, lexicon: Lexicon, value: np.ndarray, weights: np.ndarray | None = None):
         self.lexicon, self.value, self.weights = lexicon, value, weights
+        self.misspelled = 0  # 1: all hits count as misspelled
         self.known: dict[str, int] = {}
 
     def _code(self, unit: str) -> int:
         """-1, or edits + 2 * entry."""
         hit = self.lexicon.find(folded(unit))
-        return -1 if hit is None else hit[0] + 2 * hit[1]
+        return -1 if hit is None else (hit[0] | self.misspelled) + 2 * hit[1]
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Sums of exact, misspelled and quoted hits and the densest window, for each text."""
@@ -220,7 +223,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         # A term tells by standing in a text, and more so by standing in it twice.
         seen = seen.where(F.col("t") >= max(3, round(0.02 * sizes[1])))
         seen = seen.withColumns({"odds": odds("t", "c"), "surprise": F.greatest(surprise("t", "c"), surprise("t2", "c2"))})
-        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= float(np.log(4)))).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").limit(terms).collect()
+        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= ODDS)).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").limit(terms).collect()
         # The most telling of the entries that begin one another stands for them, on ties the longest; words that
         # allow an edit stay beside beginnings, which would take their misspellings' place, and come before them.
         entries: list[tuple[str, bool]] = []
@@ -233,7 +236,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)))
         hits = docs.mapInArrow(partial(_codes, scorer), "code int, toxic int").groupBy("code").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
         scorer.value = _values(hits, len(scorer.value), sizes)
-        rows = np.array([[*r.f, r.toxic] for r in docs.mapInArrow(partial(_features, scorer), "f array<double>, toxic int").collect()])  # five numbers a row of the sample
+        rows = np.array([[*r.f, r.toxic] for r in docs.mapInArrow(partial(_features, scorer), "f array<double>, toxic int").collect()])  # five numbers a row of the sample, twice for a toxic one
         scorer.weights = _logistic(rows[:, :-1], rows[:, -1])
         return scorer
     finally:
@@ -249,19 +252,33 @@ def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def _features(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text, and of the toxic ones also as if all their hits were misspelled: the sample may have few such."""
+    other = Scorer(scorer.lexicon, scorer.value)
+    other.misspelled = 1
     for batch in batches:
         for i, j in runs(text_bytes(batch.column("text"))[1], BATCH_BYTES):
-            f = scorer.features(batch.column("text")[i:j])
-            yield pa.RecordBatch.from_arrays([pa.array(f.tolist(), pa.list_(pa.float64())), batch.column("toxic")[i:j]], ["f", "toxic"])
+            text, toxic = batch.column("text")[i:j], batch.column("toxic")[i:j]
+            bad = toxic.to_numpy() == 1
+            again = other.features(text)[bad]
+            again = again[again.any(axis=1)]
+            f = np.concatenate((scorer.features(text), again)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), pa.array([*toxic.to_pylist(), *[1] * len(again)], pa.int32())], ["f", "toxic"])
 
 
 def _values(hits: list, n: int, sizes: dict[int, int]) -> np.ndarray:
-    """The log odds, at least 0, of each entry's exact and misspelled hits: how many texts of either class hold one."""
+    """The log odds, at least 0, of each entry's exact and misspelled hits: how many texts of either class hold one.
+
+    Misspellings that no text of the sample holds are worth a share of the entry; those that clean texts show are
+    worth nothing unless they tell as much as an entry has to.
+    """
     seen = np.zeros((2, n))
     for r in hits:
         seen[:, r.code] = r.c, r.t
     rate = (seen + 0.5) / np.array([[sizes[0] + 1], [sizes[1] + 1]])
-    return np.maximum(np.log(rate[1] / rate[0]), 0) * (seen[1] > 0)
+    value = np.maximum(np.log(rate[1] / rate[0]), 0) * (seen[1] > 0)
+    near, shown = value[1::2], seen[0, 1::2] > 0
+    value[1::2] = np.where(seen[:, 1::2].any(axis=0), near * ~(shown & (near < ODDS)), SHARE * value[::2])
+    return value
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:

@@ -193,6 +193,15 @@ def test_toxic_words_are_not_displaced_by_their_beginnings(spark):
         assert lexicon.find(w)[0] == 1, w
 
 
+def test_misspellings_that_the_sample_lacks_count(spark):
+    docs, labels = labelled(spark)
+    docs = [(i, f"{t} blatfase" if i % 4 == 1 else t) for i, t in docs]  # a near-word that clean texts hold
+    new = [(2000, f"{prose(90, 30)} you grymble {prose(91, 30)}"), (2001, f"{prose(92, 30)} snropish snrpish snorpisch {prose(93, 30)}"), (2002, f"{prose(94, 30)} blatfase {prose(95, 30)}")]
+    got = {r.doc_id: r.predicted for r in toxicity.classify(documents(spark, docs + new), labels).collect()}
+    assert (got[2000], got[2001], got[2002]) == (1, 1, 0)
+    assert all(got[i] == int(i % 4 == 0) for i in range(400))
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.classify(documents(spark, docs), labels.where("toxic = 0")).collect()} == {0.0}
