@@ -221,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
             return 2 * (part(t, sizes[1]) + part(c, sizes[0]))
 
         # A term tells by standing in a text, and more so by standing in it twice.
-        seen = seen.where(F.col("t") >= max(3, round(0.02 * sizes[1])))
+        seen = seen.where(F.col("t") >= 3)
         seen = seen.withColumns({"odds": odds("t", "c"), "surprise": F.greatest(surprise("t", "c"), surprise("t2", "c2"))})
         rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= ODDS)).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").limit(terms).collect()
         # The most telling of the entries that begin one another stands for them, on ties the longest; words that

@@ -202,6 +202,18 @@ def test_misspellings_that_the_sample_lacks_count(spark):
     assert all(got[i] == int(i % 4 == 0) for i in range(400))
 
 
+def test_rare_toxic_terms_are_learned(spark):
+    docs, k = [], 0
+    for i in range(3200):
+        toxic = i % 4 == 0
+        words = [*prose(5000 + i, 14).split(), *(["grimble"] if toxic else [])]
+        if toxic and zlib.crc32(str(i).encode()) % 5 and (k := k + 1) <= 10:  # of about 640 toxic texts that teach
+            words.append("quibblor")
+        docs.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    assert ("quibblor", False) in toxicity.fit(documents(spark, docs), labels).lexicon.entries
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.classify(documents(spark, docs), labels.where("toxic = 0")).collect()} == {0.0}
