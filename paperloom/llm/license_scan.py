@@ -5,7 +5,9 @@ five-word shingles. For a template of n words, windows of n + s words start ever
 each stretch of n words lies in a window. A window that holds 0.8 of a template's shingles has a Jaccard
 similarity of at least 0.5 with it; ``BANDS`` bands of ``ROWS`` minima collide at 0.5 with a probability of
 1 - (1 - 0.5**ROWS)**BANDS > 0.9999. Windows without any template shingle have similarity zero with all
-templates and get no signature. Each retrieved template is held against the window exactly.
+templates and get no signature. Each retrieved template is held against the window exactly. A notice with
+inserted words can be longer than n + 1 words and lie in no window: a template that no window of a text holds is
+looked for once more in windows longer by as many words as shingles may be missing (similarity 0.48 at least).
 
 Defined results: null and empty texts and texts of fewer than five words match nothing; a template of fewer
 than five words is refused; rows are judged one by one, so repeated rows are reported each, null doc_ids too.
@@ -104,18 +106,34 @@ def matches(t: Templates, words: np.ndarray) -> list[tuple[str, int, int, float]
     if not len(hit):
         return out
     for n, table in t.bands.items():
-        s = max(1, n // 4)
-        span = n + s - SHINGLE + 1  # shingles of a window
-        near = np.unique(np.concatenate([(hit - d) // s for d in range(0, span + s, s)]))
-        near = near[(near >= 0) & (near * s < len(own))]
-        at = np.minimum(near[:, None] * s + np.arange(span), len(own) - 1)  # a last window repeats its last shingle
-        windows = own[at]
-        keys = t.keys(t.minima(windows))
-        for row, (k, window) in enumerate(zip(near.tolist(), windows, strict=True)):
-            for c in sorted({c for band, key in enumerate(keys[row].tolist()) for c in table.get((band, key), ())}):
-                share = np.isin(t.sets[c], window).sum() / len(t.sets[c])
-                if share >= CONTAINED:
-                    out.append((t.names[c], k * s, min(n + s, len(words) - k * s), float(share)))
+        found = _held(t, table, words, own, hit, n, 0, set())
+        out += found
+        slack = int((1 - CONTAINED) * (n - SHINGLE + 1) + 1e-9)
+        if slack:
+            out += _held(t, table, words, own, hit, n, slack, {m[0] for m in found})
+    return out
+
+
+def _held(t: Templates, table: dict[tuple[int, int], list[int]], words: np.ndarray, own: np.ndarray, hit: np.ndarray, n: int, slack: int, known: set[str]) -> list[tuple[str, int, int, float]]:
+    """Matches of the templates of n words, but the known ones, in windows with ``slack`` further words."""
+    out: list[tuple[str, int, int, float]] = []
+    s = max(1, n // 4)
+    span = n + s + slack - SHINGLE + 1  # shingles of a window
+    near = np.unique(np.concatenate([(hit - d) // s for d in range(0, span + s, s)]))
+    near = near[(near >= 0) & (near * s < len(own))]
+    if slack:  # only windows with enough template shingles can hold one
+        least = CONTAINED * min(len(t.sets[c]) for c in {c for some in table.values() for c in some})
+        near = near[np.searchsorted(hit, near * s + span) - np.searchsorted(hit, near * s) >= least]
+    if not len(near):
+        return out
+    at = np.minimum(near[:, None] * s + np.arange(span), len(own) - 1)  # a last window repeats its last shingle
+    windows = own[at]
+    keys = t.keys(t.minima(windows))
+    for row, (k, window) in enumerate(zip(near.tolist(), windows, strict=True)):
+        for c in sorted({c for band, key in enumerate(keys[row].tolist()) for c in table.get((band, key), ())}):
+            share = np.isin(t.sets[c], window).sum() / len(t.sets[c])
+            if share >= CONTAINED and t.names[c] not in known:
+                out.append((t.names[c], k * s, min(n + s + slack, len(words) - k * s), float(share)))
     return out
 
 

@@ -108,6 +108,18 @@ def test_license_scan_finds_what_brute_force_finds():
     assert {(m[0], m[1]) for m in license_scan.matches(t, words)} == want and want
 
 
+def test_license_scan_finds_notices_with_inserted_words():
+    t = license_scan._built(tuple(license_scan.TEMPLATES.items()))
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    c = t.names.index("mit-grant")
+    for start in range(60, 84):
+        words, _ = license_scan._tokens(pa.array([f"{prose(1, start)} {grant} {prose(2, 50)}"]))
+        own = license_scan.shingles(words)
+        best = max(np.isin(t.sets[c], own[i : i + 29 - 4]).mean() for i in range(len(own)))  # every start of 29 words
+        found = [m for m in license_scan.matches(t, words) if m[0] == "mit-grant"]
+        assert best >= 0.8 and found and max(m[3] for m in found) == best, start
+
+
 # -- op3 ------------------------------------------------------------------------------------------------
 
 
