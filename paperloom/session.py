@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,6 +19,8 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, "8m")  # Arrow batches of long texts are bounded by bytes, not only by rows
     root = Path(__file__).resolve().parent
     archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="paperloom-"))) / "paperloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
