@@ -6,9 +6,10 @@ largest inner product that their box allows, and the search of a tree ends when
 query's k-th best score so far. That k-th score is propagated: each block of queries goes through one shard
 first (the one of its number), and takes what it found there as the start for all others.
 
-Trees and query blocks are files in the shared folder; a task holds one of each at a time. A block's home shard
-must exist: parts are dealt by hash, and a shard without rows has no file and no pair. No tree is skipped but by its
-bound, so the result is exact: highest scores, ties to the smaller vec_id.
+Trees and query blocks are files in the shared folder; a task holds one of each at a time. Rows are dealt to parts
+by the hash of their number in the staged table, so copies of one vector spread like any others. A part that got no
+row has no file; a block whose home is such a shard starts without a bound. No tree is skipped but by its bound, so
+the result is exact: highest scores, ties to the smaller vec_id.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part; a null vec_id takes
 no part; vectors of another length than the query's are no candidates; repeated rows are candidates each, but a
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import aliased, read_file, scratch_dir, shuffle_partitions, staged, write_file
+from .shared import aliased, exists, read_file, scratch_dir, shuffle_partitions, staged, write_file
 
 SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 4096, 64, 256
 _FOUND = "query_id long, vec_id long, score long"
@@ -136,10 +137,15 @@ def _trees(ids: np.ndarray, vectors: list[np.ndarray]) -> dict[int, Tree]:
     return {int(n): Tree(ids[sizes == n], np.array([v for v in vectors if len(v) == n]).reshape(-1, n)) for n in np.unique(sizes)}
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """With a number for each row, to be staged: equal rows are told apart by it."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
 def files(rows: DataFrame, parts: int, make, name: str) -> DataFrame:
-    """part and path of the files into which rows (id, v) are dealt evenly by their hash."""
+    """part and path of the files into which staged rows (id, v, row) are dealt evenly by the hash of their number."""
     spark = rows.sparkSession
-    part = F.pmod(F.xxhash64("id", F.xxhash64("v")), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     dealt = rows.select(part.alias("part"), "id", "v").repartition(min(parts, shuffle_partitions(spark)), "part").sortWithinPartitions("part")
     return staged(dealt.mapInArrow(partial(_filed, scratch_dir(spark, name), make), "part int, path string"), name)
 
@@ -150,7 +156,7 @@ def _searched(k: int, first: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
         for row in batch.to_pylist():
             ids, vectors = pickle.loads(read_file(row["queries"]))
             trees: dict[int, Tree] = pickle.loads(read_file(row["trees"]))
-            known: dict[int, list[tuple[int, int]]] = {} if first else pickle.loads(read_file(row["queries"] + ".kth"))
+            known: dict[int, list[tuple[int, int]]] = {} if first or not exists(row["queries"] + ".kth") else pickle.loads(read_file(row["queries"] + ".kth"))
             out: list[tuple[int, int, int]] = []
             sizes = np.array([len(v) for v in vectors])
             for n, tree in trees.items():
@@ -180,8 +186,8 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score; both tables have id (long) and v (array of integers)."""
     as_rows = lambda t: t.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    candidates = staged(as_rows(candidates), "vectors")
-    queries = staged(as_rows(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    candidates = staged(numbered(as_rows(candidates)), "vectors")
+    queries = staged(numbered(as_rows(queries).groupBy("id").agg(F.min("v").alias("v"))), "queries")
     shards, blocks = max(1, -(-candidates.count() // shard_rows)), max(1, -(-queries.count() // block))
     trees = files(candidates, shards, _trees, "trees").select(F.col("part").alias("shard"), F.col("path").alias("trees"))
     packs = files(queries, blocks, lambda ids, vectors: (ids, vectors), "query-blocks").select(F.col("part").alias("block"), F.col("path").alias("queries"))
