@@ -9,12 +9,14 @@ speaker, then text), join to the dialogue; so a conversation of any length stays
 Defined results: speakers in ``context_roles`` (system) are rendered as such in every perspective and are no
 participants; a conversation without participants gives no row; null role is the speaker ``unknown``; null text
 is empty; null conv_id is one conversation; null turn is kept and stands first; repeated rows stay. Names keep
-letters, digits, ``_`` and ``-`` (others become ``_``); ``<|`` in a text becomes ``< |`` so that it can't pose as a mark.
+letters, digits, ``_`` and ``-``; another character becomes ``_x``, its UTF-8 bytes in hex and ``_``, and a ``_x`` of the
+speaker's own becomes ``_x5f_x``, so different speakers have different names. ``<|`` in a text becomes ``< |`` so that
+it can't pose as a mark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import aliased
@@ -22,6 +24,13 @@ from .shared import aliased
 CONTEXT_ROLES = ("system",)
 
 
+def safe_name(speaker: Column) -> Column:
+    """The speaker as a name of letters, digits, ``_`` and ``-``; no two speakers share one."""
+    plain = F.replace(speaker, F.lit("_x"), F.lit("_x5f_x"))
+    escaped = F.transform(F.split(plain, ""), lambda c: F.when(c.rlike(r"^[A-Za-z0-9_-]?\z"), c).otherwise(F.concat(F.lit("_x"), F.lower(F.hex(F.encode(c, "UTF-8"))), F.lit("_"))))
+    return F.when(plain.rlike(r"^[A-Za-z0-9_-]*\z"), plain).otherwise(F.array_join(escaped, ""))
+
+
 def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, name, rendered, mask, loss_start, loss_end."""
     speaker = F.coalesce(F.col("role"), F.lit("unknown"))
@@ -31,7 +40,7 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     both = turns.join(who, turns["conv_id"].eqNullSafe(who["_conv"])).drop("_conv")
     context, own = F.col("speaker").isin(*context_roles), F.col("speaker") == F.col("perspective")
     role = F.when(context, F.col("speaker")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when(~context & ~own, F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
+    name = F.when(~context & ~own, safe_name(F.col("speaker")))
     head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
     both = both.withColumns({"role": role, "name": name, "mask": (own & ~context).cast("int")}).withColumn("head", head)
     body = F.concat(F.col("text"), F.lit("<|im_end|>"))
@@ -48,7 +57,8 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(c
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 b AS (SELECT t.conv_id, w.perspective, t.turn, t.speaker, t.text,
   CASE WHEN speaker = 'system' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-  CASE WHEN speaker <> 'system' AND speaker <> perspective THEN regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') END AS name,
+  CASE WHEN speaker <> 'system' AND speaker <> perspective THEN array_to_string(list_transform(string_split(replace(speaker, '_x', '_x5f_x'), ''),
+    lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9_-]?') THEN c ELSE '_x' || lower(hex(c)) || '_' END), '') END AS name,
   CAST(speaker <> 'system' AND speaker = perspective AS INTEGER) AS mask
   FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
 h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM b)
