@@ -5,7 +5,8 @@ five-word shingles. For a template of n words, windows of n + s words start ever
 each stretch of n words lies in a window. A window that holds 0.8 of a template's shingles has a Jaccard
 similarity of at least 0.5 with it; ``BANDS`` bands of ``ROWS`` minima collide at 0.5 with a probability of
 1 - (1 - 0.5**ROWS)**BANDS > 0.9999. Windows without any template shingle have similarity zero with all
-templates and get no signature. Each retrieved template is held against the window exactly. A notice with
+templates and get no signature. Each retrieved template is held against the window exactly, by the 64-bit hashes
+of their shingles. A notice with
 inserted words can be longer than n + 1 words and lie in no window: a template that no window of a text holds is
 looked for once more in windows longer by as many words as shingles may be missing (similarity 0.48 at least).
 
@@ -23,22 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .notices import NOTICES
 from .shared import aliased, mixed, runs, span_hashes, text_bytes, word_hashes
 
 SHINGLE, CONTAINED, BANDS, ROWS = 5, 0.8, 40, 2
-BATCH_BYTES = 1 << 22
+BATCH_BYTES, MOST_WINDOWS = 1 << 22, 4096  # windows that are compared at a time
 _BASE = 0xC2B2AE3D27D4EB4F
 
-#: Usual notices; a caller can pass any other bounded set.
-TEMPLATES = {
-    "mit": "Released under the MIT License.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
-}
+TEMPLATES = NOTICES  # a caller can pass any other bounded set
 _INNER = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -73,6 +66,7 @@ class Templates:
         self.step = np.maximum(1, self.size // 4)
         # Band keys by window size; templates of one size share their windows.
         self.bands: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.own = {int(n): np.unique(np.concatenate([self.sets[t] for t in np.flatnonzero(self.size == n)])) for n in np.unique(self.size)}
         for t, s in enumerate(self.sets):
             table = self.bands.setdefault(int(self.size[t]), {})
             for band, key in enumerate(self.keys(self.minima(s[None, :]))[0].tolist()):
@@ -101,11 +95,12 @@ def _built(templates: tuple[tuple[str, str], ...]) -> Templates:
 def matches(t: Templates, words: np.ndarray) -> list[tuple[str, int, int, float]]:
     """License, first word, words and containment of each window of one text that holds a template."""
     own = shingles(words)
-    hit = np.flatnonzero(np.isin(own, t.all))
+    every = np.flatnonzero(np.isin(own, t.all))
     out: list[tuple[str, int, int, float]] = []
-    if not len(hit):
-        return out
     for n, table in t.bands.items():
+        hit = every[np.isin(own[every], t.own[n])]
+        if not len(hit):
+            continue
         found = _held(t, table, words, own, hit, n, 0, set())
         out += found
         slack = int((1 - CONTAINED) * (n - SHINGLE + 1) + 1e-9)
@@ -124,16 +119,15 @@ def _held(t: Templates, table: dict[tuple[int, int], list[int]], words: np.ndarr
     if slack:  # only windows with enough template shingles can hold one
         least = CONTAINED * min(len(t.sets[c]) for c in {c for some in table.values() for c in some})
         near = near[np.searchsorted(hit, near * s + span) - np.searchsorted(hit, near * s) >= least]
-    if not len(near):
-        return out
-    at = np.minimum(near[:, None] * s + np.arange(span), len(own) - 1)  # a last window repeats its last shingle
-    windows = own[at]
-    keys = t.keys(t.minima(windows))
-    for row, (k, window) in enumerate(zip(near.tolist(), windows, strict=True)):
-        for c in sorted({c for band, key in enumerate(keys[row].tolist()) for c in table.get((band, key), ())}):
-            share = np.isin(t.sets[c], window).sum() / len(t.sets[c])
-            if share >= CONTAINED and t.names[c] not in known:
-                out.append((t.names[c], k * s, min(n + s + slack, len(words) - k * s), float(share)))
+    for part in range(0, len(near), MOST_WINDOWS):
+        some = near[part : part + MOST_WINDOWS]
+        windows = own[np.minimum(some[:, None] * s + np.arange(span), len(own) - 1)]  # a last window repeats its last shingle
+        keys = t.keys(t.minima(windows))
+        for row, (k, window) in enumerate(zip(some.tolist(), windows, strict=True)):
+            for c in sorted({c for band, key in enumerate(keys[row].tolist()) for c in table.get((band, key), ())}):
+                share = np.isin(t.sets[c], window).sum() / len(t.sets[c])
+                if share >= CONTAINED and t.names[c] not in known:
+                    out.append((t.names[c], k * s, min(n + s + slack, len(words) - k * s), float(share)))
     return out
 
 
@@ -167,12 +161,16 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "license", F.size("windows").cast("long").alias("n_windows"), F.array_max("windows.containment").alias("containment"), F.array_min("windows.first_word").cast("long").alias("first_word"))
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _sql_words(text: str) -> str:
     return f"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
 ORACLE_SQL = f"""
-WITH t AS (SELECT license, {_sql_words("body")} AS w FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}) v(license, body)),
+WITH t AS (SELECT license, {_sql_words("body")} AS w FROM (VALUES {", ".join(f"('{k}', '{_quoted(v)}')" for k, v in TEMPLATES.items())}) v(license, body)),
 ts AS (SELECT license, len(w) AS n, greatest(1, len(w) // 4) AS s, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')))) AS shingle FROM t),
 tn AS (SELECT license, any_value(n) AS n, any_value(s) AS s, count(*) AS total FROM ts GROUP BY license),
 d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents WHERE text IS NOT NULL),
