@@ -14,9 +14,13 @@ the shard of a minimiser's hash, and each shard gets an FM-index of its own:
    contents in its interval stand at least twice in the corpus,
 4. removal: every chunk gets the repeated windows of its contents and drops the words that they cover.
 
-Nothing but counts, hashes and one copy of each repeated content is exchanged; texts stay in their chunk of a
-staged table, and each chunk's part of a result is a file beside it. A minimiser or text that a third of the
-documents share is one count or one content for each chunk. Words are told apart by 64-bit hashes.
+So the documents that are streamed against a shard's index are their segments with a repeated minimiser, each
+distinct content once; all else can't match. Nothing but counts, hashes and one copy of each repeated content is
+exchanged; texts stay in their chunk of a staged table, and each chunk's part of a result is a folder beside it. A
+minimiser or text that a third of the documents share is one count or one content for each chunk. Keys are dealt
+into buckets whose number follows the bytes of text (``BUCKET_BYTES``), a chunk sends a row a bucket at most and
+never more rows than keys, and no index holds more than ``INDEX_WORDS`` words and one key's contents. Words are
+told apart by 64-bit hashes.
 
 Defined results: null text has no words; repeated rows are documents of their own, so all their windows stand
 elsewhere; doc_id may be null or repeated; texts shorter than a window lose nothing; a word may be long.
@@ -32,14 +36,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import fresh, opened, released, runs, scratch_dir, shuffle_partitions, span_hashes, staged, text_bytes, word_hashes, word_spans
 from .wavelet import WaveletMatrix
 
 WINDOW, GRAM, HOT, MOST = 35, 8, 256, 32  # MOST: windows of a segment, one bit each in a mask
-BATCH_BYTES, HELD, INDEX_WORDS = 1 << 22, 1 << 20, 1 << 20
+BATCH_BYTES, HELD, INDEX_WORDS, BUCKET_BYTES = 1 << 22, 1 << 20, 1 << 20, 1 << 25
 _GRAM_BASE, _TEXT_BASE = 0x9FB21C651E98DF25, 0xA0761D6478BD642F
 _ROWS = "bucket int, chunk int, kind int, a binary, b binary, c binary, d binary"
 _BACK = "chunk int, bucket int, a binary, b binary, c binary"
@@ -395,12 +399,16 @@ def _indexed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         words, length = np.concatenate([_numbers(r["d"]) for r in sent]), head[:, 1].astype(np.int64) + window - 1
         # A chunk that is read in parts, or a task that runs twice, may send a content twice.
         order = np.lexsort((b, a))
-        once = np.sort(order[np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))])
-        begin = np.cumsum(length) - length
-        words = words[np.repeat(begin[once] - np.cumsum(length[once]) + length[once], length[once]) + np.arange(length[once].sum())]
-        masks = repeated_windows(words, length[once], head[once, 0].astype(np.int64), window)
-        by = np.lexsort((b[once], a[once]))
-        table = (a[once][by], b[once][by], masks[by])
+        once = order[np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))]
+        begin, length = (np.cumsum(length) - length)[once], length[once]
+        words = words[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        a, b, weight = a[once], b[once], head[once, 0].astype(np.int64)
+        # Equal windows have equal first key parts: an index for each run of them.
+        before = np.concatenate(([0], np.cumsum(length)))
+        first = np.searchsorted(a, a)
+        cuts = [0, *(np.flatnonzero(np.diff(before[first] // INDEX_WORDS)) + 1).tolist(), len(a)]
+        masks = np.concatenate([repeated_windows(words[before[s] : before[e]], length[s:e], weight[s:e], window) for s, e in zip(cuts[:-1], cuts[1:], strict=True)])
+        table = (a, b, masks)
         out = []
         for r in rows:
             if not r["kind"]:
@@ -464,9 +472,10 @@ def _removed(window: int, first: str, third: str, digest: bool, batches: Iterato
 
 def _remove(documents: DataFrame, schema: str, digest: bool, window: int) -> DataFrame:
     spark = documents.sparkSession
-    n = shuffle_partitions(spark)
-    buckets = 8 * n
-    table = staged(documents.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    n, size = shuffle_partitions(spark), Observation()
+    measured = documents.observe(size, F.sum(F.octet_length("text")).alias("bytes"))
+    table = staged(measured.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    buckets = max(8 * n, (size.get["bytes"] or 0) // BUCKET_BYTES)
     narrow = table.select("_chunk", "text")
 
     def dealt(df: DataFrame) -> DataFrame:
