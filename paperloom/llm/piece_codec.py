@@ -2,13 +2,15 @@
 
 Encoding is an agenda of adjacent symbol pairs in score order: every pair whose join is a piece waits in a
 heap, the best-scored pair (the leftmost among equals) is joined, and its new neighbours enter the heap. A
-piece of such a vocabulary has its space mark at the front only, so a text falls into units of spaces and the
-characters after them that can't influence each other; each distinct unit of an Arrow batch goes through the
-agenda once, and its ids are held against the sentencepiece library's. One whole document a batch is checked too.
+piece of such a vocabulary has its space mark at the front only, so a text falls into units of spaces (the mark
+itself, U+2581, is one) and the characters after them that can't influence each other; each distinct unit of an
+Arrow batch goes through the agenda once, and its ids are held against the sentencepiece library's. One whole
+text of every run of texts is held against the library as well; should they differ, all texts of that run are.
 
 Defined results: null text is empty; an empty text is the begin and the end id alone and decodes to nothing; a
-character without a piece becomes its UTF-8 bytes; where the library disagrees with the agenda its ids count
-and ``checked`` is false for the document. doc_id is passed on as it is, rows are neither joined nor dropped.
+character without a piece becomes its UTF-8 bytes; where the library disagrees with the agenda, on a unit or on a
+whole text, its ids count and ``checked`` is false for the document. doc_id is passed on as it is, rows are
+neither joined nor dropped.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ class PieceCodec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts without begin and end, each text's count, and whether the library agrees."""
-        raw, offsets = text_bytes(column)
+        raw, offsets = spaced(*text_bytes(column))
         first = offsets[:-1][np.diff(offsets) > 0]
         raw = np.insert(raw, first, 0x20)
         offsets = offsets + np.concatenate(([0], np.cumsum(np.diff(offsets) > 0)))
@@ -93,7 +95,24 @@ class PieceCodec:
         ids, counts = self.cache.ids(raw, offsets, np.flatnonzero(cut))
         ends = np.concatenate(([0], np.cumsum(counts)))
         wrong = np.concatenate(([0], np.cumsum(ids & _WRONG != 0)))
-        return ids & ~_WRONG, counts, np.diff(wrong[ends]) == 0
+        ids, agreed = ids & ~_WRONG, np.diff(wrong[ends]) == 0
+        if len(counts) and self.library.encode(column[0].as_py() or "", num_threads=1) != ids[: ends[1]].tolist():
+            said = [np.array(x, np.uint32) for x in self.library.encode(column.fill_null("").to_pylist(), num_threads=1)]
+            agreed &= [x.tolist() == ids[a:b].tolist() for x, a, b in zip(said, ends[:-1], ends[1:], strict=True)]
+            ids, counts = np.concatenate(said), np.array([len(x) for x in said], np.int64)
+        return ids, counts, agreed
+
+
+def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a blank for each space mark: the vocabulary has one symbol for both."""
+    a, b, c = MARK.encode()
+    at = np.flatnonzero(raw[:-2] == a) if len(raw) > 2 else np.empty(0, np.int64)
+    at = at[(raw[at + 1] == b) & (raw[at + 2] == c)]
+    if not len(at):
+        return raw, offsets
+    raw = raw.copy()
+    raw[at] = 0x20
+    return np.delete(raw, np.concatenate((at + 1, at + 2))), offsets - 2 * np.searchsorted(at, offsets)
 
 
 def piece_codec(model: str) -> PieceCodec:
@@ -112,8 +131,6 @@ def _coded(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             texts = batch.column("text")[i:j].fill_null("")
             ids, counts, agreed = codec.encode(texts)
             ends = np.cumsum(counts)
-            if sp.encode(texts[0].as_py()) != ids[: ends[0]].tolist():
-                raise ValueError("the library encodes a whole text in another way than its units")
             ids = np.insert(ids, np.repeat(np.concatenate(([0], ends)), [1, *[2] * (len(ends) - 1), 1]), 0)
             at = np.concatenate(([0], np.cumsum(counts + 2)))
             ids[at[:-1]], ids[at[1:] - 1] = bos, eos
