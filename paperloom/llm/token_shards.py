@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,7 +39,8 @@ class UnitEncoder:
     A byte-level BPE vocabulary with the usual word pattern never joins ids across a blank or newline that
     follows no other white space, so each text is cut before those, Arrow numbers the distinct units of a batch,
     and the library encodes the units that aren't known. A text in which such a cut isn't certain (three white-
-    space characters in a row, or two at its end) goes to the library whole.
+    space characters in a row, or two at its end), or which holds one of the tokenizer's added strings, goes to the
+    library whole. A vocabulary that doesn't cut a sample of texts that way is refused.
     """
 
     def __init__(self, path: str):
@@ -46,13 +48,16 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.length = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
         self.cache = UnitCache(self._ids, limit=800_000)
+        for text in _PROBES:
+            if self.encode(pa.array([text]))[0].tolist() != self.library.encode(text, add_special_tokens=False).ids:
+                raise ValueError("this tokenizer joins ids over blanks; texts can't be cut into units")
 
     def _ids(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units, many in one call: those that are one blank or newline and one word stand side by side as in a text."""
-        joint = [u[:1] in (" ", "\n") and u.split() == [u[1:]] for u in units]
+        joint = [u[:1] in (" ", "\n") and u.split() == [u[1:]] and not any(a in u for a in self.added) for u in units]
         plain = [u for u, j in zip(units, joint, strict=True) if j]
         alone = iter([np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([u for u, j in zip(units, joint, strict=True) if not j], add_special_tokens=False)])
         together: list[np.ndarray] = []
@@ -84,6 +89,8 @@ class UnitEncoder:
         out = np.zeros(len(offsets) - 1, bool)
         for k in np.unique(np.searchsorted(offsets, np.flatnonzero(pair), "right") - 1):
             out[k] = bool(_RUN.search(column[int(k)].as_py()))
+        for a in self.added:
+            out |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
         return out
 
 
@@ -92,6 +99,7 @@ def unit_encoder(path: str) -> UnitEncoder:
     return held(f"unit encoder {path}", lambda: UnitEncoder(path))
 
 
+_PROBES = ("Two words, then 12 more; don't  stop.\nA line\n\nanother \t tab", "é 漢字 🙂 x\xa0y  z", " a b\n")
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _WIDE = np.zeros(256, bool)  # first bytes of white space beyond ASCII
