@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ _OWN_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a folder of this application."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine, where it may be unset, a folder of this application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN_ROOTS.setdefault(app, f"file://{os.path.join(tempfile.gettempdir(), f'paperloom-{app}')}")
     return root.rstrip("/")
@@ -75,6 +78,11 @@ def write_file(uri: str, data: bytes) -> None:
         fs.delete_file(aside)
 
 
+def exists(uri: str) -> bool:
+    fs, path = opened(uri)
+    return fs.get_file_info(path).type == pafs.FileType.File
+
+
 def read_file(uri: str) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_stream(path) as f:
@@ -201,16 +209,19 @@ def held(name: str, make: Callable[[], object]):
 
 
 def released() -> None:
-    """Give back what former operators have kept in this worker process, which Spark uses again for other stages."""
-    if _HELD:
-        _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    """Give back what former operators and tasks have left in this worker process, which Spark uses again for other stages."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class UnitCache:
-    """Ids of text units: Arrow numbers the distinct units of a batch, and only units that aren't known are encoded."""
+    """Ids of text units: Arrow numbers the distinct units of a batch, and only units that aren't known are encoded.
+
+    A full cache forgets the half that fewest batches used.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
@@ -218,11 +229,18 @@ class UnitCache:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.ends, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def _forget(self) -> None:
+        names, length = list(self.known), np.diff(self.ends)
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+        self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat = self.flat[np.repeat(self.ends[stay] - np.cumsum(length[stay]) + length[stay], length[stay]) + np.arange(length[stay].sum())]
+        self.ends, self.used = np.concatenate(([0], np.cumsum(length[stay]))), self.used[stay] // 2
 
     def _rows(self, units: list[str]) -> np.ndarray:
         if len(self.known) > self.limit:
-            self.clear()
+            self._forget()
         rows = list(map(self.known.get, units))
         new = [u for u, r in zip(units, rows, strict=True) if r is None]
         if new:
@@ -232,7 +250,10 @@ class UnitCache:
             self.ends = np.concatenate([self.ends, np.cumsum([len(i) for i in ids]) + self.ends[-1]])
             fresh = iter(range(first, first + len(new)))
             rows = [next(fresh) if r is None else r for r in rows]
-        return np.array(rows, np.int64)
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+        at = np.array(rows, np.int64)
+        self.used[at] += 1  # the units of a batch are distinct
+        return at
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents at offsets, whose units begin at starts, one after the other; and each document's count."""

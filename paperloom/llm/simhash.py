@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import aliased, fresh, released, runs, shuffle_partitions, staged, text_bytes, word_spans
 
 SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 4096
-BATCH_BYTES = 1 << 22
+BATCH_BYTES, PART = 1 << 20, 1 << 15  # PART: shingles that are hashed at a time
 
 
 def _fingerprints(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,12 +54,11 @@ def _fingerprints(shingle: int, seed: int, batches: Iterator[pa.RecordBatch]) ->
             doc = np.repeat(np.arange(j - i), count)
             begin = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][doc]
             stop = np.minimum(begin + shingle, first[1:][doc])
-            a, b = at[begin].tolist(), (at[stop] - 1).tolist()
-            hashes = np.array([digest(data[x:y], seed) for x, y in zip(a, b, strict=True)], np.uint64)
             ones = np.zeros((j - i, 64), np.int64)
-            for p in range(0, len(hashes), 1 << 17):  # the bits of a part of the shingles at a time
-                part, d = hashes[p : p + (1 << 17)], doc[p : p + (1 << 17)]
-                bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for p in range(0, len(doc), PART):
+                d, a, b = doc[p : p + PART], at[begin[p : p + PART]], at[stop[p : p + PART]] - 1
+                hashes = np.array([digest(data[x:y], seed) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
+                bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 edge = np.flatnonzero(np.diff(d, prepend=-1))
                 ones[d[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
             more = (ones * 2 > count[:, None]).astype(np.uint8)
