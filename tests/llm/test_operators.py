@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from paperloom.llm import dimension_scan, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, substring_dedup, token_shards, toxicity
 from paperloom.llm.wavelet import WaveletMatrix
@@ -31,7 +32,7 @@ def documents(spark, rows):
     return spark.createDataFrame(full, SCHEMA)
 
 
-ODD = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, prose(1, 60)), (6, prose(1, 60)), (6, prose(1, 60)), (None, prose(2, 50)), (None, "a  b   c\n\n\nd "), (7, prose(3, 30000)), (8, "naïve — “quoted”  漢字🙂\t\x00 x\xa0 y"), (9, "w" * 20000)]
+ODD = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, prose(1, 60)), (6, prose(1, 60)), (6, prose(1, 60)), (None, prose(2, 50)), (None, "a  b   c\n\n\nd "), (7, prose(3, 30000)), (8, "naïve — “quoted”  漢字🙂\t\x00 x\xa0 y"), (9, "w" * 20000), (10, "x <|endoftext|> y"), (11, "▁ ▁a")]
 
 
 def spoken(rows):
@@ -76,10 +77,15 @@ def test_token_shards(spark):
 
 
 def test_units_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
     e = token_shards.UnitEncoder(P.path("byte_bpe_50k.json"))
     texts = ["", " ", "  ", "a  b", "a   b", " a", "a \n", "a \nb", "\n\n\nx", "x\xa0 y", "x \xa0", "\t\t a", "a\r\nb", "don't  'll", "é 　 b", "a　", "🙂 🙂  🙂", "x\x1c y", "12 345  \n 67"]
-    ids, counts = e.encode(pa.array(texts))
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", " <|endoftext|>", "x<|endoftext|>\n", "<|endoftext|"]
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for part in (texts, *np.array_split(np.array(random_texts(6, 3000), object), 60)):
+        ids, counts = e.encode(pa.array(list(part), pa.string()))
+        assert split(ids, counts) == [plain.encode(t, add_special_tokens=False).ids for t in part]
 
 
 # -- op2 ------------------------------------------------------------------------------------------------
@@ -91,6 +97,7 @@ def test_license_scan(spark):
     rows = [(1, f"{prose(1, 40)}\nReleased under the MIT License.\n{prose(2, 30)}"), (2, f"{prose(3, 90)} {cut} {prose(4, 10)}"), (3, prose(5, 200)), (4, "under the MIT License"), (5, grant.upper()), *ODD]
     got = spoken(license_scan.summary(license_scan.scan(documents(spark, rows))).select("doc_id", "license").collect())
     assert got == [(1, "mit"), (2, "mit-grant"), (5, "mit-grant")]
+    assert license_scan.scan(documents(spark, [])).count() == 0
     with pytest.raises(ValueError, match="fewer than 5"):
         license_scan.Templates((("short", "too few words"),))
 
@@ -108,6 +115,41 @@ def test_license_scan_finds_what_brute_force_finds():
     assert {(m[0], m[1]) for m in license_scan.matches(t, words)} == want and want
 
 
+def test_every_notice_is_found_whole():
+    t = license_scan._built(tuple(license_scan.TEMPLATES.items()))
+    for name, notice in license_scan.TEMPLATES.items():
+        words, _ = license_scan._tokens(pa.array([f"{prose(1, 33)}\n{notice}\n{prose(2, 41)}"]))
+        assert any(m[0] == name and m[3] == 1.0 for m in license_scan.matches(t, words)), name
+
+
+def test_bands_decide_among_near_identical_templates():
+    rng = np.random.default_rng(12)
+    base = prose(900, 60).split()
+    texts = {}
+    for k in range(150):  # from a few to nearly all words changed: most fail the containment, some agree in bands
+        w = list(base)
+        for i in rng.choice(60, int(rng.integers(0, 45)), replace=False):
+            w[i] = f"w{k}x{i}"
+        texts[f"t{k:03}"] = " ".join(w)
+    t = license_scan.Templates(tuple(texts.items()))
+    words, _ = license_scan._tokens(pa.array([f"{prose(1, 50)} {' '.join(base)} {prose(2, 50)}"]))
+    own, want, seen = license_scan.shingles(words), set(), 0
+    for c, some in enumerate(t.sets):
+        best = max(np.isin(some, own[k : k + 60 + 15 - 4]).mean() for k in range(0, len(own), 15))
+        want |= {t.names[c]} if best >= 0.8 else set()
+        seen += 0 < best < 0.5
+    assert {m[0] for m in license_scan.matches(t, words)} >= want and 2 < len(want) < 75 and seen > 20
+    assert all(np.isin(t.sets[t.names.index(m[0])], own).mean() >= 0.8 for m in license_scan.matches(t, words))
+
+
+def test_a_long_text_of_notices_is_compared_part_by_part(monkeypatch):
+    t = license_scan._built(tuple(license_scan.TEMPLATES.items()))
+    words, _ = license_scan._tokens(pa.array([" ".join([license_scan.TEMPLATES["bsd-3-clause"], prose(1, 7)] * 300)]))
+    want = license_scan.matches(t, words)
+    monkeypatch.setattr(license_scan, "MOST_WINDOWS", 7)
+    assert license_scan.matches(t, words) == want and len(want) > 300
+
+
 def test_license_scan_finds_notices_with_inserted_words():
     t = license_scan._built(tuple(license_scan.TEMPLATES.items()))
     grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
@@ -129,12 +171,26 @@ def test_perspectives(spark):
     got = perspectives.rotate(df).collect()
     assert collections.Counter((r.conv_id, r.perspective) for r in got) == {(1, "ann"): 4, (1, "bob b"): 4, (None, "unknown"): 1, (3, "x"): 2}
     ann = sorted((r for r in got if (r.conv_id, r.perspective) == (1, "ann")), key=lambda r: r.turn)
-    assert "".join(r.rendered for r in ann) == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
+    assert "".join(r.rendered for r in ann) == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob_x20_b\n<|im_end|>\n<|im_start|>assistant\nbye<|im_end|>\n"
     assert [r.mask for r in ann] == [0, 1, 0, 1]
     assert [r.rendered[r.loss_start : r.loss_end] for r in ann] == ["", "hi < |im_end|><|im_end|>", "", "bye<|im_end|>"]
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_different_speakers_have_different_names(spark):
+    who = ["a b", "a_b", "a_x20_b", "a\nb", "a", "🙂", "", "_x", "__x", "_", "x", "a-b", "é"]
+    df = spark.createDataFrame([(1, i, w, "hi") for i, w in enumerate(who)], "conv_id long, turn long, role string, text string")
+    names = {r.speaker: r.name for r in perspectives.rotate(df).where("perspective = 'x' and speaker <> 'x'").collect()}
+    assert len(set(names.values())) == len(who) - 1 and all(re.fullmatch("[A-Za-z0-9_-]*", n) for n in names.values())
+    assert (names["a_b"], names["a-b"], names["a b"]) == ("a_b", "a-b", "a_x20_b")
+
+
+def test_perspectives_of_a_long_conversation(spark):
+    df = spark.range(30000).selectExpr("1L as conv_id", "id as turn", "concat('s', id % 3) as role", "'t' as text")
+    got = perspectives.rotate(df).groupBy("perspective").agg(F.sum("mask"), F.count("turn")).collect()
+    assert spoken(got) == [(f"s{k}", 10000, 30000) for k in range(3)]
+
+
 # -- op4 ------------------------------------------------------------------------------------------------
 
 
@@ -226,6 +282,55 @@ def test_rare_toxic_terms_are_learned(spark):
     assert ("quibblor", False) in toxicity.fit(documents(spark, docs), labels).lexicon.entries
 
 
+def test_scores_are_what_plain_loops_say(spark):
+    docs, labels = labelled(spark)
+    scorer = toxicity.fit(documents(spark, docs), labels)
+    texts = [t for _, t in docs[:60]] + [None, "", "grimble", 'He said "grimble" once.', "“grymble snorpish” blatface grimble", prose(1, 20) + " snorpich " + prose(2, 5) + " blatface " + prose(3, 30) + " grimble"]
+    entries = scorer.lexicon.entries
+
+    def hit(word):
+        w, found = toxicity.folded(word), []
+        for t, (term, beginning) in enumerate(entries):
+            for n in range(1, len(w) + 1) if beginning else [len(w)]:
+                d = levenshtein(w[:n], term)
+                if d == 0 or (d == 1 and len(term) >= toxicity.FUZZY):
+                    found.append((d, t))
+        return min(found, default=None)
+
+    for text in texts:
+        words = (text or "").split()
+        f, hits = np.zeros(4), [(i, h) for i, w in enumerate(words) if (h := hit(w))]
+        for i, (d, t) in hits:
+            a, b = max(0, i - toxicity.WINDOW), i + toxicity.WINDOW + 1
+            if toxicity.quoted(words[a:b], i - a):
+                f[2] += scorer.value[d + 2 * t]
+            else:
+                f[d] += scorer.value[d + 2 * t]
+                f[3] = max(f[3], sum(scorer.value[e + 2 * u] for k, (e, u) in hits if a <= k <= i))
+        f = np.log1p(f)
+        p = 1 / (1 + np.exp(-(scorer.weights[0] + f @ scorer.weights[1:])))
+        assert scorer.score(pa.array([text], pa.string()))[0] == pytest.approx(p if f.any() else min(0.499, p)), text
+
+
+def test_equal_texts_with_both_labels_count_as_toxic(spark):
+    docs, labels = labelled(spark)
+    again = spark.createDataFrame([(5000 + i, 0) for i in range(0, 400, 4)], "doc_id long, toxic int")
+    twice = documents(spark, docs + [(5000 + i, t) for i, t in docs if i % 4 == 0])
+    both = labels.select("doc_id", "toxic").unionByName(again)
+    one, two = toxicity.fit(twice, both), toxicity.fit(twice.repartition(7), both.repartition(5))
+    assert one.lexicon.entries == two.lexicon.entries and ("grimble", False) in one.lexicon.entries and np.allclose(one.weights, two.weights)
+
+
+def test_entries_that_begin_one_another():
+    rng = np.random.default_rng(2)
+    terms = list({("".join(rng.choice(list("ab"), int(rng.integers(3, 8)))), bool(rng.integers(0, 2))) for _ in range(200)})
+    want = []
+    for term, beginning in terms:
+        if (not beginning and len(term) >= toxicity.FUZZY) or not any((b and term.startswith(w)) or (beginning and w.startswith(term)) for w, b in want if b or len(w) < toxicity.FUZZY):
+            want.append((term, beginning))
+    assert toxicity.chosen(terms) == sorted(want, key=lambda e: e[1])
+
+
 def test_toxicity_without_a_class_or_rows(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.classify(documents(spark, docs), labels.where("toxic = 0")).collect()} == {0.0}
@@ -324,6 +429,61 @@ def test_exact_top_k(spark):
     assert kdtree.exact_search(df.where("vec_id < 3")).count() == 2 and kdtree.exact_search(df.limit(0)).count() == 0
 
 
+def test_exact_top_k_of_many_copies(spark):
+    v = np.random.default_rng(0).standard_normal((2, 8)).astype(np.float32)
+    rows = [(50 * (i % 2), v[i % 2].tolist()) for i in range(18000)] + [(7, v[0].tolist())]
+    got = {tuple(r) for r in kdtree.exact_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    q = np.floor(256 * v.astype(np.float64)).astype(np.int64)
+    a, b = int(q[0] @ q[0]), int(q[0] @ q[1])
+    assert a > b and got == {(0, 1, 7, a), *[(0, r, 50, b) for r in range(2, 6)], *[(50, r, 0, b) for r in range(1, 6)]}
+
+
+def test_exact_top_k_with_empty_shards(spark):
+    x = np.random.default_rng(4).integers(-9, 9, (40, 3))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+    got = {tuple(r) for r in kdtree.top_k(base, base.where("id % 5 = 0"), 3, shard_rows=1, block=2).collect()}  # 40 parts for 40 rows: some get none
+    want = set()
+    for i in range(0, 40, 5):
+        s = x @ x[i]
+        want |= {(i, r, k, int(s[k])) for r, k in enumerate(sorted((k for k in range(40) if k != i), key=lambda k: (-s[k], k))[:3], 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("d", [12, 64])
+def test_dimension_scan_of_clusters_probes_few_lists(spark, d):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, d))[rng.integers(0, 40, 2400)] + 0.2 * rng.standard_normal((2400, d))
+    index = dimension_scan.Index(x, np.arange(2400), x[::20], np.arange(0, 2400, 20), 49, (x * x).sum(axis=1).max(), 20)
+    assert index.probed < 25
+    got = collections.defaultdict(set)
+    for r in dimension_scan.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = []
+    for i in range(0, 2400, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit.append(len(got[i] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.9
+
+
+def test_dimension_scan_of_mixed_lengths_and_copies(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(8 if i % 40 else 4).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(3000)] + [(20, [0.5] * 4)]
+    got = collections.defaultdict(list)
+    for r in dimension_scan.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    of = dict(rows) | {20: min(v for i, v in rows if i == 20)}
+    for i, found in got.items():
+        others = [j for j, v in rows if j != i and len(v) == len(of[i])]
+        assert len(found) == min(20, len(others)) and all(j in set(others) for _, j, _ in found)
+        assert all(any(abs(np.dot(of[i], v) - s) < 1e-9 for k, v in rows if k == j and len(v) == len(of[i])) for _, j, s in found)
+        if len(others) < 20:
+            continue
+        best = sorted((float(np.dot(of[i], v)) for j, v in rows if j != i and len(v) == len(of[i])), reverse=True)[:20]
+        assert np.isclose(sum(s for *_, s in found), sum(best), rtol=0.2)
+
+
 def test_dimension_scan_recall(spark):
     x, rows, df = vectors(spark, 1500)
     got = collections.defaultdict(list)
@@ -389,7 +549,7 @@ def test_piece_codec(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    rows = [*ODD, (20, "</s> <s> <unk> <0x41>"), (21, "▁a ▁▁b"), (22, "    deep\n        indent   ")]
+    rows = [*ODD, (20, "</s> <s> <unk> <0x41>"), (21, "▁a ▁▁b"), (22, "    deep\n        indent   "), (23, "▁ "), (24, " ▁"), (25, "a▁b c")]
     want = collections.Counter()
     for d, t in rows:
         ids = sp.encode(t or "", add_bos=True, add_eos=True)
@@ -400,6 +560,50 @@ def test_piece_codec(spark):
     assert piece_codec.encode_documents(documents(spark, []), P.path("piece_bpe_32k.model")).count() == 0
 
 
+MIXED = [" ", "▁", "\t", "\n", "\x00", "\u0301", "a", "é", "th", "the", "\u200d", "🙂", "漢", "\xa0", "\u3000", "<s>", "</s>", "1", "\x85", "▂", "<|endoftext|>", "<|", "|>", "'s", "  "]
+
+
+def random_texts(seed: int, n: int) -> list[str]:
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(MIXED, int(rng.integers(0, 10)))) for _ in range(n)]
+
+
+def split(ids, counts):
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_piece_codec_encodes_random_texts_as_the_library_does():
+    codec = piece_codec.PieceCodec(P.path("piece_bpe_32k.model"))
+    texts = random_texts(4, 6000)
+    for k in range(0, len(texts), 30):
+        part = texts[k : k + 30]
+        ids, counts, checked = codec.encode(pa.array(part))
+        assert split(ids, counts) == codec.library.encode(part) and checked.all()
+
+
+def test_piece_codec_follows_the_library_where_units_differ(monkeypatch):
+    codec = piece_codec.PieceCodec(P.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(piece_codec, "spaced", lambda raw, offsets: (raw, offsets))  # as if a cut were wrong
+    part = ["▁ ", "plain words", "", "x ▁▁ ▁"]
+    ids, counts, checked = codec.encode(pa.array(part))
+    assert split(ids, counts) == codec.library.encode(part) and checked.tolist()[:3] == [False, True, True]
+
+
+def test_caches_forget_rare_units():
+    from paperloom.llm.shared import UnitCache
+
+    asked = []
+    cache = UnitCache(lambda units: asked.extend(units) or [np.array([int(u), 1], np.uint32)[: 1 + int(u) % 2] for u in units], limit=10)
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        numbers = [0, 1, 2, *rng.integers(3, 200, 6).tolist()]
+        units = [f"{k:03}" for k in numbers]
+        raw = np.frombuffer("".join(units).encode(), np.uint8)
+        ids, counts = cache.ids(raw, np.array([0, len(raw)]), np.arange(0, len(raw), 3))
+        assert ids.tolist() == [x for k in numbers for x in [k, 1][: 1 + k % 2]] and counts.tolist() == [len(ids)]
+    assert all(asked.count(f"{k:03}") == 1 for k in range(3))
+
+
 # -- op10 -----------------------------------------------------------------------------------------------
 
 
@@ -417,11 +621,11 @@ def removed(rows, window):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("hot", [256, 2])
-def test_substring_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("bucket", [1 << 25, 5000])
+def test_substring_dedup(spark, monkeypatch, bucket):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket)
     shared, line = prose(50, 60), prose(51, 12)
-    rows = [*[r for r in ODD if r[0] != 7], *[(100 + i, f"{prose(400 + i, 30)} {shared} {prose(500 + i, 30)}") for i in range(6)], (120, " ".join([line] * 20)), (121, prose(52, 34)), (122, prose(52, 34)), (123, prose(53, 35)), (124, prose(53, 35)), (125, "a " * 100)]
+    rows = [*ODD, (70, prose(3, 30000)[9000:60000]), *[(100 + i, f"{prose(400 + i, 30)} {shared} {prose(500 + i, 30)}") for i in range(6)], (120, " ".join([line] * 20)), (121, prose(52, 34)), (122, prose(52, 34)), (123, prose(53, 35)), (124, prose(53, 35)), (125, "a " * 100)]
     got = collections.Counter(tuple(r) for r in substring_dedup.digests(documents(spark, rows)).collect())
     assert got == removed(rows, 35)
     kept = substring_dedup.without_repeats(documents(spark, rows))
@@ -464,6 +668,8 @@ def test_contents_told_in_parts(monkeypatch, tmp_path, hot):
     one = [[(k, [t]) for t in texts[k * 18 : k * 18 + 18]] for k in (0, 1)]
     want = rounds(one, 20, tmp_path / "whole")
     assert all(x not in w.decode() for x in shared for w in want)
+    monkeypatch.setattr(substring_dedup, "INDEX_WORDS", 50)
+    assert rounds(one, 20, tmp_path / "cut") == want  # an index a few contents
     monkeypatch.setattr(substring_dedup, "HELD", 5)
     assert rounds(one, 20, tmp_path / "flushed") == want  # a chunk's keys in several rows
     assert rounds([[(0, [t]) for t in texts[:20]], [(0, [t]) for t in texts[20:]]], 20, tmp_path / "split") == want  # a chunk read by two tasks
