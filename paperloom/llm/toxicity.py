@@ -1,44 +1,46 @@
 """Toxicity of whole texts by a lexicon that misspellings can't hide from.
 
 The lexicon is learned: whole words and word beginnings that stand far more often in texts labelled toxic than
-in others, from at most ``SAMPLE`` labelled rows of each class (those with the least hashes). It is a trie,
+in others, from at most ``SAMPLE`` labelled rows of each class (those with the least hashes); every term that is
+significant there is an entry. A text tells of a term once, and texts that have it among the same ``CONTEXT`` words
+on either side count as one, so copies and shared passages make no term significant. The lexicon is a trie,
 which is intersected with Levenshtein automata: a set of (trie node, edits) pairs is a state, states are
 determinised as words need them, and most words die after a few letters. Entries of five letters or more allow
 one edit. Every hit is scored in its window of ``WINDOW`` words on either side: within quotation marks, or near
-a word of reporting, it is a quotation and counts little; other hits count more the more of them share a
+a word of ``reporting`` (a parameter), it is a quotation and counts little; other hits count more the more of them share a
 window. A logistic function of the sums of exact, misspelled and quoted hits and of the densest window gives
 the score; its weights are fitted on the same sample.
 
 Defined results: null text is empty and scores as a text without hits; a text without hits scores below 0.5; if
 the sample lacks either class all scores are 0; labels of one doc_id are taken together (any 1 makes it 1);
-labels that are null or whose doc_id is null or unknown teach nothing. doc_id, lang, source and labels are no inputs.
+so are those of equal texts; labels that are null or whose doc_id is null or unknown teach nothing. doc_id, lang, source and labels are no inputs.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aliased, released, runs, text_bytes, word_spans
+from .shared import aliased, mixed, released, runs, text_bytes, word_spans
 
-SAMPLE, TERMS, WINDOW, FOLDS = 4000, 1000, 8, 5
+SAMPLE, WINDOW, CONTEXT, FOLDS = 4000, 8, 3, 5
 SHORTEST, LONGEST, FUZZY = 4, 8, 5  # letters of a beginning; letters from which an edit is allowed
 ODDS = float(np.log(4))  # log odds from which a term tells
 SHARE = 0.5  # what a misspelling that the sample doesn't have is worth of its entry
-BATCH_BYTES, CACHE_WORDS = 1 << 22, 500_000
+BATCH_BYTES, CACHE_WORDS = 1 << 21, 250_000
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^\W+|\W+$")
 _OPEN, _CLOSE = "\"“„«‹'‘", "\"”“»›'’"
-_REPORTING = frozenset("said says wrote writes quote quoted quotes called calls word words term slur insult dit écrit cité sagte schrieb zitat dijo escribió cita".split())
+#: Words after which a term is reported rather than used; callers can pass others.
+REPORTING = frozenset("said says wrote writes quote quoted quotes called calls word words term slur insult dit écrit cité sagte schrieb zitat dijo escribió cita".split())
 
 
 def folded(word: str) -> str:
@@ -118,11 +120,14 @@ class Lexicon:
 class Scorer:
     """Hits of a lexicon in texts, and the logistic function of their sums."""
 
-    def __init__(self, lexicon: Lexicon, value: np.ndarray, weights: np.ndarray | None = None):
-        self.lexicon, self.value, self.weights = lexicon, value, weights
+    def __init__(self, lexicon: Lexicon, value: np.ndarray, weights: np.ndarray | None = None, reporting: frozenset[str] = REPORTING):
+        self.lexicon, self.value, self.weights, self.reporting = lexicon, value, weights, reporting
         self.misspelled = 0  # 1: all hits count as misspelled
         self.known: dict[str, int] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}  # a task starts with its own
+
     def _code(self, unit: str) -> int:
         """-1, or edits + 2 * entry."""
         hit = self.lexicon.find(folded(unit))
@@ -151,7 +156,7 @@ class Scorer:
         value = self.value[code[at]]
         for k, (i, d) in enumerate(zip(at.tolist(), doc.tolist(), strict=True)):
             a, b = max(i - WINDOW, first[d]), min(i + WINDOW + 1, first[d + 1])
-            if quoted(words(a, b), i - a):
+            if quoted(words(a, b), i - a, self.reporting):
                 out[d, 2] += value[k]
             else:
                 out[d, code[i] & 1] += value[k]
@@ -171,9 +176,9 @@ class Scorer:
         return out
 
 
-def quoted(window: list[str], at: int) -> bool:
+def quoted(window: list[str], at: int, reporting: frozenset[str] = REPORTING) -> bool:
     """Whether the word at this place of its window is quoted: marks open before and close after it, or it is reported."""
-    if any(folded(w) in _REPORTING for w in window[max(0, at - 3) : at]):
+    if any(folded(w) in reporting for w in window[max(0, at - 3) : at]):
         return True
     opened = any(w[:1] in _OPEN for w in window[: at + 1])
     return opened and any(w.rstrip(".,;:!?")[-1:] in _CLOSE for w in window[at:])
@@ -183,34 +188,69 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def contexts(words: list[str]) -> np.ndarray:
+    """A number for the ``CONTEXT`` words on either side of each word."""
+    around = np.zeros(len(words) + 2 * CONTEXT, np.uint64)
+    around[CONTEXT : len(words) + CONTEXT] = [zlib.crc32(w.encode()) + 1 for w in words]
+    out = np.zeros(len(words), np.uint64)
+    for j in range(2 * CONTEXT + 1):
+        if j != CONTEXT:
+            out = mixed(out + around[j : j + len(words)])
+    return out.view(np.int64)
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct whole words and beginnings of each text, whether they stand in it twice or more, and its label."""
+    """Distinct whole words and beginnings of each text: one context, whether they stand in it twice or more, and its label."""
+    released()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = Counter(w for w in map(folded, (text or "").split()) if len(w) >= SHORTEST - 1)
-            starts: Counter = Counter()
-            for w, k in words.items():
-                for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
-                    starts[w[:n]] += k
-            both = [(w, b, k > 1) for b, some in ((False, words), (True, starts)) for w, k in some.items()]
-            terms, beginning, twice = zip(*both, strict=True) if both else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(beginning, pa.bool_()), pa.array(twice, pa.bool_()), pa.array([toxic] * len(both), pa.int32())], ["term", "beginning", "twice", "toxic"])
-
-
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Scorer:
-    """A scorer from the labelled documents outside the held-out fold; the sample and the lexicon are bounded."""
+            every = [folded(w) for w in (text or "").split()]
+            found: dict[tuple[str, bool], tuple[int, bool]] = {}
+            for w, c in zip(every, contexts(every).tolist(), strict=True):
+                if len(w) >= SHORTEST - 1:
+                    for key in ((w, False), *((w[:n], True) for n in range(SHORTEST, min(LONGEST, len(w)) + 1))):
+                        known = found.get(key)
+                        found[key] = (c, False) if known is None else (min(c, known[0]), True)
+            columns = ([t for t, _ in found], [b for _, b in found], [c for c, _ in found.values()], [k for _, k in found.values()], [toxic] * len(found))
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "beginning", "context", "twice", "toxic"])
+
+
+def chosen(terms: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """The entries among significant terms, the most telling first.
+
+    The most telling of the terms that begin one another stands for them; words that allow an edit stay beside
+    beginnings, which would take their misspellings' place, and come before them.
+    """
+    entries, begun, inner = [], set(), set()  # begun: accepted beginnings; inner: what beginnings and short words begin with
+    for term, beginning in terms:
+        starts = [term[:n] for n in range(1, len(term) + 1)]
+        if beginning or len(term) < FUZZY:
+            if not begun.isdisjoint(starts) or (beginning and term in inner):
+                continue
+            inner.update(starts)
+            begun.update([term] * beginning)
+        entries.append((term, beginning))
+    return sorted(entries, key=lambda e: e[1])
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, reporting: frozenset[str] = REPORTING) -> Scorer:
+    """A scorer from the labelled documents outside the held-out fold; the sample bounds the lexicon."""
     known = aliased(labels, doc_id="doc_id", toxic=F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(3))
     some = known.where("toxic = 1").orderBy(order).limit(sample).unionByName(known.where("toxic = 0").orderBy(order).limit(sample))
-    docs = aliased(documents, doc_id="doc_id", text="text").join(F.broadcast(some), "doc_id").select("text", "toxic").dropDuplicates(["text"]).cache()  # at most two samples of rows
+    docs = aliased(documents, doc_id="doc_id", text="text").join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).cache()  # at most two samples of rows
     try:
         sizes = {r.toxic: r["count"] for r in docs.groupBy("toxic").count().collect()}
         if len(sizes) < 2:
-            return Scorer(Lexicon([]), np.zeros(0))
+            return Scorer(Lexicon([]), np.zeros(0), reporting=reporting)
         bad, clean, all_rows = F.col("toxic") == 1, F.col("toxic") == 0, sizes[0] + sizes[1]
         counts = {"t": bad, "c": clean, "t2": bad & F.col("twice"), "c2": clean & F.col("twice")}
-        seen = docs.mapInArrow(_terms, "term string, beginning boolean, twice boolean, toxic int").groupBy("term", "beginning").agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+        told = docs.mapInArrow(_terms, "term string, beginning boolean, context long, twice boolean, toxic int").repartition("term", "beginning")
+        # Near copies and shared passages have a term in one context: it counts once.
+        told = told.groupBy("term", "beginning", "context").agg(*[F.max(c).alias(k) for k, c in counts.items()])
+        seen = told.groupBy("term", "beginning").agg(*[F.count_if(k).alias(k) for k in counts])
 
         def odds(t: str, c: str) -> Column:
             return F.log((F.col(t) + 0.5) / (sizes[1] + 1) / ((F.col(c) + 0.5) / (sizes[0] + 1)))
@@ -220,20 +260,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
             part = lambda k, n: F.col(k) * F.log(F.greatest(k, F.lit(1)) / F.greatest((F.col(t) + F.col(c)) * n / all_rows, F.lit(1e-9)))
             return 2 * (part(t, sizes[1]) + part(c, sizes[0]))
 
-        # A term tells by standing in a text, and more so by standing in it twice.
+        # A term tells by standing in a text, and more so by standing in it twice; the significant ones are no more than
+        # a part of the sample's words.
         seen = seen.where(F.col("t") >= 3)
         seen = seen.withColumns({"odds": odds("t", "c"), "surprise": F.greatest(surprise("t", "c"), surprise("t2", "c2"))})
-        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= ODDS)).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").limit(terms).collect()
-        # The most telling of the entries that begin one another stands for them, on ties the longest; words that
-        # allow an edit stay beside beginnings, which would take their misspellings' place, and come before them.
-        entries: list[tuple[str, bool]] = []
-        for r in rows:
-            if not r.beginning and len(r.term) >= FUZZY:
-                entries.append((r.term, False))
-            elif not any((b and r.term.startswith(w)) or (r.beginning and w.startswith(r.term)) for w, b in entries if b or len(w) < FUZZY):
-                entries.append((r.term, r.beginning))
-        entries.sort(key=lambda e: e[1])
-        scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)))
+        rows = seen.where((F.col("surprise") >= 20) & (F.col("odds") >= ODDS)).orderBy(F.desc("surprise"), "beginning", F.desc(F.length("term")), "term").collect()
+        entries = chosen([(r.term, r.beginning) for r in rows])
+        scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)), reporting=reporting)
         hits = docs.mapInArrow(partial(_codes, scorer), "code int, toxic int").groupBy("code").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
         scorer.value = _values(hits, len(scorer.value), sizes)
         rows = np.array([[*r.f, r.toxic] for r in docs.mapInArrow(partial(_features, scorer), "f array<double>, toxic int").collect()])  # five numbers a row of the sample, twice for a toxic one
@@ -245,6 +278,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
 
 def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct hits of each text, with its label."""
+    released()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             codes = {c for w in set((text or "").split()) if (c := scorer._code(w)) >= 0}
@@ -253,7 +287,8 @@ def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 def _features(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of each text, and of the toxic ones also as if all their hits were misspelled: the sample may have few such."""
-    other = Scorer(scorer.lexicon, scorer.value)
+    released()
+    other = Scorer(scorer.lexicon, scorer.value, reporting=scorer.reporting)
     other.misspelled = 1
     for batch in batches:
         for i, j in runs(text_bytes(batch.column("text"))[1], BATCH_BYTES):
@@ -300,11 +335,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e
 def scored(scorer: Scorer, text: Column) -> Column:
     """The score of a text column, without an exchange."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         released()
         for texts in batches:
-            yield pd.Series(scorer.score(pa.array(texts, pa.string(), from_pandas=True)))
+            yield pa.array(scorer.score(texts))
 
     return score(text)
 
