@@ -144,15 +144,39 @@ def needs_answer_blank(stem: Column, has_choices: Column, template_blank: Column
     return template_blank & ~has_choices & ~text(stem).rlike(r"[(\[][\s＿_]{2,}[)\]]|답\s*[:：]?\s*[(\[]")
 
 
-def estimated_height(stem: Column, choices: Column, images: Column, columns: int, inline: bool = False, tables_height: Column | None = None) -> Column:
-    """Height of an item in hundredths of a column."""
+def table_height(tables: Column, limit: int) -> Column:
+    """Height of tables (rows of cells) whose columns share a line of ``limit`` units."""
+    most = lambda rows: F.greatest(F.lit(1), F.array_max(F.transform(rows, lambda r: F.greatest(F.size(r), F.lit(0)))))
+
+    def row(r: Column, room: Column) -> Column:
+        lines = F.array_max(F.transform(r, lambda c: wrapped_lines(text(c), room)))
+        return 6 + F.greatest(F.lit(1).cast("long"), F.coalesce(lines, F.lit(1).cast("long"))) * 4
+
+    def one(n: Column, rows: Column) -> Column:
+        room = F.greatest(F.lit(12), F.floor(limit / most(rows)).cast("int"))
+        heights = F.transform(rows, lambda r: row(r, room))
+        return n + F.when(F.size(rows) > 0, 4 + F.aggregate(heights, F.lit(0).cast("long"), lambda a, h: a + h)).otherwise(F.lit(0)).cast("long")
+
+    return F.aggregate(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), F.lit(0).cast("long"), one)
+
+
+def estimated_height(stem: Column, choices: Column, images: Column, columns: int, inline: bool = False, tables: Column | None = None, title: Column | None = None, answer: Column | None = None, explanation: Column | None = None, blank: bool = False) -> Column:
+    """Height of an item in hundredths of a column; ``answer`` and ``explanation`` are given where the template prints them,
+    ``blank`` where it leaves room for an answer to an item without choices."""
     limit = 48 if columns > 1 else 92
-    each = F.aggregate(choices, F.lit(0).cast("long"), lambda n, c: n + wrapped_lines(c, limit) * 5)
-    joined = wrapped_lines(F.array_join(choices, "　　"), limit) * 5
+    lines = lambda c: wrapped_lines(c, limit) * 5
+    head = F.coalesce(*[F.nullif(text(c), F.lit("")) for c in (stem, title) if c is not None], F.lit("문제"))
+    each = F.aggregate(choices, F.lit(0).cast("long"), lambda n, c: n + lines(c))
     short = F.lit(inline) & (F.length(F.array_join(choices, "")) <= 90)
-    body = F.when(F.size(choices) > 0, F.when(short, joined).otherwise(each)).otherwise(F.lit(0))
-    whole = F.lit(10) + wrapped_lines(stem, limit) * 5 + body + F.greatest(F.size(images), F.lit(0)) * 34
-    return F.greatest(F.lit(14), (whole + (tables_height if tables_height is not None else F.lit(0)))).cast("long")
+    body = F.when(F.size(choices) > 0, F.when(short, lines(F.array_join(choices, "　　"))).otherwise(each)).otherwise(F.lit(6 if blank else 0))
+    whole = F.lit(10) + lines(head) + body + F.greatest(F.size(images), F.lit(0)) * 34
+    if tables is not None:
+        whole += table_height(tables, limit)
+    if answer is not None:
+        whole += F.when(text(answer) != "", 6).otherwise(0)
+    if explanation is not None:
+        whole += F.when(text(explanation) != "", lines(text(explanation))).otherwise(0)
+    return F.greatest(F.lit(14), whole).cast("long")
 
 
 def planned(items: DataFrame, by: str, columns: int = 2) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, text
+from ..functions.text import WS, stripped, text
 
 RED, YELLOW = 0.66, 0.33
-#: Points of each sign, by diagnosis.
+#: Points of each sign, by diagnosis.
 SEGMENTATION = {"sparse": 0.48, "unreliable_markers": 0.52, "large_blocks": 0.4, "document_split": 0.12, "few_candidates": 0.18, "fallback": 0.5}
 RECOGNITION = {"disabled": 0.34, "textless": 0.4, "low_confidence": 0.45, "low_average": 0.3}
 GROUPING = {"no_markers": 0.45, "conflicts": 0.48, "fallback": 0.52, "one_per_block": 0.42, "merged": 0.7, "full_page_image": 0.6}
@@ -93,14 +93,21 @@ def route(tier: Column, ai: Column, forced: Column) -> Column:
     return F.struct(path.alias("route"), best.alias("next_best_action"), F.when(tier == "red", "failed").when(tier == "yellow", "suspicious").otherwise("ok").alias("quality_status"))
 
 
+#: What shows a formula, a choice and a section.
+FORMULA_SIGNS = ("=", "lim", "sin", "cos", "tan", "log", "∫", "∑", "√", "≤", "≥", "확률", "함수", "미분", "적분")
+CHOICE_SIGNS = ("①", "②", "③", "④", "⑤", "❶", "❷", "❸", "❹", "❺", "➀", "➁", "➂", "➃", "➄", "1)", "2)", "3)", "4)", "5)", "A.", "B.", "C.", "D.")
+SECTION_ENDS = ("장", "단원", "주제")
+
+
 def block_kind(value: Column) -> Column:
     """Kind of a text block; the order of the tests matters."""
-    v = F.trim(F.regexp_replace(text(value), WS + "+", " "))
+    v = stripped(text(value))
+    some = lambda test, words: F.array_max(F.array(*[test(v, F.lit(w)) for w in words]))
     return (
         F.when(v == "", "unknown")
-        .when(v.rlike(r"[=+^√∫∑]|\\frac|\\sqrt") & v.rlike(r"[0-9A-Za-z]") & ~v.rlike(r"[A-Za-z가-힣]{4,}"), "formula")
-        .when(v.rlike(r"^([①②③④⑤]|\(?[1-5]\))"), "choice")
-        .when((F.length(v) <= 20) & v.rlike(r"(영역|과목|[:：])$"), "section")
+        .when(some(F.contains, FORMULA_SIGNS), "formula")
+        .when(some(F.startswith, CHOICE_SIGNS), "choice")
+        .when((F.length(v) <= 24) & some(F.endswith, SECTION_ENDS), "section")
         .otherwise("stem")
     )
 

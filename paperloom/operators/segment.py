@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import WS, stripped, text
+
 
 def right(b: Column) -> Column:
     return b["left"] + b["width"]
@@ -55,26 +57,57 @@ def units(px: Column, dpi: Column) -> Column:
     return F.when(dpi > 0, F.bround(px * 7200 / dpi, 0).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+#: What shows a date, a header and a footer line, and what begins a question.
+DATE = r"^[0-9]{2,4}\s*[.\-/]?\s*[0-9]{1,2}\s*[.\-/]?\s*[0-9]{1,2}\."
+HALF_DAYS = ("오전", "오후", "AM", "PM")
+HEADER_WORDS = ("年", "월", "교시", "점]", "학년도", "모의평가")
+FOOTER_WORDS = ("저작권", "한국교육과정평가원")
+MARKER = rf"^([1-9][0-9]?)[.)]({WS}|$)"
+TOP_BAND, FOOT_BAND = 0.05, 0.90
+
+
+def holds(c: Column, words: tuple[str, ...]) -> Column:
+    return F.array_max(F.array(*[F.contains(c, F.lit(w)) for w in words]))
+
+
+def dated(c: Column) -> Column:
+    """A line of a print date: a date at its start, or a time of day in a line that begins with a digit and has three numbers."""
+    t = stripped(text(c))
+    return t.rlike(DATE) | (holds(t, HALF_DAYS) & t.rlike("^[0-9]") & (F.regexp_count(t, F.lit("[0-9]+")) >= 3))
+
+
+def header_band(c: Column, top: Column, page_height: Column) -> Column:
+    return (top < page_height * TOP_BAND) & holds(text(c), HEADER_WORDS)
+
+
+def footer_band(c: Column, top: Column, page_height: Column) -> Column:
+    t = stripped(text(c))
+    return holds(t, FOOTER_WORDS) | ((top >= page_height * FOOT_BAND) & t.rlike(r"^[0-9]{1,3}$"))
+
+
 def markers(lines: DataFrame) -> DataFrame:
-    """Lines that begin a question: ``12.`` or ``12)`` before white space or the end, 1 to 99, taller than a hair, no date."""
-    number = F.regexp_extract("text", r"^([1-9][0-9]?)[.)](?:\s|$)", 1)
-    dated = F.col("text").rlike(r"^[0-9]{1,4}[.] ?[0-9]{1,2}[.] ?[0-9]{1,2}")
-    return lines.where((number != "") & ~dated & (F.col("box.height") > 0.5)).withColumn("number", number.cast("int"))
+    """Lines that begin a question: ``12.`` or ``12)`` before white space or the end, 1 to 99, taller than a hair, no date and no header."""
+    number = F.regexp_extract("text", MARKER, 1)
+    odd = dated(F.col("text")) | header_band(F.col("text"), F.col("box.top"), F.col("page_height"))
+    return lines.where((number != "") & ~odd & (F.col("box.height") > 0.5)).withColumn("number", number.cast("int"))
 
 
-def without_furniture(lines: DataFrame, band: float = 0.05) -> DataFrame:
-    """Lines without those of the top and bottom bands that hold only a page number or a date."""
-    edge = (F.col("box.top") < F.col("page_height") * band) | (F.col("box.top") + F.col("box.height") > F.col("page_height") * (1 - band))
-    bare = F.col("text").rlike(r"^[\s\-–]*[0-9]{1,3}(\s*/\s*[0-9]{1,3})?[\s\-–]*$") | F.col("text").rlike(r"^[0-9]{4}[.\-/][ ]?[0-9]{1,2}[.\-/][ ]?[0-9]{1,2}")
-    return lines.where(~(edge & bare))
+def without_furniture(lines: DataFrame) -> DataFrame:
+    """Lines without page numbers at the foot and copyright lines; dates and header lines are marked, since they only begin no question."""
+    t, top, height = F.col("text"), F.col("box.top"), F.col("page_height")
+    return lines.where(~footer_band(t, top, height)).withColumns({"dated": dated(t), "header": header_band(t, top, height)})
 
 
 def column_split(marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Column (0 or 1) of each marker: a page has two if the largest gap between marker centres is wide enough; its middle divides them."""
+    """Column (0 or 1) of each marker: markers beyond the largest gap between centres (the first of equal ones) are in the
+    second, if the gap is wide enough. A second column's bounds begin at the page's middle, not at the gap."""
     w = W.partitionBy(*keys)
-    gap = F.col("x") - F.lag("x").over(w.orderBy("x"))
-    wide = F.coalesce(F.max("_gap").over(w), F.lit(0.0)) >= F.greatest(F.lit(80.0), F.col("page_width") * 0.18)
-    return marks.withColumn("_gap", gap).withColumn("column", F.when(wide & (F.col("x") >= F.col("page_width") / 2), 1).otherwise(0)).drop("_gap")
+    placed = marks.withColumn("_place", F.row_number().over(w.orderBy("x", "id")))
+    gap = F.struct((F.lead("x").over(w.orderBy("x", "id")) - F.col("x")).alias("gap"), (-F.col("_place")).alias("after"))
+    widest = F.max(F.when(F.col("_gap.gap").isNotNull(), F.col("_gap"))).over(w)
+    out = placed.withColumn("_gap", gap).withColumn("_widest", widest)
+    second = (F.col("_widest.gap") >= F.greatest(F.lit(80.0), F.col("page_width") * 0.18)) & (F.col("_place") > -F.col("_widest.after"))
+    return out.withColumn("column", F.when(second, 1).otherwise(0)).drop("_place", "_gap", "_widest")
 
 
 def regions(marks: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,10 +117,10 @@ def regions(marks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lines_in_regions(lines: DataFrame, regs: DataFrame, keys: list[str], slack: float = 6.0, touch: float = 2.0) -> DataFrame:
-    """Lines whose centre lies within a region's sides and whose height overlaps it; the join is on the page, the rest a band."""
+    """Lines whose centre lies within a region's sides and whose height overlaps it or comes as near as ``touch``; the join is on the page, the rest a band."""
     x = F.col("line.left") + F.col("line.width") / 2
     inside = x.between(F.col("region.left") - slack, right(F.col("region")) + slack)
-    level = (bottom(F.col("line")) >= F.col("region.top") + touch) & (F.col("line.top") <= bottom(F.col("region")) - touch)
+    level = (bottom(F.col("line")) >= F.col("region.top") - touch) & (F.col("line.top") <= bottom(F.col("region")) + touch)
     return lines.join(regs, keys).where(inside & level)
 
 
@@ -165,17 +198,20 @@ def question_groups(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def repaired_number(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Where a section of numbers that should rise by one has exactly one missing and one repeated number, the one that isn't in its place is put right."""
+    """A section of three or more numbers that should rise by one from its first, and that has one missing and one repeated
+    number: where the missing one belongs stands the repeated one, it is put right; all else stays."""
     section = W.partitionBy(by)
-    place = F.row_number().over(section.orderBy(order)) - 1
-    first, n = F.min("number").over(section), F.count(F.lit(1)).over(section)
-    distinct = F.size(F.collect_set("number").over(section))
-    top = F.max("number").over(section)
-    one = (distinct == n - 1) & (top - first + 1 == n)
-    times = F.count(F.lit(1)).over(W.partitionBy(by, "number"))
-    out = rows.withColumns({"_place": place, "_first": first, "_one": one, "_times": times})
-    wrong = F.col("_one") & (F.col("_times") > 1) & (F.col("number") != F.col("_first") + F.col("_place"))
-    return out.withColumn("repaired", F.when(wrong, F.col("_first") + F.col("_place")).otherwise(F.col("number")).cast("long")).drop("_place", "_first", "_one", "_times")
+    n = F.count(F.lit(1)).over(section)
+    out = rows.withColumns({
+        "_place": F.row_number().over(section.orderBy(order)) - 1,
+        "_first": F.first("number").over(section.orderBy(order)),
+        "_times": F.count(F.lit(1)).over(W.partitionBy(by, "number")),
+    })
+    out = out.withColumns({"_n": n, "_all": F.collect_set("number").over(section), "_twice": F.collect_set(F.when(F.col("_times") > 1, F.col("number"))).over(section)})
+    missing = F.array_except(F.sequence("_first", F.col("_first") + F.col("_n") - 1), "_all")
+    here = F.col("_first") + F.col("_place")
+    wrong = (F.col("_n") >= 3) & (F.size(missing) == 1) & (F.size("_twice") == 1) & (F.get("_twice", F.lit(0)) == F.col("number")) & (F.get(missing, F.lit(0)) == here)
+    return out.withColumn("repaired", F.when(wrong, here).otherwise(F.col("number")).cast("long")).drop("_place", "_first", "_times", "_n", "_all", "_twice")
 
 
 def without_adjacent_repeats(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
@@ -195,14 +231,40 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.sort_array(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
-def refined_bottoms(lines: DataFrame, by: list[str], order: str = "top") -> DataFrame:
-    """Bottom of each region's run of lines from its first: it ends where a gap exceeds twice the upper median of the line heights."""
-    limit = lines.groupBy(*by).agg(upper_median(F.collect_list("height")).alias("_h"))
-    w = W.partitionBy(*by).orderBy(order)
-    gap = F.col("top") - F.lag(F.col("top") + F.col("height")).over(w)
-    broken = F.sum(F.coalesce((F.col("_gap") > 2 * F.col("_h")).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    run = lines.join(limit, by).withColumn("_gap", gap).withColumn("_broken", broken).where("_broken = 0")
-    return run.groupBy(*by).agg(F.max(F.col("top") + F.col("height")).alias("bottom"))
+def refined_bottoms(regs: DataFrame, lines: DataFrame, figures: DataFrame, by: str) -> DataFrame:
+    """by and bottom: where the content of each region (region, until, page_height) ends.
+
+    Lines (top, left, height, choice) count to the last one that begins a choice, and on as long as no gap is too wide for
+    their upper median height; without a choice all count. Figures (ord, figure) that follow closely within the region's
+    sides are taken in, in their order: at most those of a region, so a fold over an array. A margin is added within the
+    region's first bottom, which stays where no line is or too little height would be left.
+    """
+    w = W.partitionBy(by)
+    end = F.col("top") + F.col("height")
+    placed = lines.withColumn("_place", F.row_number().over(w.orderBy("top", "left"))).withColumn("_last", F.max(F.when(F.col("choice"), F.col("_place"))).over(w))
+    middle = lines.groupBy(by).agg(F.coalesce(upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height")))), F.lit(18.0)).alias("_h"))
+    run = placed.where("_last is null or _place >= _last").join(middle, by).join(regs.select(by, "page_height"), by)
+    limit = F.greatest(F.lit(18.0), F.least(F.lit(72.0), F.greatest(F.col("_h") * 2.2, F.col("page_height") * 0.018)))
+    before = F.max(end).over(w.orderBy("_place").rowsBetween(W.unboundedPreceding, -1))
+    run = run.withColumn("_wide", F.col("_last").isNotNull() & F.coalesce(F.col("top") - before > limit, F.lit(False)))
+    run = run.withColumn("_broken", F.max(F.col("_wide").cast("int")).over(w.orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    content = run.where("_broken = 0").groupBy(by).agg(F.max(end).alias("_content"))
+    x, r = F.col("figure.left") + F.col("figure.width") / 2, F.col("region")
+    fits = x.between(r["left"] - 6, right(r) + 6) & (F.col("figure.width") <= F.greatest(F.lit(1.0), r["width"]) * 1.4)
+    drawn = figures.join(regs.select(by, "region"), by).where(fits).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("figure.top").alias("top"), bottom(F.col("figure")).alias("bottom")))).alias("_figures"))
+    tail = F.greatest(F.lit(120.0), F.least(F.lit(260.0), F.col("page_height") * 0.12))
+    out = regs.join(content, by, "left").join(drawn, by, "left").withColumn("_tail", tail)
+    state = F.struct(F.col("_content").alias("at"), F.col("until").alias("until"), F.col("_tail").alias("tail"))
+
+    def taken(a: Column, f: Column) -> Column:
+        ok = (f["top"] >= a["at"] - 4) & (f["top"] <= a["until"] + 2) & (f["top"] - a["at"] <= a["tail"])
+        return F.struct(F.when(ok, F.greatest(a["at"], F.least(a["until"], f["bottom"]))).otherwise(a["at"]).alias("at"), a["until"].alias("until"), a["tail"].alias("tail"))
+
+    none = F.array().cast("array<struct<ord:bigint,top:double,bottom:double>>")
+    content_end = F.aggregate(F.coalesce("_figures", none), state, taken)["at"]
+    margin = F.greatest(F.lit(8.0), F.col("page_height") * 0.008)
+    fine = F.least(F.col("until"), content_end + margin)
+    return out.select(by, F.when(F.coalesce(fine - F.col("region.top") >= 40, F.lit(False)), fine).otherwise(F.col("until")).alias("bottom"))
 
 
 def placed_cells(cells: DataFrame, by: str, most: int = 20000) -> DataFrame:

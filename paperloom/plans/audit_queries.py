@@ -215,10 +215,10 @@ def pdf_failures(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), R.pdf_failure(F.col("o_orderkey") % 10, F.col("o_orderkey") % 7 == 0, F.lit(True), F.col("o_custkey") % 4, F.col("o_totalprice") / 10000).alias("failure"))
 
 
-@query("PRJ_12_block_kinds", f"SELECT p_partkey AS id, CASE WHEN v = '' THEN 'unknown' WHEN regexp_matches(v, '[=+^√∫∑]|\\\\frac|\\\\sqrt') AND regexp_matches(v, '[0-9A-Za-z]') AND NOT regexp_matches(v, '[A-Za-z가-힣]{{4,}}') THEN 'formula' WHEN regexp_matches(v, '^([①②③④⑤]|\\(?[1-5]\\))') THEN 'choice' WHEN length(v) <= 20 AND regexp_matches(v, '(영역|과목|[:：])$') THEN 'section' ELSE 'stem' END AS kind FROM (SELECT p_partkey, trim(CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'x = ' || p_size WHEN 2 THEN (p_size % 5 + 1) || ') ' || p_name WHEN 3 THEN p_brand || ':' ELSE p_name END) AS v FROM part)")
+@query("PRJ_12_block_kinds", "SELECT p_partkey AS id, CASE WHEN v = '' THEN 'unknown' WHEN regexp_matches(v, '=|lim|sin|cos|tan|log|∫|∑|√|≤|≥|확률|함수|미분|적분') THEN 'formula' WHEN regexp_matches(v, '^([①②③④⑤❶❷❸❹❺➀➁➂➃➄]|[1-5]\\)|[A-D]\\.)') THEN 'choice' WHEN length(v) <= 24 AND regexp_matches(v, '(장|단원|주제)$') THEN 'section' ELSE 'stem' END AS kind FROM (SELECT p_partkey, trim(CASE p_partkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'x = ' || p_size WHEN 2 THEN (p_size % 7 + 1) || ') ' || p_name WHEN 3 THEN p_name || ' 단원' WHEN 4 THEN '함수 ' || p_name ELSE p_name END) AS v FROM part)")
 def block_kinds(spark, d):
-    k = F.col("p_partkey") % 5
-    v = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("x = "), "p_size")).when(k == 2, F.concat(F.col("p_size") % 5 + 1, F.lit(") "), "p_name")).when(k == 3, F.concat("p_brand", F.lit(":"))).otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 6
+    v = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("x = "), "p_size")).when(k == 2, F.concat(F.col("p_size") % 7 + 1, F.lit(") "), "p_name")).when(k == 3, F.concat("p_name", F.lit(" 단원"))).when(k == 4, F.concat(F.lit("함수 "), "p_name")).otherwise(F.col("p_name"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.block_kind(v).alias("kind"))
 
 

@@ -110,10 +110,20 @@ def wants_key(spark, d):
     return C.wants_answer_key(numbered(spark, d).withColumn("answer", F.col("flag")), True, False)
 
 
-@query("CMP_5_heights", "SELECT doc_id AS id, CAST(greatest(14, 10 + 5 * list_sum(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: greatest(1, CAST(ceil((length(x) + length(regexp_replace(regexp_replace(x, '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g'), '[\\x00-\\x{FF}]', '', 'g'))) / 48.0) AS BIGINT))))) AS BIGINT) AS height FROM documents")
+_UNITS = "length(x) + length(regexp_replace(regexp_replace(x, '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g'), '[\\x00-\\x{FF}]', '', 'g'))"
+
+
+def _sql_lines(c: str) -> str:
+    return f"list_sum(list_transform(string_split(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: greatest(1, CAST(ceil(({_UNITS}) / 48.0) AS BIGINT))))"
+
+
+@query("CMP_5_heights", f"SELECT doc_id AS id, CAST(greatest(14, 10 + 5 * {_sql_lines('t')} + CASE WHEN doc_id % 2 = 0 THEN 5 * {_sql_lines('lang')} + 5 * {_sql_lines('source')} ELSE 6 END + CASE WHEN source <> '' THEN 6 ELSE 0 END + CASE WHEN lang <> '' THEN 5 * {_sql_lines('lang')} ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 4 + 10 ELSE 0 END) AS BIGINT) AS height FROM (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN '문제' ELSE text END AS t FROM documents)")
 def heights(spark, d):
-    empty = F.array().cast("array<string>")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), C.estimated_height(F.col("text"), empty, empty, 2).alias("height"))
+    empty, docs = F.array().cast("array<string>"), table(spark, d, "documents")
+    choices = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(empty)
+    tables = F.when(F.col("doc_id") % 5 == 0, F.array(F.array(F.array("lang", "source")))).otherwise(F.array().cast("array<array<array<string>>>"))
+    stem = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
+    return docs.select(F.col("doc_id").alias("id"), C.estimated_height(stem, choices, empty, 2, tables=tables, title=F.lit(""), answer=F.col("source"), explanation=F.col("lang"), blank=True).alias("height"))
 
 
 @query("WIN_14_layout_plan")

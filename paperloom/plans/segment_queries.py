@@ -56,7 +56,7 @@ def box_tests(spark, d):
     return pairs.select("id", "other", S.overlap(F.col("a"), F.col("b")).alias("overlap"), S.near(F.col("a"), F.col("b"), 20).alias("near"), S.centre_in(F.col("a"), F.col("b")).alias("centred"))
 
 
-@query("JOIN_7_lines_in_regions", f"SELECT a.id, b.region_id FROM ({_SQL_PARTS}) a JOIN ({_SQL_REGIONS}) b ON a.page = b.page AND a.l + a.w / 2 BETWEEN b.l - 6 AND b.l + b.w + 6 AND a.t + a.h >= b.t + 2 AND a.t <= b.t + b.h - 2")
+@query("JOIN_7_lines_in_regions", f"SELECT a.id, b.region_id FROM ({_SQL_PARTS}) a JOIN ({_SQL_REGIONS}) b ON a.page = b.page AND a.l + a.w / 2 BETWEEN b.l - 6 AND b.l + b.w + 6 AND a.t + a.h >= b.t - 2 AND a.t <= b.t + b.h + 2")
 def lines_in_regions(spark, d):
     return S.lines_in_regions(boxes(spark, d, "line"), regions(spark, d), ["page"]).select("id", "region_id")
 
@@ -91,24 +91,34 @@ def candidates(spark, d):
     return S.figure_candidates(S.characters_inside(chars, figs, ["page"])).select("page", "figure_id")
 
 
-@query("FLT_9_markers", f"SELECT id, CAST(regexp_extract(text, '^([1-9][0-9]?)[.)](?:\\s|$)', 1) AS INTEGER) AS number FROM (SELECT *, CASE id % 4 WHEN 0 THEN p_size || '. ' || p_name WHEN 1 THEN p_size || ') ' || p_name WHEN 2 THEN '2024. 3. 5 ' || p_name ELSE p_size || '.5 ' || p_name END AS text FROM (SELECT p_partkey AS id, p_size, p_name FROM part)) WHERE regexp_extract(text, '^([1-9][0-9]?)[.)](?:\\s|$)', 1) <> ''")
+#: Texts of parts as lines, by id modulo 9, in an expression that both engines read.
+_SAID = """CASE id % 9 WHEN 0 THEN p_size || '. ' || p_name WHEN 1 THEN p_size || ') ' || p_name WHEN 2 THEN '2024. 3. 5. ' || p_name WHEN 3 THEN p_size || '.5 ' || p_name
+  WHEN 4 THEN p_size || '. 학년도 ' || p_name WHEN 5 THEN p_size || '시 30분 5초 오후 ' || p_name WHEN 6 THEN CAST(p_size AS VARCHAR(9)) WHEN 7 THEN '저작권 ' || p_name ELSE p_name END"""
+_SQL_LINES = f"SELECT id, page, l, t, w, h, {_SAID} AS text FROM ({_SQL_PARTS}) JOIN part ON p_partkey = id"
+_SQL_DATED = f"(regexp_matches(text, '{S.DATE}') OR (regexp_matches(text, '오전|오후|AM|PM') AND regexp_matches(text, '^[0-9]') AND len(regexp_extract_all(text, '[0-9]+')) >= 3))"
+_SQL_HEADER = "(t < 40 AND regexp_matches(text, '年|월|교시|점\\]|학년도|모의평가'))"
+
+
+def lines(spark, d) -> DataFrame:
+    return boxes(spark, d).withColumn("text", F.expr(_SAID)).withColumn("page_height", F.lit(PAGE_H))
+
+
+@query("FLT_9_markers", f"SELECT id, CAST(regexp_extract(text, '{S.MARKER}', 1) AS INTEGER) AS number FROM ({_SQL_LINES}) WHERE regexp_extract(text, '{S.MARKER}', 1) <> '' AND NOT {_SQL_DATED} AND NOT {_SQL_HEADER} AND h > 0.5")
 def markers(spark, d):
-    named = F.when(F.col("id") % 4 == 0, F.concat("p_size", F.lit(". "), "p_name")).when(F.col("id") % 4 == 1, F.concat("p_size", F.lit(") "), "p_name")).when(F.col("id") % 4 == 2, F.concat(F.lit("2024. 3. 5 "), "p_name")).otherwise(F.concat("p_size", F.lit(".5 "), "p_name"))
-    return S.markers(boxes(spark, d).withColumn("text", named)).select("id", "number")
+    return S.markers(lines(spark, d)).select("id", "number")
 
 
-@query("FLT_8_furniture", f"SELECT id FROM (SELECT id, t, h, CASE id % 3 WHEN 0 THEN '- ' || p_size || ' -' WHEN 1 THEN '2024-01-05' ELSE p_name END AS text FROM ({_SQL_PARTS}) JOIN part ON p_partkey = id) WHERE NOT ((t < 40 OR t + h > 760) AND (regexp_matches(text, '^[\\s\\-–]*[0-9]{{1,3}}(\\s*/\\s*[0-9]{{1,3}})?[\\s\\-–]*$') OR regexp_matches(text, '^[0-9]{{4}}[.\\-/][ ]?[0-9]{{1,2}}[.\\-/][ ]?[0-9]{{1,2}}')))")
+@query("FLT_8_furniture", f"SELECT id, {_SQL_DATED} AS dated, {_SQL_HEADER} AS header FROM ({_SQL_LINES}) WHERE NOT (regexp_matches(text, '저작권|한국교육과정평가원') OR (t >= 720 AND regexp_matches(text, '^[0-9]{{1,3}}$')))")
 def furniture(spark, d):
-    said = F.when(F.col("id") % 3 == 0, F.concat(F.lit("- "), "p_size", F.lit(" -"))).when(F.col("id") % 3 == 1, "2024-01-05").otherwise(F.col("p_name"))
-    return S.without_furniture(boxes(spark, d).withColumns({"text": said, "page_height": F.lit(PAGE_H)})).select("id")
+    return S.without_furniture(lines(spark, d)).select("id", "dated", "header")
 
 
-@query("FLT_7_reading_order", f"SELECT id, row_number() OVER (ORDER BY page, CASE WHEN l < 300 THEN 0 ELSE 1 END, t, id) AS place FROM ({_SQL_PARTS})")
+@query("FLT_7_reading_order", f"SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN l < 300 THEN 0 ELSE 1 END, t, id) AS place FROM ({_SQL_PARTS})")
 def reading_order(spark, d):
     from pyspark.sql import Window as W
 
-    w = W.orderBy("page", F.when(F.col("box.left") < 300, 0).otherwise(1), "box.top", "id")
-    return boxes(spark, d).select("id", F.row_number().over(w).cast("long").alias("place"))
+    w = W.partitionBy("page").orderBy(F.when(F.col("box.left") < 300, 0).otherwise(1), "box.top", "id")
+    return boxes(spark, d).select("page", "id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("FLT_10_small_print", f"WITH m AS (SELECT *, w >= 40 AS f FROM ({_SQL_PARTS})), q AS (SELECT page, quantile_cont(h, 0.5) FILTER (NOT f) AS med FROM m GROUP BY page) SELECT id FROM m JOIN q USING (page) WHERE NOT (f AND coalesce(h <= 0.92 * med, false))")
@@ -117,12 +127,13 @@ def small_print(spark, d):
     return S.outside_small_print(m, ["page"]).select("id")
 
 
-_MARKS = f"SELECT id, page, l + w / 2 AS x, t FROM ({_SQL_PARTS}) WHERE id % 5 < 2"
-_SPLIT = f"SELECT *, CASE WHEN coalesce(max(gap) OVER (PARTITION BY page), 0) >= greatest(80, 600 * 0.18) AND x >= 300 THEN 1 ELSE 0 END AS col FROM (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x) AS gap FROM ({_MARKS}))"
+#: Markers: five a page, so that some pages have a gap wide enough for two columns.
+_MARKS = f"SELECT id, id // 5 AS page, l + w / 2 AS x, t FROM ({_SQL_PARTS})"
+_SPLIT = f"SELECT id, page, x, t, CASE WHEN g >= greatest(80, 600 * 0.18) AND place > cut THEN 1 ELSE 0 END AS col FROM (SELECT *, max(gap) OVER (PARTITION BY page) AS g, arg_max(place, gap * 1000 - place) OVER (PARTITION BY page) AS cut FROM (SELECT *, lead(x) OVER w - x AS gap, row_number() OVER w AS place FROM ({_MARKS}) WINDOW w AS (PARTITION BY page ORDER BY x, id)))"
 
 
 def marks(spark, d) -> DataFrame:
-    m = boxes(spark, d).where("id % 5 < 2").select("id", "page", (F.col("box.left") + F.col("box.width") / 2).alias("x"), F.col("box.top").alias("top"))
+    m = boxes(spark, d).select("id", F.expr("id DIV 5").alias("page"), (F.col("box.left") + F.col("box.width") / 2).alias("x"), F.col("box.top").alias("top"))
     return m.withColumns({"page_width": F.lit(PAGE_W), "page_height": F.lit(PAGE_H)})
 
 
@@ -170,19 +181,43 @@ def smooth(spark, d):
     return S.smoothed(table(spark, d, "events"), "user_id", "event_id", "value").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
-@query("WIN_11_repaired", "WITH r AS (SELECT o_custkey AS s, o_orderkey AS k, CASE WHEN o_totalprice > 300000 AND rn > 1 THEN rn - 1 ELSE rn END AS number FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)), m AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS place, min(number) OVER (PARTITION BY s) AS f, max(number) OVER (PARTITION BY s) AS t, count(*) OVER (PARTITION BY s) AS n, count(*) OVER (PARTITION BY s, number) AS times FROM r), c AS (SELECT s, count(DISTINCT number) AS dn FROM r GROUP BY s) SELECT s, k, CAST(CASE WHEN dn = n - 1 AND t - f + 1 = n AND times > 1 AND number <> f + place THEN f + place ELSE number END AS BIGINT) AS repaired FROM m JOIN c USING (s)")
+#: Sections: each customer's orders, numbered from 3; of some one number is the one before it, and of some the next one is twice there.
+_SQL_SECTIONS = "SELECT o_custkey AS s, o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 AND rn = 3 THEN rn + 1 WHEN o_custkey % 3 = 1 AND rn = 3 THEN rn + 3 ELSE rn + 2 END AS number FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)"
+
+
+@query("WIN_11_repaired", f"WITH r AS ({_SQL_SECTIONS}), g AS (SELECT s, count(*) AS n, arg_min(number, k) AS f, list(number) AS every FROM r GROUP BY s), m AS (SELECT s, n, f, list_filter(range(f, f + n), lambda x: NOT list_contains(every, x)) AS missing, list_distinct(list_filter(every, lambda x: len(list_filter(every, lambda y: y = x)) > 1)) AS twice FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS place FROM r) SELECT s, k, CAST(CASE WHEN n >= 3 AND len(missing) = 1 AND len(twice) = 1 AND number = twice[1] AND f + place = missing[1] THEN missing[1] ELSE number END AS BIGINT) AS repaired FROM p JOIN m USING (s)")
 def repaired(spark, d):
     from pyspark.sql import Window as W
 
     o = table(spark, d, "orders").withColumn("rn", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
-    n = o.select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("k"), F.when((F.col("o_totalprice") > 300000) & (F.col("rn") > 1), F.col("rn") - 1).otherwise(F.col("rn")).alias("number"))
-    return S.repaired_number(n, "s", "k").select("s", "k", "repaired")
-
-
-@query("WIN_17_refined_bottoms", f"WITH b AS (SELECT * FROM ({_SQL_PARTS})), m AS (SELECT page, list_sort(list(h))[len(list(h)) // 2 + 1] AS u FROM b GROUP BY page), g AS (SELECT b.*, t - lag(t + h) OVER (PARTITION BY page ORDER BY t) AS gap FROM b), r AS (SELECT g.page, g.t, g.h, sum(CASE WHEN gap > 2 * u THEN 1 ELSE 0 END) OVER (PARTITION BY g.page ORDER BY g.t ROWS UNBOUNDED PRECEDING) AS broken FROM g JOIN m USING (page)) SELECT page, max(t + h) AS bottom FROM r WHERE broken = 0 GROUP BY page")
+    third, kind = F.col("rn") == 3, F.col("o_custkey") % 3
+    number = F.when((kind == 0) & third, F.col("rn") + 1).when((kind == 1) & third, F.col("rn") + 3).otherwise(F.col("rn") + 2)
+    return S.repaired_number(o.select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("k"), number.alias("number")), "s", "k").select("s", "k", "repaired")
+
+
+_BOTTOMS = f"""
+WITH b AS (SELECT page, id, l, t, w, h, t + h AS e, id % 7 = 0 AND page % 3 > 0 AS choice FROM ({_SQL_PARTS}) WHERE id % 20 < 16),
+m AS (SELECT page, list_sort(list(h))[len(list(h)) // 2 + 1] AS u FROM b GROUP BY page),
+p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY t, l) AS place FROM b),
+q AS (SELECT *, max(CASE WHEN choice THEN place END) OVER (PARTITION BY page) AS last FROM p),
+r AS (SELECT q.*, greatest(18, least(72, greatest(2.2 * u, 0.018 * 800))) AS most, max(e) OVER (PARTITION BY page ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q JOIN m USING (page) WHERE last IS NULL OR place >= last),
+k AS (SELECT *, max(CASE WHEN last IS NOT NULL AND coalesce(t - before > most, false) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY place ROWS UNBOUNDED PRECEDING) AS broken FROM r),
+c AS (SELECT page, max(e) AS content FROM k WHERE broken = 0 GROUP BY page),
+f AS (SELECT page, list({{'t': t, 'e': t + h, 'at': 0.0::DOUBLE}} ORDER BY id) AS figures FROM ({_SQL_PARTS}) WHERE id % 20 >= 16 AND l + w / 2 BETWEEN -6 AND 606 GROUP BY page),
+g AS (SELECT DISTINCT page, 600.0 + page % 4 * 50 AS until FROM ({_SQL_PARTS})),
+o AS (SELECT g.page, until, list_reduce(list_prepend({{'t': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'at': content}}, coalesce(figures, [])), lambda a, x: {{'t': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'at': CASE WHEN x.t >= a.at - 4 AND x.t <= until + 2 AND x.t - a.at <= 120 THEN greatest(a.at, least(until, x.e)) ELSE a.at END}}).at AS content FROM g LEFT JOIN c USING (page) LEFT JOIN f USING (page))
+SELECT page, CAST(CASE WHEN coalesce(least(until, content + 8) - 20 >= 40, false) THEN least(until, content + 8) ELSE until END AS DOUBLE) AS bottom FROM o
+"""
+
+
+@query("WIN_17_refined_bottoms", _BOTTOMS)
 def bottoms(spark, d):
-    rows = boxes(spark, d).select("page", F.col("box.top").alias("top"), F.col("box.height").alias("height"))
-    return S.refined_bottoms(rows, ["page"])
+    """Sixteen parts a page are lines, of which some begin a choice; four are figures; a page is one region."""
+    b, until = boxes(spark, d), F.lit(600.0) + F.col("page") % 4 * 50
+    regs = b.select("page").distinct().select("page", box("0", "20", "600", "700").alias("region"), until.alias("until"), F.lit(PAGE_H).alias("page_height"))
+    lines = b.where("id % 20 < 16").select("page", F.col("box.top").alias("top"), F.col("box.left").alias("left"), F.col("box.height").alias("height"), ((F.col("id") % 7 == 0) & (F.col("page") % 3 > 0)).alias("choice"))
+    figures = b.where("id % 20 >= 16").select("page", F.col("id").alias("ord"), F.col("box").alias("figure"))
+    return S.refined_bottoms(regs, lines, figures, "page")
 
 
 @query("GEO_3_union_area", f"WITH b AS (SELECT page, l, l + w AS r, t, t + h AS b FROM ({_SQL_PARTS})), x AS (SELECT page, x, lead(x) OVER (PARTITION BY page ORDER BY x) AS x2 FROM (SELECT DISTINCT page, x FROM (SELECT page, l AS x FROM b UNION ALL SELECT page, r FROM b))), s AS (SELECT b.page, x.x, x.x2, b.t, b.b, max(b.b) OVER (PARTITION BY b.page, x.x ORDER BY b.t, b.b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM x JOIN b ON x.page = b.page AND b.l <= x.x AND b.r >= x.x2 WHERE x2 IS NOT NULL) SELECT page, sum(greatest(0, b - greatest(t, coalesce(prev, t))) * (x2 - x)) AS area FROM s GROUP BY page")
