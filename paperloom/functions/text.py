@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's regular expressions know it, in a form that Java and RE2 read alike.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The signs between the numbers of a range of questions.
+DASHES = r"~∼～\-–"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨"
 

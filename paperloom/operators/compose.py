@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, circled_answer, stripped, text, wrapped_lines
+from ..functions.text import DASHES, WS, circled_answer, stripped, text, wrapped_lines
 
 TEMPLATE_FIELDS = "key string, columns int, circled_choices boolean, answer_blank boolean, answer_key boolean, inline_short_choices boolean, default_title string"
 #: Presets of the engine: a caller can pass any other rows of these fields.
@@ -19,7 +19,7 @@ TEMPLATES = [
     ("answer_sheet", 2, True, False, True, True, "정답지"),
 ]
 CAPACITY, LAST_NUMBER = 100, 999
-_RANGE = rf"^{WS}*\[{WS}*\d{{1,3}}{WS}*[~∼～\-–]{WS}*\d{{1,3}}{WS}*\]"
+_RANGE = rf"^{WS}*\[{WS}*\d{{1,3}}{WS}*[{DASHES}]{WS}*\d{{1,3}}{WS}*\]"
 
 
 def templates(spark) -> DataFrame:

@@ -86,3 +86,41 @@ def test_numbered_lines():
     assert T.numbered_lines(["3.5는 수다."], "4") == ["4. 3.5는 수다."]
     assert T.numbered_lines(["[1~2] 다음 글을 읽고 답하시오.", "지문", "옳은 것은? [2점]"], "1") == ["[1~2] 다음 글을 읽고 답하시오.", "지문", "1. 옳은 것은? [2점]"]
     assert T.numbered_lines([], "1") == ["1."] and T.numbered_lines(["가"], "") == ["가"]
+
+
+def test_key_sections():
+    for t in ("빠른 정답", "정답 및 해설", " 정답과 해설 1회", "정답표", "[정답 표] 1. ③"):
+        assert T.starts_key(t), t
+    for t in ("[정답] ③", "1. 정답표를 보고", "본문", "", "   ", "철수가 만든 정답표"):
+        assert not T.starts_key(t), t
+    title = "2025학년도 화학 정답 및 해설"
+    assert T.starts_key(title, ("1. ③", "2. ④")) and not T.starts_key(title, ("1. ③",)) and not T.starts_key(title, ("① 가", "1. ③ 2. ④"))
+
+
+def test_key_ends_before_the_next_question():
+    items, report = T.chunked(blocks("1. 가", "빠른 정답", "1. ③", "2. ④", "2. 나", "① x ② y"))
+    assert [(i["number"], i["answer"], i["stem"], i["choices"]) for i in items] == [("1", "③", "1. 가", []), ("2", "④", "2. 나", ["x", "y"])]
+    assert report == {"mapped": 2, "unmatched": 0}
+
+
+def test_answer_lines_and_heads():
+    assert T.split_answer("본문\n[정답] ③\n남은 본문") == ("본문\n남은 본문", "③", "")
+    assert T.split_answer("본문\n정답 및 해설\n더") == ("본문\n정답 및 해설\n더", "", "")
+    assert T.split_answer("정답: 해설\nAnswer : x+1 \n  Solution\n까닭\n\n\n\n끝") == ("정답: 해설", "x+1", "까닭\n\n끝")
+    assert T.split_answer("가\r\n풀이: 하나\r\n해설 둘") == ("가", "", "하나\n둘") and T.split_answer("") == ("", "", "")
+
+
+def test_labels_of_choices():
+    assert T.split_choices("고르면?\n1 가\n2 나\n3 다\n4 라") == ("고르면?", ["가", "나", "다", "라"])
+    assert T.split_choices("고르면?\n1) 가\n2) 나") == ("고르면?\n1) 가\n2) 나", [])
+    assert T.split_choices("고르면?\n(1) 가\n(2) 나\n(3) 다\n7) 라") == ("고르면?\n7) 라", ["가", "나", "다"])
+    assert T.split_choices("고르면?\nA. 가\n③ 나") == ("고르면?", ["가", "나"])
+    assert T.split_choices("  들여 쓴 줄\n값 2 3 4") == ("들여 쓴 줄\n값 2 3 4", [])
+    assert T.split_choices("① ② ③") == ("", ["①", "②", "③"]) and T.split_choices("") == ("", [])
+
+
+def test_pairs_among_lists_of_choices():
+    assert T.answer_pairs("1번 정답 ② 2) ④, 1234 ⑤ 3.5 ①") == {"1": "②", "2": "④"}
+    assert T.answer_pairs("1 ③ 2 ① 3 ④") == {"1": "③", "2": "①", "3": "④"}
+    assert T.answer_pairs("보기 ① 10 ② 20 ③ 30\n7. ④") == {"7": "④"}
+    assert T.answer_pairs("3 ❷") == {}
