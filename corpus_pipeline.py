@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import piece_codec, simhash, source_mix, substring_dedup, toxicity
-from paperloom.llm.shared import staged
+from paperloom.llm.shared import dropped, scratch_dir
 from paperloom.session import ship
 
 #: Not expressible in SQL (XXH64, learned scores, BPE); the tests hold the stages against brute force.
@@ -65,8 +65,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each but the last is written to the shared folder and read again, and goes when the
+    next is written. The last of them stays, since the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = staged(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_dir(spark, name.replace(" ", "-"))
+        (out := step(spark, docs, sf_dir)).write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

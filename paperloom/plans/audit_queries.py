@@ -222,8 +222,27 @@ def block_kinds(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.block_kind(v).alias("kind"))
 
 
-@query("STR_19_math_issues")
+#: Texts behind formulas that are whole or not; {b} is a backslash.
+_FORMULAS = "CASE doc_id % 5 WHEN 0 THEN '${{' || text WHEN 1 THEN '$x}}{{$ ' || text || ' □' WHEN 2 THEN {b} || '$5 {{a{{b}}}} ' || {b} || '(x ' || text WHEN 3 THEN {b} || '[y' || {b} || '] ' || {b} || '{{ ' || text ELSE text END"
+
+
+def _times(part: str) -> str:
+    """How often a string of two characters stands in v."""
+    return f"((len(v) - len(replace(v, chr(92) || '{part}', ''))) // 2)"
+
+
+_ISSUES = f"""
+WITH t AS (SELECT doc_id AS id, text, {_FORMULAS.format(b="chr(92)")} AS v FROM documents),
+b AS (SELECT *, regexp_replace(replace(replace(v, chr(92) || '{{', ''), chr(92) || '}}', ''), '[^{{}}]', '', 'g') AS m, replace(v, chr(92) || '$', '') AS w FROM t),
+d AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: 2 * len(replace(m[1:i], '}}', '')) - i) AS depth FROM b)
+SELECT id, list_filter([CASE WHEN (len(w) - len(replace(w, '$', ''))) % 2 = 1 THEN 'dollars' END, CASE WHEN {_times("(")} <> {_times(")")} THEN 'parentheses' END, CASE WHEN {_times("[")} <> {_times("]")} THEN 'brackets' END,
+  CASE WHEN len(depth) > 0 AND (list_min(depth) < 0 OR depth[len(depth)] <> 0) THEN 'braces' END, CASE WHEN regexp_matches(v, '[\\x{{FFFD}}\\x{{25A1}}\\x{{25A2}}\\x{{25A0}}\\x{{E000}}-\\x{{F8FF}}]') THEN 'glyphs' END], lambda x: x IS NOT NULL) AS issues,
+  regexp_matches(coalesce(text, ''), '^{WS}|{WS}$|[ \\t]{{2,}}|[ \\t]\\n|\\n{WS}*\\n{WS}*\\n') AS spaces FROM d
+"""
+
+
+@query("STR_19_math_issues", _ISSUES)
 def math_issues(spark, d):
-    """Texts have no formulas; braces and dollars are put around every third one. Held against fixtures in the tests."""
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("${"), "text")).otherwise(F.col("text"))
+    """Texts have no formulas: some are put before them."""
+    t = F.expr(_FORMULAS.format(b="char(92)"))
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), A.math_issues(t).alias("issues"), A.whitespace_issue(F.col("text")).alias("spaces"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
 from pyspark.sql import functions as F
 
 from ..functions import exam_text as T
@@ -43,9 +41,13 @@ def hosts(spark, d):
     return table(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"))
 
 
-@query("STR_23_quoted")
+@query("STR_23_quoted", "SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted FROM pages")
 def quoted(spark, d):
-    return table(spark, d, "pages").select("page_id", T.arrow(lambda u: quote(u, safe="/"), "string")("url").alias("quoted"))
+    """Letters, digits, ``_.-~`` and ``/`` stay as they are."""
+    out = F.url_encode("url")
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return table(spark, d, "pages").select("page_id", out.alias("quoted"))
 
 
 @query("STR_7_field_spans")
@@ -55,10 +57,14 @@ def field_spans(spark, d):
     return rows.select("conv_id", "turn", "f.field", F.explode(T.spans(F.col("f.value"))).alias("s")).select("conv_id", "turn", "field", "s.*")
 
 
-@query("STR_13_key_sections")
+_SAID = "CASE turn % 5 WHEN 0 THEN '[정답 표] ' || text WHEN 1 THEN ' 빠른  정답 ' || text WHEN 2 THEN '3. 정답표 ' || text WHEN 3 THEN '정답과 해설' ELSE text END"
+
+
+@query("STR_13_key_sections", f"SELECT conv_id, turn, regexp_matches(f, '^(빠른[ \t]*정답|정답[ \t]*(및|과)[ \t]*해설|정답[ \t]*표|\\[[ \t]*정답[ \t]*표[ \t]*\\])') AND NOT regexp_matches(f, '^(문제[ \t]*)?[0-9]{{1,3}}[ \t]*[.)]([^0-9]|$)') AS starts_key FROM (SELECT conv_id, turn, ltrim(regexp_extract(ltrim({_SAID}), '^[^\n]*')) AS f FROM conversations)")
 def key_sections(spark, d):
-    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[정답표] "), "text")).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.arrow(T.starts_key, "boolean")(said).alias("starts_key"))
+    from ..functions.exam_columns import opens_key
+
+    return table(spark, d, "conversations").select("conv_id", "turn", opens_key(F.expr(_SAID)).alias("starts_key"))
 
 
 @query("CMP_8_groups_by_end", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS \"group\" FROM conversations")

@@ -17,7 +17,7 @@ def pages(spark, d):
     return read_pages(table(spark, d, "pages"))
 
 
-@query("STR_17_semantic_texts")
+@query("STR_17_semantic_texts", r"SELECT conv_id, turn, regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\s\x{A0}\p{P}]', '', 'g') AS text FROM conversations")
 def semantic(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.semantic_text("text").alias("text"))
 
@@ -98,12 +98,28 @@ def list_numbers(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), circled.alias("circled"), F.chr(97 + (F.col("p_size") - 1) % 26).alias("latin"))
 
 
-@query("STR_11_answer_lines")
+#: Texts with an answer, an explanation and, by turn, more of either after them.
+_ANSWERED = "text || chr(10) || '정답: ③' || chr(10) || '해설: 끝' || chr(10) || CASE turn % 3 WHEN 0 THEN text || chr(10) || '[답] 4' || chr(10) || '남은 말' WHEN 1 THEN '풀이' || chr(10) || text ELSE '정답 및 해설' END"
+_B = "[ \t\u00a0\u3000]*"
+_CLEAN = "trim(regexp_replace(regexp_replace(coalesce({}, ''), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
+_ANSWERS = rf"""
+WITH t AS (SELECT conv_id, turn, {_ANSWERED} AS x FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, turn, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM t),
+v AS (SELECT *, regexp_extract(line, '(?i)^{_B}(\[{_B})?(정답|답|answer){_B}\]?{_B}[:：]?{_B}(\S.*)$', 3) AS told, regexp_matches(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution)') AS head,
+  regexp_replace(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution){_B}\]?{_B}[:：]?{_B}', '') AS rest FROM l),
+k AS (SELECT *, CASE WHEN told <> '' AND NOT regexp_matches(told, '^(및{_B})?(해설|풀이){_B}$') THEN 'a' WHEN head THEN 'e' END AS kind FROM v),
+m AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS mode FROM k)
+SELECT conv_id, turn, {_CLEAN.format("string_agg(line, chr(10) ORDER BY i) FILTER (kind IS NULL AND mode IS DISTINCT FROM 'e')")} AS body, trim(coalesce(arg_max(told, i) FILTER (kind = 'a'), '')) AS answer,
+  {_CLEAN.format("string_agg(CASE WHEN kind = 'e' THEN rest ELSE line END, chr(10) ORDER BY i) FILTER (mode = 'e' AND (kind IS NULL OR rest <> ''))")} AS explanation FROM m GROUP BY conv_id, turn
+"""
+
+
+@query("STR_11_answer_lines", _ANSWERS)
 def answer_lines(spark, d):
     from ..functions.exam_columns import answer_and_explanation
 
-    t = F.concat("text", F.lit("\n정답: ③\n해설: 끝"))
-    return table(spark, d, "conversations").select("conv_id", "turn", answer_and_explanation(t).alias("parts")).select("conv_id", "turn", "parts.*")
+    parts = answer_and_explanation(F.expr(_ANSWERED.replace("chr(10)", "char(10)")))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", "parts.*")
 
 
 @query("STR_9_choices")
