@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import exam_text as T
-from .text import CIRCLED, text
+from .text import CIRCLED, DASHES, cleaned, stripped, text
 
 
 def first_keyword(name: Column, rules: list[tuple[str, list[str]]], default: str = "") -> Column:
@@ -57,7 +57,7 @@ def masthead(h: Column) -> Column:
 
 def shared_range(raw: Column) -> Column:
     """First and last number of ``[n~m]`` at a text's start where n is no larger than m, else null."""
-    pattern = r"^\s*\[\s*(\d{1,3})\s*[~∼～\-–]\s*(\d{1,3})\s*\]"
+    pattern = rf"^\s*\[\s*(\d{{1,3}})\s*[{DASHES}]\s*(\d{{1,3}})\s*\]"
     a, b = (F.try_to_number(F.nullif(F.regexp_extract(text(raw), pattern, i), F.lit("")), F.lit("999")).cast("int") for i in (1, 2))
     return F.when(a <= b, F.array(a, b))
 
@@ -80,5 +80,23 @@ def _table(function, kind: str, names: list[str]):
 
 
 stem_and_choices = _table(T.split_choices, "stem string, choices array<string>", ["stem", "choices"])
-answer_and_explanation = _table(T.split_answer, "body string, answer string, explanation string", ["body", "answer", "explanation"])
+
+
+def answer_and_explanation(c: Column) -> Column:
+    """body, answer (of the last answer line) and explanation: explanations reach from their head to the next answer line."""
+    t = F.regexp_replace(text(c), "\r\n?", "\n")
+    line, head = f"(?dim){T.ANSWER_LINE}", f"(?dim){T.EXPLANATION_HEAD}"
+    block = rf"(?dims){T.EXPLANATION_HEAD}.*?(?={T.ANSWER_LINE}|\z)"
+    body = F.regexp_replace(F.regexp_replace(t, block, ""), line + "\n?", "")
+    answers = F.regexp_extract_all(t, F.lit(line), F.lit(1))
+    told = F.regexp_replace(F.array_join(F.regexp_extract_all(t, F.lit(block), F.lit(0)), "\n"), head + "\n?", "")
+    return F.struct(cleaned(body).alias("body"), stripped(F.coalesce(F.get(answers, F.size(answers) - 1), F.lit(""))).alias("answer"), cleaned(told).alias("explanation"))
+
+
+def opens_key(c: Column) -> Column:
+    """Whether a paragraph begins with a heading of the answer section."""
+    first = F.regexp_extract(stripped(text(c)), "^[^\n]*", 0)
+    return first.rlike(rf"^({T.KEY_HEAD}|\[{T.BLANK}*정답{T.BLANK}*표{T.BLANK}*\])") & ~first.rlike(T.NUMBER_HEAD)
+
+
 key_pairs = T.arrow(lambda t: [{"number": n, "value": v} for n, v in T.answer_pairs(t).items()], "array<struct<number:string,value:string>>")
