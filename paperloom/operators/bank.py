@@ -59,6 +59,46 @@ def identity(*fields: Column) -> Column:
     return F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("v2:"), F.sha1(whole)))
 
 
+def tables_json(tables: Column) -> Column:
+    """Tables (rows of cells) as JSON text with a blank after each comma; no table gives the empty text."""
+    listed = lambda c, inner: F.concat(F.lit("["), F.array_join(F.transform(c, inner), ", "), F.lit("]"))
+    cell = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return F.when(F.coalesce(F.size(tables), F.lit(0)) > 0, listed(tables, lambda t: listed(t, lambda r: listed(r, cell)))).otherwise("")
+
+
+def item_identity(stem: Column, choices: Column, answer: Column, tables: Column, image_hashes: Column) -> Column:
+    """Identity of a whole item: stem, choices, answer, tables and the hashes of its pictures, in that order."""
+    none = F.array().cast("array<string>")
+    nonempty = F.filter(F.array(tables_json(tables)), lambda t: t != "")
+    parts = F.concat(F.array(text(stem)), F.coalesce(choices, none), F.array(text(answer)), nonempty, F.coalesce(image_hashes, none))
+    return identity(F.array_join(parts, "\n"))
+
+
+def api_items(rows: DataFrame) -> DataFrame:
+    """Stored rows as a reader gets them: JSON columns parsed, pictures with their addresses, formulas of the stem with a
+    summary, no content hash. Unreadable or empty layouts are null."""
+    from ..functions.exam_text import spans
+
+    strings, nested = "array<string>", "array<array<array<string>>>"
+    paths = safe_image_paths(F.coalesce(F.from_json("image_paths_json", strings), F.array().cast(strings)))
+    layout = F.when(F.size(F.from_json("layout_json", "map<string,string>")) > 0, F.col("layout_json"))
+    out = rows.withColumns({
+        "choices": F.coalesce(F.from_json("choices_json", strings), F.array().cast(strings)), "tables": F.coalesce(F.from_json("tables_json", nested), F.array().cast(nested)),
+        "image_paths": paths, "layout": layout, "math_spans": spans(text("stem")),
+    }).drop("choices_json", "tables_json", "image_paths_json", "layout_json", "content_hash")
+    address = lambda p: F.concat(F.lit("/files/"), quoted(p))
+    count = lambda kind: F.size(F.filter("math_spans", lambda s: s["kind"] == kind)).cast("long")
+    return out.withColumns({"image_urls": F.transform("image_paths", address), "math_summary": F.struct(F.size("math_spans").cast("long").alias("n"), count("latex").alias("latex"), count("symbolic").alias("symbolic"))})
+
+
+def quoted(path: Column) -> Column:
+    """Percent-encoded; letters, digits, ``_.-~`` and ``/`` stay as they are."""
+    out = F.url_encode(path)
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
 def legacy_identity(*fields: Column) -> Column:
     """The former identity, which folded case and had no prefix; it only shortlists."""
     whole = collapsed(F.concat_ws("\n", *[text(f) for f in fields]))

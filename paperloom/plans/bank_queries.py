@@ -50,14 +50,14 @@ def item_lookup(spark, d):
 
 
 def selection(spark, d) -> DataFrame:
-    """Labelled documents in the order of quality, then the newest first."""
+    """Exams of labelled documents (every hundredth is of one exam), in the order of quality, then the newest first."""
     from pyspark.sql import Window as W
 
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return labels.select(F.col("doc_id").alias("id"), F.row_number().over(W.orderBy(F.desc("quality"), F.desc("doc_id"))).cast("long").alias("pos"))
+    return labels.select(F.col("doc_id").alias("id"), F.row_number().over(W.partitionBy(F.col("doc_id") % 100).orderBy(F.desc("quality"), F.desc("doc_id"))).cast("long").alias("pos"))
 
 
-_SELECTION = "SELECT doc_id AS id, row_number() OVER (ORDER BY quality DESC, doc_id DESC) AS pos FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
+_SELECTION = "SELECT doc_id AS id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY quality DESC, doc_id DESC) AS pos FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
 
 
 @query("JOIN_2_items_in_selection_order", f"SELECT s.pos, s.id, d.source AS source_name, d.n_chars FROM ({_SELECTION}) s JOIN documents d ON d.doc_id = s.id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exam_text as T
+from ..functions.text import WS
 from ..operators import audit, bank
 from ..operators import geometry as G
 from ..operators import segment as S
@@ -43,11 +44,7 @@ def hosts(spark, d):
 
 @query("STR_23_quoted", "SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted FROM pages")
 def quoted(spark, d):
-    """Letters, digits, ``_.-~`` and ``/`` stay as they are."""
-    out = F.url_encode("url")
-    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
-        out = F.replace(out, F.lit(coded), F.lit(plain))
-    return table(spark, d, "pages").select("page_id", out.alias("quoted"))
+    return table(spark, d, "pages").select("page_id", bank.quoted(F.col("url")).alias("quoted"))
 
 
 @query("STR_7_field_spans")
@@ -152,3 +149,31 @@ def table_matches(spark, d):
         return [{"turn": r["turn"], "partner": None if k is None else output[k]["turn"], "different": n} for r, (k, n) in zip(source, found, strict=True)]
 
     return G.folded(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], run, "conv_id long, turn long, partner double, different long")
+
+
+_ROWS = "SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN '[\"' || p_brand || '\", \"b\"]' WHEN p_partkey % 3 = 1 THEN '[]' END AS choices_json, CASE WHEN p_partkey % 2 = 0 THEN '[\"img/a b' || p_size || '.png\", \"../x.png\"]' END AS image_paths_json, CASE p_partkey % 4 WHEN 0 THEN '{\"w\": 3}' WHEN 1 THEN '{}' WHEN 2 THEN 'broken' END AS layout_json FROM part"
+
+
+@query("PRJ_1_api_items", f"SELECT id, coalesce(from_json(choices_json, '[\"VARCHAR\"]'), []) AS choices, CASE WHEN image_paths_json IS NULL THEN [] ELSE ['/files/' || replace(replace(from_json(image_paths_json, '[\"VARCHAR\"]')[1], ' ', '%20'), '+', '%2B')] END AS image_urls, CASE WHEN id % 4 = 0 THEN layout_json END AS layout, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS formulas FROM ({_ROWS})")
+def api_items(spark, d):
+    table(spark, d, "part").createOrReplaceTempView("_parts_of_prj_1")
+    rows = spark.sql(_ROWS.replace("FROM part", "FROM _parts_of_prj_1"))
+    stem = F.when(F.col("id") % 5 == 0, F.concat(F.lit("값 x² 는 "), F.regexp_replace("p_name", "[^A-Za-z ]", ""))).otherwise(F.regexp_replace("p_name", "[^A-Za-z ]", ""))
+    out = bank.api_items(rows.withColumn("stem", stem).withColumns({"tables_json": F.lit("[]"), "content_hash": F.lit("v2:")}))
+    return out.select("id", "choices", "image_urls", "layout", F.col("math_summary.symbolic").alias("formulas"))
+
+
+@query("DED_1_item_identity", "SELECT doc_id AS id, 'v2:' || sha1(trim(regexp_replace(coalesce(text, '') || chr(10) || lang || chr(10) || 'b' || chr(10) || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '[[[\"' || source || '\", \"x\"], [\"\"]]]' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || sha1(source) ELSE '' END, '" + WS + "+', ' ', 'g'))) AS content_hash FROM documents")
+def item_identity(spark, d):
+    tables = F.when(F.col("doc_id") % 2 == 0, F.array(F.array(F.array(F.col("source"), F.lit("x")), F.array(F.lit("")))))
+    images = F.when(F.col("doc_id") % 3 == 0, F.array(F.sha1("source")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), bank.item_identity(F.col("text"), F.array(F.col("lang"), F.lit("b")), F.col("source"), tables, images).alias("content_hash"))
+
+
+@query("FLT_14_visible_files", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 OR lower(regexp_extract(lang || '.' || CASE doc_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'docx' WHEN 2 THEN 'json' ELSE 'png' END, '[^.]*$')) IN ('hwpx', 'docx', 'hwp', 'pdf')")
+def visible_files(spark, d):
+    from ..sources.files import visible
+
+    kind = F.element_at(F.array(*map(F.lit, ("PDF", "docx", "json", "png"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat("source", F.lit("/"))), "lang", F.lit("."), kind)
+    return visible(table(spark, d, "documents").select(F.col("doc_id").alias("id"), path.alias("name"))).select("id")

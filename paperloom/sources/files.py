@@ -13,13 +13,14 @@ import os
 import re
 import sqlite3
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exam_text import chunked, clean, split_answer, split_choices
@@ -303,3 +304,31 @@ def exports(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".hwpx"
     for s in suffixes:
         ok = ok | F.lower("path").endswith(s)
     return files.where(ok).orderBy(F.desc("modificationTime"), "path")
+
+
+def visible(files: DataFrame) -> DataFrame:
+    """Files (name: the path below the export folder) that a list shows: all of the folder itself, only documents of folders in it."""
+    nested = F.contains("name", F.lit("/"))
+    return files.where(~nested | F.lower(F.substring_index("name", ".", -1)).isin("hwpx", "docx", "hwp", "pdf"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """JSON lines of a report at a path of any store: written aside, then moved to where readers look, so they never meet half of it."""
+    spark = rows.sparkSession
+    jvm, aside = spark._jvm.org.apache.hadoop.fs, f"{path}.{uuid.uuid4().hex}.part"
+    rows.write.json(aside)
+    new, old = jvm.Path(aside), jvm.Path(path)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    former = jvm.Path(f"{aside}.old")
+    had = fs.exists(old) and fs.rename(old, former)
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(former, old)
+        raise OSError(f"{aside} can't be moved to {path}")
+    if had:
+        fs.delete(former, True)
+
+
+def now() -> Column:
+    """The current time to the second, and its stamp in file names is ``date_format(now(), 'yyyyMMdd_HHmmss')``."""
+    return F.date_trunc("second", F.current_timestamp())

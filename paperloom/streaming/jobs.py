@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "1 hour"
-LEASE, TRIES = 30.0, 2
+LEASE, TRIES, KEPT = 30.0, 2, 30 * 86400.0  # KEPT: seconds for which a queue remembers a finished job
 FINISHED = frozenset({"succeeded", "failed", "cancelled"})
 
 
@@ -101,16 +101,23 @@ def advance(jobs: dict[str, dict[str, Any]], e: dict[str, Any]) -> str:
 
 
 def queue(events: DataFrame) -> DataFrame:
-    """queue, pos and outcome of queue events (queue, pos, ts, op, id, attempt, ok). A queue is one state: it runs one job at a time."""
+    """queue, pos and outcome of queue events (queue, pos, ts, op, id, attempt, ok). A queue is one state: it runs one job at a time.
+
+    Finished jobs are remembered for ``KEPT`` seconds, so a repeated submit starts none of them again and a cancel tells its state.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         jobs = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["ts", "pos"])
         out = []
         for r in rows.to_dict("records"):
-            told = advance(jobs, {"op": r["op"], "id": r["id"], "attempt": r["attempt"], "ok": bool(r["ok"]), "t": r["ts"].timestamp()})
+            now = r["ts"].timestamp()
+            told = advance(jobs, {"op": r["op"], "id": r["id"], "attempt": r["attempt"], "ok": bool(r["ok"]), "t": now})
+            if (job := jobs.get(r["id"] or "")) and job["state"] in FINISHED:
+                job.setdefault("ended", now)
             out.append((key[0], r["pos"], told))
-        state.update((json.dumps({i: j for i, j in jobs.items() if j["state"] not in FINISHED}),))
+        latest = rows["ts"].max().timestamp()
+        state.update((json.dumps({i: j for i, j in jobs.items() if j["state"] not in FINISHED or j.setdefault("ended", latest) >= latest - KEPT}),))
         yield pd.DataFrame(out, columns=["queue", "pos", "outcome"])
 
     return events.groupBy("queue").applyInPandasWithState(step, "queue string, pos long, outcome string", "jobs string", "append", GroupStateTimeout.NoTimeout)

@@ -6,7 +6,7 @@ import sqlite3
 import zipfile
 
 from paperloom.sources import read
-from paperloom.sources.files import exports, page_paragraphs
+from paperloom.sources.files import exports, now, page_paragraphs, visible, write_report
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -55,3 +55,16 @@ def test_pages():
     texts, images = page_paragraphs(html)
     assert texts == ["T", ("long " * 60).strip(), "same"] and images == ["a.png"]
     assert page_paragraphs("<p>one</p><img src=b.png><img src=b.png>") == (["one"], ["b.png"]) and page_paragraphs(None) == ([], [])
+
+
+def test_reports_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/report.json"
+    for n in (3, 2):
+        write_report(spark.range(n), path)
+        assert spark.read.json(path).count() == n and [p.name for p in tmp_path.iterdir()] == ["report.json"]
+    assert spark.range(1).select(now().alias("t")).first().t.microsecond == 0
+
+
+def test_visible_files(spark):
+    names = ["a.json", "b/c.json", "b/c.PDF", "b/d.hwpx", "e"]
+    assert [r.name for r in visible(spark.createDataFrame([(n,) for n in names], "name string")).collect()] == ["a.json", "b/c.PDF", "b/d.hwpx", "e"]

@@ -35,8 +35,12 @@ def test_fixed_window(spark, tmp_path):
 def test_queue_stream(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
     rows = [("q", 1, at(0), "submit", "j1", None, None), ("q", 2, at(1), "claim", None, "w1", None), ("q", 3, at(2), "finish", "j1", "w1", True), ("q", 4, at(3), "claim", None, "w1", None)]
+    later = [("q", 5, at(9), "submit", "j1", None, None), ("q", 6, at(10), "cancel", "j1", None, None), ("q", 7, at(31 * 86400), "submit", "j2", None, None)]
     got = {r.pos: r.outcome for r in run(spark, S.queue(stream(spark, tmp_path, rows, "queue string, pos long, ts timestamp, op string, id string, attempt string, ok boolean")), "queue_out")}
     assert got == {1: "queued", 2: "claimed:j1", 3: "succeeded", 4: "idle"}
+    (tmp_path / "later").mkdir()
+    got = {r.pos: r.outcome for r in run(spark, S.queue(stream(spark, tmp_path / "later", rows + later, "queue string, pos long, ts timestamp, op string, id string, attempt string, ok boolean")), "queue_later")}
+    assert {k: got[k] for k in (5, 6, 7)} == {5: "repeated", 6: "succeeded", 7: "queued"}
 
 
 def test_leases_and_fences():
