@@ -102,8 +102,9 @@ def column_split(marks: DataFrame, keys: list[str]) -> DataFrame:
     """Column (0 or 1) of each marker: markers beyond the largest gap between centres (the first of equal ones) are in the
     second, if the gap is wide enough. A second column's bounds begin at the page's middle, not at the gap."""
     w = W.partitionBy(*keys)
-    placed = marks.withColumn("_place", F.row_number().over(w.orderBy("x", "id")))
-    gap = F.struct((F.lead("x").over(w.orderBy("x", "id")) - F.col("x")).alias("gap"), (-F.col("_place")).alias("after"))
+    order = [c for c in ("x", "id", "top") if c in marks.columns]
+    placed = marks.withColumn("_place", F.row_number().over(w.orderBy(*order)))
+    gap = F.struct((F.lead("x").over(w.orderBy(*order)) - F.col("x")).alias("gap"), (-F.col("_place")).alias("after"))
     widest = F.max(F.when(F.col("_gap.gap").isNotNull(), F.col("_gap"))).over(w)
     out = placed.withColumn("_gap", gap).withColumn("_widest", widest)
     second = (F.col("_widest.gap") >= F.greatest(F.lit(80.0), F.col("page_width") * 0.18)) & (F.col("_place") > -F.col("_widest.after"))
