@@ -34,10 +34,22 @@ def math_summary(spark, d):
     return s.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("s.kind")).alias("kinds"), F.bool_or(F.col("s.kind") == "latex").alias("any_latex"), F.bool_or(F.col("s.kind") == "symbolic").alias("any_symbolic"))
 
 
-@query("STR_8_latex")
+#: Scripts over a part's size, and the LaTeX that each must become; a part takes the one of its key.
+SCRIPTS = (
+    ("root {@} of {x+1} over 2", r"\frac{\sqrt[@]{x+1}}{2}"),
+    ("{n} choose {@}", r"\binom{n}{@}"),
+    ("{ matrix {a & @ # c & d} }", r"\begin{matrix}a&@\\c&d\end{matrix}"),
+    ("{cases{@``x & LEFT ( x GEQ 0 RIGHT )#-x & x<0}}", r"\begin{cases}@x&\left(x\geq0\right)\\-x&x<0\end{cases}"),
+    ("UNDERBRACE {a+b} {@} != { vec {AB} }", r"\underbrace{a+b}_{@}\neq\overrightarrow{AB}"),
+    ('lim _{x->@} {sin x} over {x} "over"', r"\lim_{x\rightarrow@}\frac{\sin x}{x}\text{over}"),
+    ("sum_{k=1}^{@} it k^2 TIMES OMEGA", r"\sum_{k=1}^{@}k^{2}\times\Omega"),
+)
+
+
+@query("STR_8_latex", "SELECT p_partkey AS id, replace(CASE " + " ".join(f"WHEN p_partkey % {len(SCRIPTS)} = {i} THEN '{latex}'" for i, (_, latex) in enumerate(SCRIPTS)) + " END, '@', CAST(p_size AS VARCHAR)) AS latex FROM part")
 def latex(spark, d):
-    p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), T.latex(F.concat(F.lit("root {"), "p_size", F.lit("} of {x+1} over 2"))).alias("latex"))
+    form = F.element_at(F.array(*[F.lit(script) for script, _ in SCRIPTS]), (F.col("p_partkey") % len(SCRIPTS) + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.latex(F.replace(form, F.lit("@"), F.col("p_size").cast("string"))).alias("latex"))
 
 
 @query("GEO_2_merged_boxes")

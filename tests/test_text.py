@@ -12,7 +12,13 @@ from paperloom.functions import exam_columns, exam_text as T, text as X
     ("script", "latex"),
     [
         ("root {3} of {x+1}", r"\sqrt[3]{x+1}"), ("1 over 2", r"\frac{1}{2}"), ("{a+b} over {c}", r"\frac{a+b}{c}"), ("sqrt {x}", r"\sqrt{x}"),
-        ("x^2 + y_1", "x^{2}+y_{1}"), ("alpha times beta", r"\alpha\times\beta"), ("vec {a}", r"\vec{a}"), ("pi r^{2}", r"\pi r^{2}"),
+        ("x^2 + y_1", "x^{2}+y_{1}"), ("alpha times beta", r"\alpha\times\beta"), ("pi r^{2}", r"\pi r^{2}"),
+        ("LEFT ⌊ a+b RIGHT ⌋", r"\left\lfloor a+b\right\rfloor"), ("a ± b != c LEQ d", r"a\pm b\neq c\leq d"), ("LEFT { x RIGHT }", r"\left\{x\right\}"),
+        ("{ { 1 } over { x } } over { y }", r"\frac{\frac{1}{x}}{y}"), ('{a} over {b} + x _ {"over"}', r"\frac{a}{b}+x_{\text{over}}"),
+        ("groot + cover", "groot+cover"), ("{ vec {AB} }", r"\overrightarrow{AB}"), ("arch {AB}", r"\overset{\frown}{AB}"), ("OVERBRACE {x+y} {n}", r"\overbrace{x+y}^{n}"),
+        ("{n} choose {r}", r"\binom{n}{r}"), ("^3sqrt {x^{2}+1}", r"\sqrt[3]{x^{2}+1}"), ("lim _{x->0} {sin x} over {x}", r"\lim_{x\rightarrow0}\frac{\sin x}{x}"),
+        ('x=1"이면 "y=2', r"x=1\text{이면}y=2"), ("{a _{n}it^{2} +5} over {3}", r"\frac{a_{n}^{2}+5}{3}"), ("{ pmatrix {a & b # c & d} }", r"\begin{pmatrix}a&b\\c&d\end{pmatrix}"),
+        ("{cases{`x&x<0#y&x>0}}", r"\begin{cases}x&x<0\\y&x>0\end{cases}"), ("", ""), ("}}a", "a"), ("over x ^", "overx^{}"), ("{" * 5000, "{" * 5000),
     ],
 )
 def test_scripts(script, latex):
