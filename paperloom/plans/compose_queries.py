@@ -133,7 +133,7 @@ def layout_plan(spark, d):
     return C.planned(n, "sel", 2)
 
 
-@query("CMP_1_baskets")
+@query("CMP_1_baskets", "WITH RECURSIVE l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type AS e, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM events), b AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM events UNION ALL SELECT l.user_id, l.i, CASE WHEN e = 'error' THEN CAST([] AS BIGINT[]) WHEN e = 'purchase' THEN list_filter(ids, lambda x: x <> id) WHEN (e = 'view') <> list_contains(ids, id) THEN ids WHEN e = 'view' THEN list_prepend(id, list_filter(ids, lambda x: x <> id)) ELSE list_append(ids, id) END FROM b JOIN l ON l.user_id = b.user_id AND l.i = b.i + 1) SELECT user_id, ids FROM b QUALIFY i = max(i) OVER (PARTITION BY user_id)")
 def baskets(spark, d):
     """Events stand for basket operations; a fold along each user's log, which the tests hold against a loop."""
     e = table(spark, d, "events")

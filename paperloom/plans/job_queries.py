@@ -83,7 +83,7 @@ def cancelled(spark, d):
     return job_rows(spark, d).select("id", J.cancelled(F.col("state")).alias("state"))
 
 
-@query("STM_6_fixed_window")
+@query("STM_6_fixed_window", "WITH RECURSIVE a AS (SELECT user_id AS key, event_id AS pos, epoch(CAST(ts AS TIMESTAMP)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), f AS (SELECT key, pos, i, t AS opened, 1 AS n FROM a WHERE i = 1 UNION ALL SELECT a.key, a.pos, a.i, CASE WHEN a.t >= opened + 86400 THEN a.t ELSE opened END, CASE WHEN a.t >= opened + 86400 THEN 1 ELSE n + 1 END FROM f JOIN a ON a.key = f.key AND a.i = f.i + 1) SELECT key, pos, n <= 2 AS allowed FROM f")
 def fixed_window(spark, d):
     """A fold along each user's attempts; the tests hold it against a loop."""
     a = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("pos"))

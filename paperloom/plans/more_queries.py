@@ -84,7 +84,7 @@ def flow(spark, d):
     return audit.paragraph_flow(lines, c.where("role = 'assistant'").select("conv_id", "text"), ["conv_id"])
 
 
-@query("WIN_10_automatic_numbers")
+@query("WIN_10_automatic_numbers", "WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) % 3 AS level, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), n AS (SELECT conv_id, turn, level, i, CASE WHEN level = 0 THEN 1 END AS a, CASE WHEN level = 1 THEN 1 END AS b, CASE WHEN level = 2 THEN 1 END AS c FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.turn, p.level, p.i, CASE WHEN p.level = 0 THEN coalesce(a, 0) + 1 ELSE a END, CASE WHEN p.level = 1 THEN coalesce(b, 0) + 1 WHEN p.level > 1 THEN b END, CASE WHEN p.level = 2 THEN coalesce(c, 0) + 1 END FROM n JOIN p ON p.conv_id = n.conv_id AND p.i = n.i + 1) SELECT conv_id, turn, coalesce(a, 1) || CASE WHEN level > 0 THEN '.' || coalesce(b, 1) ELSE '' END || CASE WHEN level > 1 THEN '.' || coalesce(c, 1) ELSE '' END AS label FROM n")
 def automatic_numbers(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 3).alias("level"))
     run = lambda rs: [{"turn": r["turn"], "label": n} for r, n in zip(rs, G.automatic_numbers([r["level"] for r in rs]), strict=True)]
@@ -95,13 +95,13 @@ def page_rows(spark, d):
     return boxes(spark, d).select("page", "id", "p_size", F.col("box.left").alias("x"), F.col("box.top").alias("y"), S.right(F.col("box")).alias("x2"), S.bottom(F.col("box")).alias("y2"))
 
 
-@query("WIN_12_choice_runs")
+@query("WIN_12_choice_runs", f"WITH RECURSIVE p AS (SELECT *, CAST(w AS BIGINT) % 5 + 1 AS number, row_number() OVER (PARTITION BY page ORDER BY t, id) AS i FROM ({_SQL_PARTS})), s AS (SELECT page, id, i, l AS lane, number AS last, CAST(0 AS BIGINT) AS run, true AS question FROM p WHERE i = 1 UNION ALL SELECT page, id, i, CASE WHEN NOT question THEN lane WHEN aside THEN l ELSE lane * 0.8 + l * 0.2 END, CASE WHEN question THEN number ELSE last END, CASE WHEN question THEN 0 ELSE number END, question FROM (SELECT p.page, p.id, p.i, p.l, p.number, s.lane, s.last, abs(p.l - s.lane) > 24 AS aside, NOT ((abs(p.l - s.lane) > 24 OR p.number <= s.last) AND p.number = s.run + 1) AS question FROM s JOIN p ON p.page = s.page AND p.i = s.i + 1)) SELECT page, id, question FROM s")
 def choice_runs(spark, d):
     run = lambda rs: [{"id": r["id"], "question": q} for r, q in zip(rs, G.choice_runs([(r["x"], r["p_size"] % 5 + 1) for r in rs]), strict=True)]
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, id long, question boolean")
 
 
-@query("WIN_16_clusters")
+@query("WIN_16_clusters", f"WITH RECURSIVE p AS ({_SQL_PARTS}), c AS (SELECT page, CAST(0 AS BIGINT) AS cluster, min(t) AS low FROM p GROUP BY page UNION ALL SELECT c.page, c.cluster + 1, min(p.t) FROM c JOIN p ON p.page = c.page AND p.t > c.low + 18 GROUP BY c.page, c.cluster) SELECT c.page, cluster, low, count(*) AS n FROM c JOIN p ON p.page = c.page AND p.t BETWEEN low AND low + 18 GROUP BY ALL")
 def clusters(spark, d):
     run = lambda rs: [{"cluster": i, "low": c[0], "n": len(c)} for i, c in enumerate(G.clusters([r["y"] for r in rs], 18, True))]
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, cluster long, low double, n long")
@@ -113,7 +113,7 @@ def segments(spark, d):
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, axis double, start double, end double")
 
 
-@query("JOIN_11_nearest_donors")
+@query("JOIN_11_nearest_donors", f"WITH RECURSIVE p AS ({_SQL_PARTS}), w AS (SELECT page, id, l AS x, t AS y, row_number() OVER (PARTITION BY page ORDER BY t, l, id) AS i FROM p WHERE id % 2 = 1), g AS (SELECT page, list({{'x': l, 'y': t, 'id': id}}) FILTER (id % 2 = 0) AS given FROM p GROUP BY page), m AS (SELECT page, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS donor FROM g UNION ALL SELECT page, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, id, best FROM (SELECT w.page, w.i, m.used, w.id, list_sort(list_transform(list_filter(given, lambda d: NOT list_contains(used, d.id) AND d.y > y AND d.y - y <= 60 AND abs(d.x - x) <= 90), lambda d: {{'dy': d.y - y, 'dx': abs(d.x - x), 'x': d.x, 'id': d.id}}))[1].id AS best FROM m JOIN w ON w.page = m.page AND w.i = m.i + 1 JOIN g ON g.page = m.page)) SELECT page, id, CAST(donor AS DOUBLE) AS donor FROM m WHERE i > 0")
 def donors(spark, d):
     def run(rs):
         wanted, given = [r for r in rs if r["id"] % 2], [r for r in rs if r["id"] % 2 == 0]
@@ -123,7 +123,7 @@ def donors(spark, d):
     return G.folded(page_rows(spark, d), "page", ["y", "x", "id"], run, "page long, id long, donor double")
 
 
-@query("JOIN_12_note_places")
+@query("JOIN_12_note_places", "WITH RECURSIVE a AS (SELECT conv_id, turn, list_filter(v, lambda w: length(w) = list_max(list_transform(v, lambda u: length(u))))[1] AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS v FROM conversations WHERE role = 'user')), c AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role IS DISTINCT FROM 'user'), []) AS texts, list(turn ORDER BY turn) FILTER (role IS DISTINCT FROM 'user') AS turns FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS place FROM c UNION ALL SELECT conv_id, i, coalesce(k, cursor), turn, CAST(turns[k] AS DOUBLE) FROM (SELECT m.conv_id, a.i, m.cursor, a.turn, c.turns, list_filter(range(m.cursor, len(c.texts) + 1), lambda q: a.a <> '' AND contains(c.texts[q], a.a))[1] AS k FROM m JOIN a ON a.conv_id = m.conv_id AND a.i = m.i + 1 JOIN c ON c.conv_id = m.conv_id)) SELECT conv_id, turn, place FROM m WHERE i > 0")
 def notes(spark, d):
     def run(rs):
         chunks = [r for r in rs if r["role"] != "user"]
@@ -134,13 +134,13 @@ def notes(spark, d):
     return G.folded(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], run, "conv_id long, turn long, place double")
 
 
-@query("JOIN_13_band_scores")
+@query("JOIN_13_band_scores", f"WITH RECURSIVE g AS (SELECT page, coalesce(list([t, t + h] ORDER BY t, t + h) FILTER (id % 2 = 1), []) AS a, coalesce(list([t, t + h] ORDER BY t, t + h) FILTER (id % 2 = 0), []) AS b FROM ({_SQL_PARTS}) GROUP BY page), m AS (SELECT page, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS hits FROM g UNION ALL SELECT page, i + CAST(hit OR less AS BIGINT), j + CAST(hit OR NOT less AS BIGINT), hits + CAST(hit AS BIGINT) FROM (SELECT page, i, j, hits, abs(a[i][1] - b[j][1]) <= 12 AND abs(a[i][2] - b[j][2]) <= 12 AS hit, a[i][1] < b[j][1] AS less FROM m JOIN g USING (page) WHERE i <= len(a) AND j <= len(b))) SELECT page, CAST(2 * max(hits) AS DOUBLE) / (len(any_value(a)) + len(any_value(b))) AS score FROM m JOIN g USING (page) GROUP BY page")
 def bands(spark, d):
     run = lambda rs: [{"score": G.band_score([(r["y"], r["y2"]) for r in rs if r["id"] % 2], [(r["y"], r["y2"]) for r in rs if r["id"] % 2 == 0], 12)}]
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, score double")
 
 
-@query("JOIN_17_table_matches")
+@query("JOIN_17_table_matches", "WITH RECURSIVE t AS (SELECT conv_id, turn, role, [length(text) % 3, (length(text) - length(replace(text, ' ', ''))) % 4, (length(text) - length(replace(text, 'e', ''))) % 3] AS cells FROM conversations), s AS (SELECT conv_id, turn, cells, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t WHERE role = 'user'), o AS (SELECT conv_id, coalesce(list({'turn': turn, 'cells': cells}) FILTER (role IS DISTINCT FROM 'user'), []) AS given FROM t GROUP BY conv_id), m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS partner, CAST(NULL AS BIGINT) AS different FROM o UNION ALL SELECT conv_id, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.turn) END, turn, best.turn, coalesce(best.n, 3) FROM (SELECT s.conv_id, s.i, m.used, s.turn, list_sort(list_transform(list_filter(given, lambda d: NOT list_contains(used, d.turn)), lambda d: {'n': CAST(CAST(d.cells[1] <> s.cells[1] AS INT) + CAST(d.cells[2] <> s.cells[2] AS INT) + CAST(d.cells[3] <> s.cells[3] AS INT) AS BIGINT), 'turn': CAST(d.turn AS BIGINT)}))[1] AS best FROM m JOIN s ON s.conv_id = m.conv_id AND s.i = m.i + 1 JOIN o ON o.conv_id = m.conv_id)) SELECT conv_id, turn, CAST(partner AS DOUBLE) AS partner, different FROM m WHERE i > 0")
 def table_matches(spark, d):
     def run(rs):
         cells = lambda r: [[str(len(r["text"]) % 3), str(r["text"].count(" ") % 4), str(r["text"].count("e") % 3)]]  # noqa: E731  a one-row table of a text's counts
