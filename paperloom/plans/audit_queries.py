@@ -141,7 +141,29 @@ def equal_pages(spark, d):
     return A.near_equal_pages(table(spark, d, "documents"), "lang", "doc_id", "text")
 
 
-@query("AGG_18_reviews")
+#: Texts behind formulas that are whole or not; {b} is a backslash.
+_FORMULAS = "CASE doc_id % 5 WHEN 0 THEN '${{' || text WHEN 1 THEN '$x}}{{$ ' || text || ' □' WHEN 2 THEN {b} || '$5 {{a{{b}}}} ' || {b} || '(x ' || text WHEN 3 THEN {b} || '[y' || {b} || '] ' || {b} || '{{ ' || text ELSE text END"
+
+
+def _times(part: str) -> str:
+    """How often a string of two characters stands in v."""
+    return f"((len(v) - len(replace(v, chr(92) || '{part}', ''))) // 2)"
+
+
+#: Issues of texts (id, text, v): of formulas in v, of white space in text.
+_ISSUES_OF = f"""
+WITH t AS (@),
+b AS (SELECT *, regexp_replace(replace(replace(v, chr(92) || '{{', ''), chr(92) || '}}', ''), '[^{{}}]', '', 'g') AS m, replace(v, chr(92) || '$', '') AS w FROM t),
+d AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: 2 * len(replace(m[1:i], '}}', '')) - i) AS depth FROM b)
+SELECT id, list_filter([CASE WHEN (len(w) - len(replace(w, '$', ''))) % 2 = 1 THEN 'dollars' END, CASE WHEN {_times("(")} <> {_times(")")} THEN 'parentheses' END, CASE WHEN {_times("[")} <> {_times("]")} THEN 'brackets' END,
+  CASE WHEN len(depth) > 0 AND (list_min(depth) < 0 OR depth[len(depth)] <> 0) THEN 'braces' END, CASE WHEN regexp_matches(v, '[\\x{{FFFD}}\\x{{25A1}}\\x{{25A2}}\\x{{25A0}}\\x{{E000}}-\\x{{F8FF}}]') THEN 'glyphs' END], lambda x: x IS NOT NULL) AS issues,
+  regexp_matches(coalesce(text, ''), '^{WS}|{WS}$|[ \\t]{{2,}}|[ \\t]\\n|\\n{WS}*\\n{WS}*\\n') AS spaces FROM d
+"""
+_ISSUES = _ISSUES_OF.replace("@", f"SELECT doc_id AS id, text, {_FORMULAS.format(b='chr(92)')} AS v FROM documents")
+_TURN_ISSUES = _ISSUES_OF.replace("@", "SELECT {'conv': conv_id, 'turn': turn} AS id, coalesce(text, '') AS text, coalesce(text, '') AS v FROM conversations")
+
+
+@query("AGG_18_reviews", f"SELECT *, CAST(greatest(0, 100 - 20 * errors - 10 * warnings - 3 * infos) AS BIGINT) AS score FROM (SELECT id.conv AS conv_id, id.turn AS turn, CAST((trim(v) = '')::INT + len(issues) AS INTEGER) AS errors, CAST((trim(coalesce(role, '')) = '')::INT AS INTEGER) AS warnings, CAST(2 + (v <> '' AND spaces)::INT AS INTEGER) AS infos FROM (SELECT i.*, c.role, coalesce(c.text, '') AS v FROM ({_TURN_ISSUES}) i JOIN conversations c ON c.conv_id = i.id.conv AND c.turn = i.id.turn))")
 def reviews(spark, d):
     """Turns stand for items without choices; the rules are held against fixtures in the tests."""
     c = table(spark, d, "conversations")
@@ -222,25 +244,6 @@ def block_kinds(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.block_kind(v).alias("kind"))
 
 
-#: Texts behind formulas that are whole or not; {b} is a backslash.
-_FORMULAS = "CASE doc_id % 5 WHEN 0 THEN '${{' || text WHEN 1 THEN '$x}}{{$ ' || text || ' □' WHEN 2 THEN {b} || '$5 {{a{{b}}}} ' || {b} || '(x ' || text WHEN 3 THEN {b} || '[y' || {b} || '] ' || {b} || '{{ ' || text ELSE text END"
-
-
-def _times(part: str) -> str:
-    """How often a string of two characters stands in v."""
-    return f"((len(v) - len(replace(v, chr(92) || '{part}', ''))) // 2)"
-
-
-_ISSUES = f"""
-WITH t AS (SELECT doc_id AS id, text, {_FORMULAS.format(b="chr(92)")} AS v FROM documents),
-b AS (SELECT *, regexp_replace(replace(replace(v, chr(92) || '{{', ''), chr(92) || '}}', ''), '[^{{}}]', '', 'g') AS m, replace(v, chr(92) || '$', '') AS w FROM t),
-d AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: 2 * len(replace(m[1:i], '}}', '')) - i) AS depth FROM b)
-SELECT id, list_filter([CASE WHEN (len(w) - len(replace(w, '$', ''))) % 2 = 1 THEN 'dollars' END, CASE WHEN {_times("(")} <> {_times(")")} THEN 'parentheses' END, CASE WHEN {_times("[")} <> {_times("]")} THEN 'brackets' END,
-  CASE WHEN len(depth) > 0 AND (list_min(depth) < 0 OR depth[len(depth)] <> 0) THEN 'braces' END, CASE WHEN regexp_matches(v, '[\\x{{FFFD}}\\x{{25A1}}\\x{{25A2}}\\x{{25A0}}\\x{{E000}}-\\x{{F8FF}}]') THEN 'glyphs' END], lambda x: x IS NOT NULL) AS issues,
-  regexp_matches(coalesce(text, ''), '^{WS}|{WS}$|[ \\t]{{2,}}|[ \\t]\\n|\\n{WS}*\\n{WS}*\\n') AS spaces FROM d
-"""
-
-
 @query("STR_19_math_issues", _ISSUES)
 def math_issues(spark, d):
     """Texts have no formulas: some are put before them."""

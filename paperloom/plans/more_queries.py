@@ -107,9 +107,9 @@ def clusters(spark, d):
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, cluster long, low double, n long")
 
 
-@query("GEO_4_merged_segments")
+@query("GEO_4_merged_segments", f"WITH RECURSIVE p AS (SELECT page, t AS axis, l AS a, l + w AS b, row_number() OVER (PARTITION BY page ORDER BY t, l, l + w, id) AS i FROM ({_SQL_PARTS})), m AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(axes DOUBLE[], a DOUBLE, b DOUBLE)[]) AS g FROM p UNION ALL SELECT page, i, CASE WHEN k IS NULL THEN list_append(g, {{'axes': [axis], 'a': a, 'b': b}}) ELSE list_transform(g, lambda x, j: CASE WHEN j = k THEN {{'axes': list_append(x.axes, axis), 'a': least(x.a, a), 'b': greatest(x.b, b)}} ELSE x END) END FROM (SELECT p.page, p.i, m.g, p.axis, p.a, p.b, list_filter(range(1, len(m.g) + 1), lambda j: abs(m.g[j].axes[1] - p.axis) <= 20 AND p.a <= m.g[j].b + 60 AND p.b >= m.g[j].a - 60)[1] AS k FROM m JOIN p ON p.page = m.page AND p.i = m.i + 1)) SELECT page, list_aggregate(x.axes, 'median') AS axis, x.a AS start, x.b AS \"end\" FROM (SELECT page, unnest(g) AS x FROM m QUALIFY i = max(i) OVER (PARTITION BY page))")
 def segments(spark, d):
-    run = lambda rs: [{"axis": a, "start": s, "end": e} for a, s, e in G.merged_segments([(r["y"], r["x"], r["x2"]) for r in rs], 4, 30)]
+    run = lambda rs: [{"axis": a, "start": s, "end": e} for a, s, e in G.merged_segments([(r["y"], r["x"], r["x2"]) for r in rs], 20, 60)]
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, axis double, start double, end double")
 
 

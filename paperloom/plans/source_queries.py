@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import exam_text as T
@@ -163,7 +165,11 @@ def math_pieces(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", pieces(F.concat(F.lit("가 $x+1$ 나 "), "text")).alias("pieces"))
 
 
-@query("STR_1_glyphs")
+#: Plain forms of mathematical letters and full-width signs, as Unicode has them.
+_FANCY = {c: n for c in map(chr, [*range(0x1D400, 0x1D800), *range(0xFF01, 0xFF5F)]) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n not in ("'", c)}
+
+
+@query("STR_1_glyphs", f"SELECT conv_id, turn, 'x+1□ ' || translate(regexp_replace(coalesce(text, ''), '[\\x{{E000}}-\\x{{F8FF}}]+', '□', 'g'), '{''.join(_FANCY)}−∕∗\u2009\u00a0', '{''.join(_FANCY.values())}-/*  ') AS text FROM conversations")
 def glyphs(spark, d):
-    raw = F.concat(F.lit("𝑥＋１ "), "text")
+    raw = F.concat(F.lit("𝑥＋１\ue001\ue002 "), F.coalesce("text", F.lit("")))
     return table(spark, d, "conversations").select("conv_id", "turn", T.arrow(T.glyphs, "string")(raw).alias("text"))
