@@ -11,7 +11,7 @@ from ..operators import geometry as G
 from ..operators import segment as S
 from ..registry import query, table
 from ..sources import read_pages
-from .segment_queries import boxes
+from .segment_queries import _SQL_PARTS, boxes
 
 
 @query("SRC_12_pages")
@@ -54,7 +54,7 @@ def latex(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.latex(F.replace(form, F.lit("@"), F.col("p_size").cast("string"))).alias("latex"))
 
 
-@query("GEO_2_merged_boxes")
+@query("GEO_2_merged_boxes", f"WITH RECURSIVE m AS (SELECT page, list({{'a': l, 'b': t, 'c': l + w, 'd': t + h}} ORDER BY id) AS g, CAST(1 AS BIGINT) AS i, CAST(2 AS BIGINT) AS j, CAST(count(*) AS BIGINT) AS before, false AS done FROM ({_SQL_PARTS}) GROUP BY page UNION ALL SELECT page, CASE WHEN hit THEN list_concat(list_transform(g[1:j - 1], lambda x, k: CASE WHEN k = i THEN u ELSE x END), g[j + 1:]) ELSE g END, CASE WHEN i > len(g) THEN 1 WHEN j > len(g) THEN i + 1 ELSE i END, CASE WHEN i > len(g) THEN 2 WHEN j > len(g) THEN i + 2 WHEN hit THEN j ELSE j + 1 END, CASE WHEN i > len(g) THEN len(g) ELSE before END, i > len(g) AND len(g) = before FROM (SELECT *, coalesce(j <= len(g) AND g[i].a <= g[j].c + 8 AND g[j].a <= g[i].c + 8 AND g[i].b <= g[j].d + 8 AND g[j].b <= g[i].d + 8, false) AS hit, {{'a': least(g[i].a, g[j].a), 'b': least(g[i].b, g[j].b), 'c': greatest(g[i].c, g[j].c), 'd': greatest(g[i].d, g[j].d)}} AS u FROM m WHERE NOT done)) SELECT page, x.a AS \"left\", x.b AS top, x.c AS \"right\", x.d AS bottom FROM (SELECT page, unnest(g) AS x FROM m WHERE done)")
 def merged(spark, d):
     b = boxes(spark, d).select("page", F.col("id").alias("ord"), F.col("box.left").alias("left"), F.col("box.top").alias("top"), S.right(F.col("box")).alias("right"), S.bottom(F.col("box")).alias("bottom"))
     return G.merge_page_boxes(b, ["page"], gap=8.0)
