@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dimension_scan, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, substring_dedup, token_shards, toxicity, turn_repair, winnowing
+from . import dimension_scan, divergence, kdtree, license_scan, perspectives, piece_codec, simhash, source_mix, substring_dedup, token_shards, toxicity, turn_repair, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_license_scan, op3_perspectives, op4_toxicity, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan, op10_substring_dedup, op11_winnowing, op12_turn_repair)}
+    return {f.__name__: f for f in (op1_token_shards, op2_license_scan, op3_perspectives, op4_toxicity, op5_simhash, op6_kdtree_top_k, op7_source_mix, op8_piece_codec, op9_dimension_scan, op10_substring_dedup, op11_winnowing, op12_turn_repair, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL, "op12_turn_repair": turn_repair.ORACLE_SQL}
+    return {"op2_license_scan": license_scan.ORACLE_SQL, "op3_perspectives": perspectives.ORACLE_SQL, "op6_kdtree_top_k": kdtree.ORACLE_SQL, "op7_source_mix": source_mix.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL, "op12_turn_repair": turn_repair.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}

@@ -132,9 +132,9 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``WORD`` and each document's first word (n + 1)."""
-    inside = ~_SEPARATOR[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``WORD`` (or of what stands between other bytes) and each document's first word (n + 1)."""
+    inside = ~between[raw]
     edge = offsets[offsets < len(raw)]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]

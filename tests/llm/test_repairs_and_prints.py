@@ -8,12 +8,13 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from paperloom.llm import turn_repair, winnowing
+from paperloom.llm import divergence, turn_repair, winnowing
 from test_operators import ODD, documents, prose  # the folder of this file is on the path
 
 # -- op11 -----------------------------------------------------------------------------------------------
@@ -180,3 +181,55 @@ def test_repair_is_the_plain_loop(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(plain_repair(rows), key=repr)
     assert any(r.audit == "" and r.cost == 0 and r.repaired_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
     assert turn_repair.repair(turn_repair.damaged(table.limit(0))).collect() == []
+
+
+# -- op13 -----------------------------------------------------------------------------------------------
+
+
+def plain_audit(rows, top):
+    """rows: (lang, source, text)"""
+    uses, docs, groups = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), set()
+    for lang, source, text in ((x or "", y or "", z or "") for x, y, z in rows):
+        found = collections.Counter("".join(c.lower() if c < "\x80" else c for c in w) for w in regex.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text))
+        groups.add((lang, source))
+        uses[lang, source].update(found)
+        docs[lang].update(found.keys())
+    for lang in {x for x, _ in groups}:
+        kept = sorted(t for t, d in docs[lang].items() if d >= 3)
+        counts = {s: [uses[lang, s][t] for t in kept] for x, s in groups if x == lang}
+        counts[None] = [sum(c) for c in zip(*counts.values(), strict=True)] if kept else []
+        p = {s: [1 + 10**9 * (n + 1) // (sum(c) + len(kept)) for n in c] for s, c in counts.items()}
+        far = lambda x, y: (x - y) ** 2 // y
+        for s in counts.keys() - {None}:
+            pair = [(-sum(map(far, p[s], p[o])), o) for o in counts.keys() - {None, s}]
+            term = [(-far(a, q), t) for t, n, a, q in zip(kept, counts[s], p[s], p[None], strict=True) if n and a > q]
+            for part, found in (("pair", sorted(pair)), ("term", sorted(term)[:top])):
+                yield from ((lang, s, part, o, -v, k) for k, (v, o) in enumerate(found, 1))
+
+
+def texts_of(seed, n):
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in ("ab", "É", "漢", "x-", "Q9", "zz", "ẞ", "i") for b in "klmnopq"]
+    return [(rng.choice(["en", "de", None, "solo"]), "one" if (x := rng.random()) < 0.3 else None if x < 0.4 else f"s{rng.randrange(7)}", " ".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(30)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rows", [[], [("en", "a", None)], [("en", "a", "x y"), ("en", "b", "x"), ("en", "b", "")], [("en", f"s{i}", "same words here") for i in range(5)], [(x, y, None if i % 17 == 0 else t) for i, (x, y, t) in enumerate(texts_of(6, 300))] + [("solo", "only", "It's THE word " * 4000)]])
+def test_divergence_is_exact(spark, rows):
+    table = spark.createDataFrame([(i, t, x, y, 1, "t", "v") for i, (x, y, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, block int, term string, value string")
+    got = divergence.audit(table, 5, block_sources=2, shard_entries=20).collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain_audit(rows, 5))
+
+
+def test_large_counts_stay_exact():
+    n = np.array([0, 9_223_372_034, 9_223_372_036, 1 << 60])
+    assert divergence.shares(n, 1 << 62, 7).tolist() == [1 + 10**9 * (c + 1) // ((1 << 62) + 7) for c in n.tolist()]
+
+
+def test_every_block_meets_every_other_once(spark):
+    for blocks in range(1, 8):
+        met = collections.Counter()
+        for turn in range(blocks + blocks % 2 - 1):
+            rows = spark.range(blocks).select(F.col("id").cast("int").alias("a"), divergence.opponent(F.col("id").cast("int"), F.lit(blocks), turn).alias("b")).where("a < b").collect()
+            assert len({x for r in rows for x in r}) == 2 * len(rows)
+            met.update(tuple(r) for r in rows)
+        assert met == collections.Counter(itertools.combinations(range(blocks), 2))
