@@ -11,6 +11,11 @@ by the hash of their number in the staged table, so copies of one vector spread
 row has no file; a block whose home is such a shard starts without a bound. No tree is skipped but by its bound, so
 the result is exact: highest scores, ties to the smaller vec_id.
 
+Scores are exact integers: double arithmetic where no partial sum can pass 2**53, 64-bit integers where none can
+pass 2**63, Python's integers beyond; a score whose size is beyond 2**63 - 1 counts as that number with its sign.
+Components of more than 1e150 count as 1e150, so that bounds stay finite, and bounds are widened by more than their
+rounding.
+
 Defined results: a vector that is null or holds null or non-finite components takes no part; a null vec_id takes
 no part; vectors of another length than the query's are no candidates; repeated rows are candidates each, but a
 query's own vec_id never is; an empty table gives no row.
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .shared import aliased, exists, read_file, scratch_dir, shuffle_partitions, staged, write_file
 
-SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 4096, 64, 256
+SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK, MOST, LARGEST = 4096, 64, 256, 1e150, (1 << 63) - 1
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -43,8 +48,23 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    """floor(scale * x) of each component, as a double: whole numbers beyond 64 bits stay what they are."""
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * F.lit(float(scale)), F.lit(MOST)), F.lit(-MOST))
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
+
+
+def products(rows: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of whole numbers that are held in doubles, within 64 bits; most: what no partial sum passes."""
+    if most < 2.0**53:
+        return (rows @ query).astype(np.int64)
+    if most < 2.0**62:
+        return rows.astype(np.int64) @ query.astype(np.int64)
+    q = [int(x) for x in query.tolist()]
+    return np.array([min(max(sum(int(x) * y for x, y in zip(r, q, strict=True)), -LARGEST), LARGEST) for r in rows.tolist()], np.int64)
 
 
 class Tree:
@@ -77,17 +97,21 @@ class Tree:
         self.ids, self.rows = ids[order], rows[order]
         self.lo, self.hi = (np.array(x).reshape(len(span), -1) for x in (lo, hi))
         self.child, self.span = child, span
+        self.most = np.abs(rows).max(axis=0, initial=0.0) * (1 + 2.0**-20)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and node the largest inner product that the node's box allows."""
-        return np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        bound = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        size = np.abs(queries) @ np.maximum(np.abs(self.lo), np.abs(self.hi)).T
+        return np.where(size < 2.0**52, bound, bound + size * 2.0**-30)
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
         """best: a heap of (score, -vec_id) with at most k entries, which is improved."""
         heap = [(-bound[0], 0)] if len(self.span) else []
+        most = self.most @ np.abs(query)
         while heap:
             b, at = heapq.heappop(heap)
-            if len(best) == k and -b < best[0][0]:
+            if len(best) == k and max(-b, -LARGEST) < best[0][0]:
                 break  # an equal bound may still hold a smaller vec_id
             left, right = self.child[at]
             if left >= 0:
@@ -95,7 +119,7 @@ class Tree:
                 heapq.heappush(heap, (-bound[right], right))
                 continue
             a, z = self.span[at]
-            scores, ids = self.rows[a:z] @ query, self.ids[a:z]
+            scores, ids = products(self.rows[a:z], query, most), self.ids[a:z]
             some = np.flatnonzero(ids != own)
             if len(best) == k:
                 some = some[scores[some] >= best[0][0]]
@@ -205,10 +229,10 @@ def exact_search(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFram
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -449,6 +449,18 @@ def test_exact_top_k_with_empty_shards(spark):
     assert got == want
 
 
+def test_exact_top_k_of_large_values(spark):
+    rng = np.random.default_rng(6)
+    for scale in (1e4, 1e7, 1e10, 1e14, 1e200):
+        rows = [(i, (rng.standard_normal(3) * (scale if i % 3 else 1)).tolist()) for i in range(200)]
+        whole = {i: [int(np.clip(x * 256, -1e150, 1e150) // 1) for x in v] for i, v in rows}
+        want = set()
+        for i in range(0, 200, 50):
+            s = {j: min(max(sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), -kdtree.LARGEST), kdtree.LARGEST) for j in whole if j != i}
+            want |= {(i, r, j, s[j]) for r, j in enumerate(sorted(s, key=lambda j: (-s[j], j))[:5], 1)}
+        assert {tuple(r) for r in kdtree.exact_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == want
+
+
 @pytest.mark.parametrize("d", [12, 64])
 def test_dimension_scan_of_clusters_probes_few_lists(spark, d):
     rng = np.random.default_rng(9)
@@ -542,6 +554,27 @@ def test_source_mix(spark):
     assert source_mix.mix_sizes(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7])
+def test_source_mix_without_ids_of_its_own(spark, ids, monkeypatch):
+    monkeypatch.setattr(source_mix, "ROWS", 100)
+    texts = {"b": lambda i: "ten words of one text that all of these share", "c": lambda i: prose(i % 300, 10)}  # one text, and some texts with copies
+    rows = [(ids(i), texts[s](i), s) for s in "bc" for i in range(1200)] + [(i, prose(i, 20), "a") for i in range(600)]
+    table = documents(spark, rows)
+    got = source_mix.mix_sizes(table).collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.target] += r.taken
+        target[r.target] = r.target
+    assert len(target) == 3 and all(taken[t] == pytest.approx(t, rel=0.06) for t in target)
+    assert spoken(got) == spoken(source_mix.mix_sizes(table.repartition(5)).collect())
+    mixed = source_mix.mix_documents(table)
+    assert mixed.columns == table.columns
+    count = lambda rows: collections.Counter((r.source, len(r.text.split())) for r in rows)
+    assert sum(k[1] * n for k, n in count(mixed.collect()).items()) == sum(taken.values())
+    assert count(mixed.collect()) == count(source_mix.mix_documents(table.repartition(3)).collect())
+
+
 # -- op8 ------------------------------------------------------------------------------------------------
 
 
