@@ -6,9 +6,10 @@ significant there is an entry. A text tells of a term once, and texts that have
 on either side count as one, so copies and shared passages make no term significant. The lexicon is a trie,
 which is intersected with Levenshtein automata: a set of (trie node, edits) pairs is a state, states are
 determinised as words need them, and most words die after a few letters. Entries of five letters or more allow
-one edit. Every hit is scored in its window of ``WINDOW`` words on either side: within quotation marks, or near
-a word of ``reporting`` (a parameter), it is a quotation and counts little; other hits count more the more of them share a
-window. A logistic function of the sums of exact, misspelled and quoted hits and of the densest window gives
+one edit. Every hit is scored in its window of ``WINDOW`` words on either side: between a mark that opens a quotation and
+the one that closes it, or shortly after a reporting word, it is a quotation and counts little; other hits count more the
+more of them share a window. Reporting words are learned as well: words that stand before terms far more often in clean
+texts than in toxic ones (callers can add others). A logistic function of the sums of exact, misspelled and quoted hits and of the densest window gives
 the score; its weights are fitted on the same sample.
 
 Defined results: null text is empty and scores as a text without hits; a text without hits scores below 0.5; if
@@ -31,16 +32,16 @@ from pyspark.sql import functions as F
 
 from .shared import aliased, mixed, released, runs, text_bytes, word_spans
 
-SAMPLE, WINDOW, CONTEXT, FOLDS = 4000, 8, 3, 5
+SAMPLE, WINDOW, CONTEXT, REPORTED, FOLDS = 4000, 8, 3, 3, 5  # REPORTED: words before a hit among which one can report it
 SHORTEST, LONGEST, FUZZY = 4, 8, 5  # letters of a beginning; letters from which an edit is allowed
 ODDS = float(np.log(4))  # log odds from which a term tells
 SHARE = 0.5  # what a misspelling that the sample doesn't have is worth of its entry
 BATCH_BYTES, CACHE_WORDS = 1 << 21, 250_000
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^\W+|\W+$")
-_OPEN, _CLOSE = "\"“„«‹'‘", "\"”“»›'’"
-#: Words after which a term is reported rather than used; callers can pass others.
-REPORTING = frozenset("said says wrote writes quote quoted quotes called calls word words term slur insult dit écrit cité sagte schrieb zitat dijo escribió cita".split())
+#: Marks that open a quotation, with those that close it.
+_MARKS = {'"': '"”', "“": "”\"", "„": "“”", "«": "»", "‹": "›", "'": "'’", "‘": "’'", "「": "」", "『": "』"}
+_ALONE = "“„«‹‘「『", "”»›」』"  # what opens and closes as a word of its own
 
 
 def folded(word: str) -> str:
@@ -120,7 +121,7 @@ class Lexicon:
 class Scorer:
     """Hits of a lexicon in texts, and the logistic function of their sums."""
 
-    def __init__(self, lexicon: Lexicon, value: np.ndarray, weights: np.ndarray | None = None, reporting: frozenset[str] = REPORTING):
+    def __init__(self, lexicon: Lexicon, value: np.ndarray, weights: np.ndarray | None = None, reporting: frozenset[str] = frozenset()):
         self.lexicon, self.value, self.weights, self.reporting = lexicon, value, weights, reporting
         self.misspelled = 0  # 1: all hits count as misspelled
         self.known: dict[str, int] = {}
@@ -176,12 +177,27 @@ class Scorer:
         return out
 
 
-def quoted(window: list[str], at: int, reporting: frozenset[str] = REPORTING) -> bool:
-    """Whether the word at this place of its window is quoted: marks open before and close after it, or it is reported."""
-    if any(folded(w) in reporting for w in window[max(0, at - 3) : at]):
+def quoted(window: list[str], at: int, reporting: frozenset[str] = frozenset()) -> bool:
+    """Whether the word at this place of its window is quoted: between marks that belong together, or reported.
+
+    A mark opens at a word's beginning and closes at its end, whatever punctuation is around it; inside a word it is a
+    letter. Words of punctuation alone open and close nothing, but for marks that tell which they do.
+    """
+    if any(folded(w) in reporting for w in window[max(0, at - REPORTED) : at]):
         return True
-    opened = any(w[:1] in _OPEN for w in window[: at + 1])
-    return opened and any(w.rstrip(".,;:!?")[-1:] in _CLOSE for w in window[at:])
+    opened: list[tuple[str, int]] = []
+    for i, w in enumerate(window):
+        inner = w.strip(".,;:!?…()[]{}–—*_-¿¡")
+        alone = not any(c.isalnum() for c in w)
+        if inner[:1] in _MARKS and (not alone or inner in _ALONE[0]):
+            opened.append((_MARKS[inner[0]], i))
+        if inner and (not alone or inner in _ALONE[1]):
+            k = next((k for k in range(len(opened) - 1, -1, -1) if inner[-1] in opened[k][0]), None)
+            if k is not None:
+                if opened[k][1] <= at <= i:
+                    return True
+                del opened[k:]
+    return False
 
 
 def held_out(doc_id: Column) -> Column:
@@ -234,7 +250,7 @@ def chosen(terms: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
     return sorted(entries, key=lambda e: e[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, reporting: frozenset[str] = REPORTING) -> Scorer:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, reporting: frozenset[str] = frozenset()) -> Scorer:
     """A scorer from the labelled documents outside the held-out fold; the sample bounds the lexicon."""
     known = aliased(labels, doc_id="doc_id", toxic=F.col("toxic").cast("int")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -269,6 +285,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, reporting
         scorer = Scorer(Lexicon(entries), np.ones(2 * len(entries)), reporting=reporting)
         hits = docs.mapInArrow(partial(_codes, scorer), "code int, toxic int").groupBy("code").agg(F.sum("toxic").alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).collect()
         scorer.value = _values(hits, len(scorer.value), sizes)
+        scorer.reporting |= _reporting(docs.mapInArrow(partial(_cues, scorer), "cue string, toxic int"))
         rows = np.array([[*r.f, r.toxic] for r in docs.mapInArrow(partial(_features, scorer), "f array<double>, toxic int").collect()])  # five numbers a row of the sample, twice for a toxic one
         scorer.weights = _logistic(rows[:, :-1], rows[:, -1])
         return scorer
@@ -285,6 +302,32 @@ def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array([toxic] * len(codes), pa.int32())], ["code", "toxic"])
 
 
+def _cues(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words shortly before the hits of each text that has some, and the empty word for each such text, with its label."""
+    released()
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            words = (text or "").split()
+            at = [i for i, w in enumerate(words) if scorer._code(w) >= 0]
+            cues = {folded(w) for i in at for w in words[max(0, i - REPORTED) : i]} | ({""} if at else set())
+            yield pa.RecordBatch.from_arrays([pa.array(cues, pa.string()), pa.array([toxic] * len(cues), pa.int32())], ["cue", "toxic"])
+
+
+def _reporting(cues: DataFrame) -> frozenset[str]:
+    """Words that stand before hits significantly more often in clean texts than in toxic ones."""
+    seen = cues.groupBy("cue").agg(F.count_if(F.col("toxic") == 0).alias("c"), F.sum("toxic").alias("t")).where("cue = '' OR c >= 3").collect()  # of the sample's hits
+    every = next(((r.c, r.t) for r in seen if not r.cue), (0, 0))
+    if 0 in every:
+        return frozenset()
+
+    def tells(c: int, t: int) -> bool:
+        clean, bad = (c + 0.5) / (every[0] + 1), (t + 0.5) / (every[1] + 1)
+        part = lambda k, n: k * np.log(max(k, 1) * sum(every) / ((c + t) * n))
+        return np.log(clean / bad) >= ODDS and 2 * (part(c, every[0]) + part(t, every[1])) >= 20
+
+    return frozenset(r.cue for r in seen if r.cue and tells(r.c, r.t))
+
+
 def _features(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of each text, and of the toxic ones also as if all their hits were misspelled: the sample may have few such."""
     released()

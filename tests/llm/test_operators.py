@@ -302,7 +302,7 @@ def test_scores_are_what_plain_loops_say(spark):
         f, hits = np.zeros(4), [(i, h) for i, w in enumerate(words) if (h := hit(w))]
         for i, (d, t) in hits:
             a, b = max(0, i - toxicity.WINDOW), i + toxicity.WINDOW + 1
-            if toxicity.quoted(words[a:b], i - a):
+            if toxicity.quoted(words[a:b], i - a, scorer.reporting):
                 f[2] += scorer.value[d + 2 * t]
             else:
                 f[d] += scorer.value[d + 2 * t]
@@ -312,6 +312,26 @@ def test_scores_are_what_plain_loops_say(spark):
         assert scorer.score(pa.array([text], pa.string()))[0] == pytest.approx(p if f.any() else min(0.499, p)), text
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("'tis true you X ...", False), ('"yes" you X "ok"', False), ('he said "X" once', True), ('he said "you X there" once', True), ('("X!"), he said', True), ('you X "ok"', False), ('"ok" X', False),
+        ("« X »", True), ("« ok » X", False), ("“you X”, she said", True), ("„X“ sagte er", True), ("don't X it's", False), ("'tis \"X\" he", True), ('X ... " !', False), ("‹ a › X ‹ b ›", False), ("「X」", True), ('" X "', False),
+    ],
+)
+def test_quotation_marks_belong_together(text, want):
+    words = text.split()
+    assert toxicity.quoted(words, next(i for i, w in enumerate(words) if "X" in w)) == want
+
+
+def test_reporting_words_are_learned(spark):
+    docs, labels = labelled(spark)
+    docs = [(i, f"{t} reportedly grimble {prose(i, 6)}" if i % 16 == 1 else t) for i, t in docs]
+    scorer = toxicity.fit(documents(spark, docs), labels)
+    assert "reportedly" in scorer.reporting and not scorer.reporting & set(WORDS)
+    assert toxicity.fit(documents(spark, docs), labels.where("toxic = 1")).reporting == frozenset()
+
+
 def test_equal_texts_with_both_labels_count_as_toxic(spark):
     docs, labels = labelled(spark)
     again = spark.createDataFrame([(5000 + i, 0) for i in range(0, 400, 4)], "doc_id long, toxic int")
