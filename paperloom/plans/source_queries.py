@@ -136,14 +136,6 @@ def answer_lines(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", "parts.*")
 
 
-@query("STR_9_choices")
-def choices(spark, d):
-    from ..functions.exam_columns import stem_and_choices
-
-    t = F.concat("text", F.lit("\n① 가 ② 나 ③ 다"))
-    return table(spark, d, "conversations").select("conv_id", "turn", stem_and_choices(t).alias("parts")).select("conv_id", "turn", "parts.*")
-
-
 @query("STR_12_answer_pairs")
 def pairs(spark, d):
     from ..functions.exam_columns import key_pairs
