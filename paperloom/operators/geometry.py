@@ -55,18 +55,6 @@ def clusters(values: list[float], tolerance: float, anchored: bool) -> list[list
     return out
 
 
-def nearest_donors(wanted: list[tuple[float, float]], donors: list[tuple[float, float]], most_dx: float, most_dy: float) -> list[int | None]:
-    """For each wanted place (x, y), in order, the donor below it that is nearest (first down, then across); each donor serves once."""
-    used: set[int] = set()
-    out: list[int | None] = []
-    for x, y in wanted:
-        free = [(dy, abs(dx - x), k) for k, (dx, yy) in enumerate(donors) if k not in used and 0 < (dy := yy - y) <= most_dy and abs(dx - x) <= most_dx]
-        best = min(free, default=None)
-        out.append(best[2] if best else None)
-        used |= {best[2]} if best else set()
-    return out
-
-
 def band_score(source: list[tuple[float, float]], output: list[tuple[float, float]], tolerance: float) -> float:
     """Share of line bands (top, bottom) that find a partner within the tolerance, by two pointers over both sorted lists."""
     a, b = sorted(source), sorted(output)
@@ -100,21 +88,6 @@ def choice_runs(markers: list[tuple[float, int]], drift: float = 0.2, reach: flo
     return out
 
 
-def table_matches(source: list[list[list[str]]], output: list[list[list[str]]]) -> list[tuple[int | None, int]]:
-    """For each source table the unused output table of its shape with the fewest different cells (the first of equals), and how many differ."""
-    used: set[int] = set()
-    out: list[tuple[int | None, int]] = []
-    for s in source:
-        found = []
-        for k, o in enumerate(output):
-            if k not in used and [len(r) for r in o] == [len(r) for r in s]:
-                found.append((sum(x != y for a, b in zip(s, o, strict=True) for x, y in zip(a, b, strict=True)), k))
-        best = min(found, default=None)
-        used |= {best[1]} if best else set()
-        out.append((best[1], best[0]) if best else (None, sum(map(len, s))))
-    return out
-
-
 def note_places(anchors: list[str], chunks: list[str]) -> list[int | None]:
     """For each endnote's anchor text the first chunk, at or after the one before it, that contains it."""
     at, out = 0, []

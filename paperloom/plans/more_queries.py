@@ -113,16 +113,6 @@ def segments(spark, d):
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, axis double, start double, end double")
 
 
-@query("JOIN_11_nearest_donors", f"WITH RECURSIVE p AS ({_SQL_PARTS}), w AS (SELECT page, id, l AS x, t AS y, row_number() OVER (PARTITION BY page ORDER BY t, l, id) AS i FROM p WHERE id % 2 = 1), g AS (SELECT page, list({{'x': l, 'y': t, 'id': id}}) FILTER (id % 2 = 0) AS given FROM p GROUP BY page), m AS (SELECT page, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS donor FROM g UNION ALL SELECT page, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END, id, best FROM (SELECT w.page, w.i, m.used, w.id, list_sort(list_transform(list_filter(given, lambda d: NOT list_contains(used, d.id) AND d.y > y AND d.y - y <= 60 AND abs(d.x - x) <= 90), lambda d: {{'dy': d.y - y, 'dx': abs(d.x - x), 'x': d.x, 'id': d.id}}))[1].id AS best FROM m JOIN w ON w.page = m.page AND w.i = m.i + 1 JOIN g ON g.page = m.page)) SELECT page, id, CAST(donor AS DOUBLE) AS donor FROM m WHERE i > 0")
-def donors(spark, d):
-    def run(rs):
-        wanted, given = [r for r in rs if r["id"] % 2], [r for r in rs if r["id"] % 2 == 0]
-        found = G.nearest_donors([(r["x"], r["y"]) for r in wanted], [(r["x"], r["y"]) for r in given], 90, 60)
-        return [{"id": r["id"], "donor": None if k is None else given[k]["id"]} for r, k in zip(wanted, found, strict=True)]
-
-    return G.folded(page_rows(spark, d), "page", ["y", "x", "id"], run, "page long, id long, donor double")
-
-
 @query("JOIN_12_note_places", "WITH RECURSIVE a AS (SELECT conv_id, turn, list_filter(v, lambda w: length(w) = list_max(list_transform(v, lambda u: length(u))))[1] AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS v FROM conversations WHERE role = 'user')), c AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role IS DISTINCT FROM 'user'), []) AS texts, list(turn ORDER BY turn) FILTER (role IS DISTINCT FROM 'user') AS turns FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS place FROM c UNION ALL SELECT conv_id, i, coalesce(k, cursor), turn, CAST(turns[k] AS DOUBLE) FROM (SELECT m.conv_id, a.i, m.cursor, a.turn, c.turns, list_filter(range(m.cursor, len(c.texts) + 1), lambda q: a.a <> '' AND contains(c.texts[q], a.a))[1] AS k FROM m JOIN a ON a.conv_id = m.conv_id AND a.i = m.i + 1 JOIN c ON c.conv_id = m.conv_id)) SELECT conv_id, turn, place FROM m WHERE i > 0")
 def notes(spark, d):
     def run(rs):
@@ -140,17 +130,6 @@ def bands(spark, d):
     return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, score double")
 
 
-@query("JOIN_17_table_matches", "WITH RECURSIVE t AS (SELECT conv_id, turn, role, [length(text) % 3, (length(text) - length(replace(text, ' ', ''))) % 4, (length(text) - length(replace(text, 'e', ''))) % 3] AS cells FROM conversations), s AS (SELECT conv_id, turn, cells, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t WHERE role = 'user'), o AS (SELECT conv_id, coalesce(list({'turn': turn, 'cells': cells}) FILTER (role IS DISTINCT FROM 'user'), []) AS given FROM t GROUP BY conv_id), m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS partner, CAST(NULL AS BIGINT) AS different FROM o UNION ALL SELECT conv_id, i, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.turn) END, turn, best.turn, coalesce(best.n, 3) FROM (SELECT s.conv_id, s.i, m.used, s.turn, list_sort(list_transform(list_filter(given, lambda d: NOT list_contains(used, d.turn)), lambda d: {'n': CAST(CAST(d.cells[1] <> s.cells[1] AS INT) + CAST(d.cells[2] <> s.cells[2] AS INT) + CAST(d.cells[3] <> s.cells[3] AS INT) AS BIGINT), 'turn': CAST(d.turn AS BIGINT)}))[1] AS best FROM m JOIN s ON s.conv_id = m.conv_id AND s.i = m.i + 1 JOIN o ON o.conv_id = m.conv_id)) SELECT conv_id, turn, CAST(partner AS DOUBLE) AS partner, different FROM m WHERE i > 0")
-def table_matches(spark, d):
-    def run(rs):
-        cells = lambda r: [[str(len(r["text"]) % 3), str(r["text"].count(" ") % 4), str(r["text"].count("e") % 3)]]  # noqa: E731  a one-row table of a text's counts
-        source, output = [r for r in rs if r["role"] == "user"], [r for r in rs if r["role"] != "user"]
-        found = G.table_matches([cells(r) for r in source], [cells(r) for r in output])
-        return [{"turn": r["turn"], "partner": None if k is None else output[k]["turn"], "different": n} for r, (k, n) in zip(source, found, strict=True)]
-
-    return G.folded(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], run, "conv_id long, turn long, partner double, different long")
-
-
 _ROWS = "SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN '[\"' || p_brand || '\", \"b\"]' WHEN p_partkey % 3 = 1 THEN '[]' END AS choices_json, CASE WHEN p_partkey % 2 = 0 THEN '[\"img/a b' || p_size || '.png\", \"../x.png\"]' END AS image_paths_json, CASE p_partkey % 4 WHEN 0 THEN '{\"w\": 3}' WHEN 1 THEN '{}' WHEN 2 THEN 'broken' END AS layout_json FROM part"
 
 
