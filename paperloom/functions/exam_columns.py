@@ -89,7 +89,7 @@ def answer_and_explanation(c: Column) -> Column:
     block = rf"(?dims){T.EXPLANATION_HEAD}.*?(?={T.ANSWER_LINE}|\z)"
     body = F.regexp_replace(F.regexp_replace(t, block, ""), line + "\n?", "")
     answers = F.regexp_extract_all(t, F.lit(line), F.lit(1))
-    told = F.regexp_replace(F.array_join(F.regexp_extract_all(t, F.lit(block), F.lit(0)), "\n"), head + "\n?", "")
+    told = F.regexp_replace(F.array_join(F.regexp_extract_all(t, F.lit(block), F.lit(0)), ""), head + "\n?", "")
     return F.struct(cleaned(body).alias("body"), stripped(F.coalesce(F.get(answers, F.size(answers) - 1), F.lit(""))).alias("answer"), cleaned(told).alias("explanation"))
 
 

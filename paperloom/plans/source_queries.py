@@ -113,14 +113,15 @@ def list_numbers(spark, d):
 
 
 #: Texts with an answer, an explanation and, by turn, more of either after them.
-_ANSWERED = "text || chr(10) || '정답: ③' || chr(10) || '해설: 끝' || chr(10) || CASE turn % 3 WHEN 0 THEN text || chr(10) || '[답] 4' || chr(10) || '남은 말' WHEN 1 THEN '풀이' || chr(10) || text ELSE '정답 및 해설' END"
-_B = "[ \t\u00a0\u3000]*"
+_ANSWERED = "text || chr(10) || '답답한 사람은 누구인가?' || chr(10) || '해설자는 말했다. Answers vary.' || chr(10) || 'Answers vary here' || chr(10) || '정답: ③' || chr(10) || '해설: 끝' || chr(10) || CASE turn % 3 WHEN 0 THEN text || chr(10) || '[답] 4' || chr(10) || '남은 말' WHEN 1 THEN '풀이' || chr(10) || text ELSE '정답 및 해설' || chr(10) || '정답률은 낮다' || chr(10) || '답 ②' || chr(10) || '[해설]' || chr(10) || 'x' END"
+_B1 = "[ \t\u00a0\u3000]"
+_B = f"{_B1}*"
 _CLEAN = "trim(regexp_replace(regexp_replace(coalesce({}, ''), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
 _ANSWERS = rf"""
 WITH t AS (SELECT conv_id, turn, {_ANSWERED} AS x FROM conversations WHERE text IS NOT NULL),
 l AS (SELECT conv_id, turn, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM t),
-v AS (SELECT *, regexp_extract(line, '(?i)^{_B}(\[{_B})?(정답|답|answer){_B}\]?{_B}[:：]?{_B}(\S.*)$', 3) AS told, regexp_matches(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution)') AS head,
-  regexp_replace(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution){_B}\]?{_B}[:：]?{_B}', '') AS rest FROM l),
+v AS (SELECT *, regexp_extract(line, '(?i)^{_B}(\[{_B})?(정답|답|answer)({_B}\]{_B}[:：]?|{_B}[:：]|{_B1}+){_B}(\S.*)$', 4) AS told, regexp_matches(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution)({_B}\]|{_B}[:：]|{_B1}|$)') AS head,
+  regexp_replace(line, '(?i)^{_B}(\[{_B})?(해설|풀이|explanation|solution)({_B}\]{_B}[:：]?|{_B}[:：]|{_B1}+|$){_B}', '') AS rest FROM l),
 k AS (SELECT *, CASE WHEN told <> '' AND NOT regexp_matches(told, '^(및{_B})?(해설|풀이){_B}$') THEN 'a' WHEN head THEN 'e' END AS kind FROM v),
 m AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING) AS mode FROM k)
 SELECT conv_id, turn, {_CLEAN.format("string_agg(line, chr(10) ORDER BY i) FILTER (kind IS NULL AND mode IS DISTINCT FROM 'e')")} AS body, trim(coalesce(arg_max(told, i) FILTER (kind = 'a'), '')) AS answer,

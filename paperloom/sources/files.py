@@ -17,6 +17,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.exam_text import chunked, clean, split_answer, split_choices
 
 MOST_BYTES, MOST_ENTRIES, MOST_EXPANDED = 64 << 20, 5000, 256 << 20
-ITEM = "path string, pos int, number string, subject string, unit string, tags string, title string, stem string, choices array<string>, answer string, explanation string, images array<string>, tables array<array<array<string>>>, reason string"
+ITEM = "path string, pos int, source_name string, number string, subject string, unit string, tags string, title string, stem string, choices array<string>, answer string, explanation string, images array<string>, tables array<array<array<string>>>, reason string"
 #: Header names of the fields, in two languages.
 ALIASES = {
     "number": ["number", "num", "no", "문항", "문항번호", "번호"],
@@ -108,7 +109,7 @@ def from_sqlite(data: bytes, most: int | None = None) -> list[dict]:
                 header = [c[0] for c in rows.description]
                 if {h.strip().lower() for h in header} & {*ALIASES["stem"], *ALIASES["title"]}:
                     item = reader(header)
-                    out += [i | {"subject": i["subject"] or name} for r in itertools.islice(rows, most) if (i := item(list(r)))]
+                    out += [i | {"table": name} for r in itertools.islice(rows, most) if (i := item(list(r)))]
         finally:
             bank.close()
     return out
@@ -254,7 +255,8 @@ _LISTS = {"choices", "images", "tables"}
 
 
 def _rows(kind: str, path: str, data: bytes, size: int) -> list[tuple]:
-    bad = lambda why: [(path, 0, *[[] if f in _LISTS else "" for f in _FIELDS], why)]
+    name = unquote(path.rpartition("/")[2])
+    bad = lambda why: [(path, 0, name, *[[] if f in _LISTS else "" for f in _FIELDS], why)]
     if size > MOST_BYTES:
         return bad("file_too_large")
     if not data:
@@ -267,7 +269,7 @@ def _rows(kind: str, path: str, data: bytes, size: int) -> list[tuple]:
         return bad(f"unreadable: {type(e).__name__}")
     if not items:
         return bad("no_items")
-    return [(path, i, *[x.get(f) or ([] if f in _LISTS else "") for f in _FIELDS], None) for i, x in enumerate(items)]
+    return [(path, i, f"{name}:{x['table']}" if "table" in x else name, *[x.get(f) or ([] if f in _LISTS else "") for f in _FIELDS], None) for i, x in enumerate(items)]
 
 
 def read(spark: SparkSession, kind: str, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ def test_sqlite(spark, tmp_path):
         db.executemany("INSERT INTO q VALUES (?, ?, ?)", [(1, "one", "3"), (2, None, "x")])
     db.close()
     rows = read(spark, "sqlite", str(tmp_path / "bank.db")).collect()
-    assert [(r.number, r.stem, r.answer, r.subject) for r in rows] == [("1", "one", "3", "q")]
+    assert [(r.number, r.stem, r.answer, r.subject, r.source_name) for r in rows] == [("1", "one", "3", "", "bank.db:q")]
     (tmp_path / "bad.db").write_bytes(b"no database")
     assert read(spark, "sqlite", str(tmp_path / "bad.db")).first().reason == "wrong_kind"
 

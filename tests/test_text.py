@@ -109,7 +109,15 @@ def test_key_ends_before_the_next_question():
     assert report == {"mapped": 2, "unmatched": 0}
 
 
+def test_formulas_with_scripts_are_whole():
+    told = lambda t: [s["text"] for s in T.math_spans(t)]
+    assert told("값 x^{2}+1 은") == ["x^{2}+1"] and told("a_1 + b") == ["a_1 + b"] and told("x_{n+1}") == ["x_{n+1}"] and told("y=a^2") == ["y=a^2"]
+
+
 def test_answer_lines_and_heads():
+    for line in ("답답한 사람은 누구인가?", "해설자는 말했다.", "Answers vary here", "정답률이 낮다", "풀이법을 쓰시오", "solutions exist"):
+        assert T.split_answer(f"{line}\n답 ②") == (line, "②", "")
+    assert T.split_answer("본문\n답 : 3\n해설\n까닭\n[풀이]더\n정답\t4") == ("본문", "4", "까닭\n더")
     assert T.split_answer("본문\n[정답] ③\n남은 본문") == ("본문\n남은 본문", "③", "")
     assert T.split_answer("본문\n정답 및 해설\n더") == ("본문\n정답 및 해설\n더", "", "")
     assert T.split_answer("정답: 해설\nAnswer : x+1 \n  Solution\n까닭\n\n\n\n끝") == ("정답: 해설", "x+1", "까닭\n\n끝")
