@@ -125,14 +125,3 @@ def folded(rows: DataFrame, by: str, order: list[str], function, schema: str) ->
         return pd.DataFrame([{by: group[by].iloc[0], **r} for r in out], columns=names)
 
     return rows.groupBy(by).applyInPandas(run, schema)
-
-
-def automatic_numbers(levels: list[int]) -> list[str]:
-    """Outline numbers of paragraphs by their levels (0 first): a level counts on, deeper ones begin anew."""
-    counts: dict[int, int] = {}
-    out = []
-    for level in levels:
-        counts = {k: v for k, v in counts.items() if k <= level}
-        counts[level] = counts.get(level, 0) + 1
-        out.append(".".join(str(counts.get(k, 1)) for k in range(level + 1)))
-    return out

@@ -84,13 +84,6 @@ def flow(spark, d):
     return audit.paragraph_flow(lines, c.where("role = 'assistant'").select("conv_id", "text"), ["conv_id"])
 
 
-@query("WIN_10_automatic_numbers", "WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) % 3 AS level, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), n AS (SELECT conv_id, turn, level, i, CASE WHEN level = 0 THEN 1 END AS a, CASE WHEN level = 1 THEN 1 END AS b, CASE WHEN level = 2 THEN 1 END AS c FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.turn, p.level, p.i, CASE WHEN p.level = 0 THEN coalesce(a, 0) + 1 ELSE a END, CASE WHEN p.level = 1 THEN coalesce(b, 0) + 1 WHEN p.level > 1 THEN b END, CASE WHEN p.level = 2 THEN coalesce(c, 0) + 1 END FROM n JOIN p ON p.conv_id = n.conv_id AND p.i = n.i + 1) SELECT conv_id, turn, coalesce(a, 1) || CASE WHEN level > 0 THEN '.' || coalesce(b, 1) ELSE '' END || CASE WHEN level > 1 THEN '.' || coalesce(c, 1) ELSE '' END AS label FROM n")
-def automatic_numbers(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 3).alias("level"))
-    run = lambda rs: [{"turn": r["turn"], "label": n} for r, n in zip(rs, G.automatic_numbers([r["level"] for r in rs]), strict=True)]
-    return G.folded(rows, "conv_id", ["turn"], run, "conv_id long, turn long, label string")
-
-
 def page_rows(spark, d):
     return boxes(spark, d).select("page", "id", "p_size", F.col("box.left").alias("x"), F.col("box.top").alias("y"), S.right(F.col("box")).alias("x2"), S.bottom(F.col("box")).alias("y2"))
 
