@@ -201,16 +201,6 @@ def _choice_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"^\s*([①②③④⑤⑥⑦⑧⑨]|\(?[1-9][.)])", ""), WS + "+", ""))
 
 
-def profile_similarity(a: Column, b: Column) -> Column:
-    """0.65 (1 - half the L1 distance) + 0.35 soft intersection over union of two profiles, each normed to sum 1."""
-    norm = lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda s, y: s + y))
-    pair = F.arrays_zip(norm(a).alias("x"), norm(b).alias("y"))
-    total = lambda f: F.aggregate(F.transform(pair, f), F.lit(0.0), lambda s, x: s + x)
-    l1 = total(lambda p: F.abs(p["x"] - p["y"]))
-    iou = total(lambda p: F.least(p["x"], p["y"])) / total(lambda p: F.greatest(p["x"], p["y"]))
-    return 0.65 * (1 - l1 / 2) + 0.35 * iou
-
-
 def findings_by_item(findings: DataFrame) -> DataFrame:
     """Kinds of findings of each item in the order of their first place, and the eight first labels with the number of the others."""
     kinds = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", "kind"))), lambda x: x["kind"]))

@@ -97,13 +97,6 @@ def sequences(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", A.sequence_count(characters(F.col("text")), ["e", "r"]).alias("times"))
 
 
-@query("AGG_26_profiles", "SELECT o_orderkey AS id, 0.65 * (1 - (abs(a1 / sa - b1 / sb) + abs(a2 / sa - b2 / sb)) / 2) + 0.35 * (least(a1 / sa, b1 / sb) + least(a2 / sa, b2 / sb)) / (greatest(a1 / sa, b1 / sb) + greatest(a2 / sa, b2 / sb)) AS score FROM (SELECT *, a1 + a2 AS sa, b1 + b2 AS sb FROM (SELECT o_orderkey, CAST(1 + o_custkey % 7 AS DOUBLE) AS a1, 3.0::DOUBLE AS a2, 2.0::DOUBLE AS b1, CAST(1 + o_orderkey % 5 AS DOUBLE) AS b2 FROM orders))")
-def profiles(spark, d):
-    a = F.array((1 + F.col("o_custkey") % 7).cast("double"), F.lit(3.0))
-    b = F.array(F.lit(2.0), (1 + F.col("o_orderkey") % 5).cast("double"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), A.profile_similarity(a, b).alias("score"))
-
-
 @query("SET_1_missing_words", "SELECT key FROM (" + _WORDS.format("user").replace("conv_id, ", "") + ") EXCEPT ALL SELECT key FROM (" + _WORDS.format("assistant").replace("conv_id, ", "") + ")")
 def missing_words(spark, d):
     return A.missing_things(words(spark, d, "user").select("key"), words(spark, d, "assistant").select("key"))
