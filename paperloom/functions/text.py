@@ -23,6 +23,12 @@ def ascii_fold(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def casefolded(c: Column) -> Column:
+    """Without case, as comparisons want it: sharp s is ss, ligatures are their letters, every sigma is one."""
+    sigma = lambda x: F.translate(x, "ς", "σ")  # noqa: E731  between the two, or Spark would take lower alone
+    return sigma(F.lower(sigma(F.upper(c))))
+
+
 def like(c: Column, needle: str) -> Column:
     """Contains, with the needle's % and _ as wildcards, ASCII case folded, and no escape character."""
     return ascii_fold(c).like("%" + needle.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\") + "%")

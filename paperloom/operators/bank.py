@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import WS, ascii_fold, collapsed, like, text
+from ..functions.text import WS, ascii_fold, casefolded, collapsed, like, text
+from ..session import staged
 
 SEARCHED = ("title", "stem", "source_name", "number", "answer")
 
@@ -66,12 +70,17 @@ def tables_json(tables: Column) -> Column:
     return F.when(F.coalesce(F.size(tables), F.lit(0)) > 0, listed(tables, lambda t: listed(t, lambda r: listed(r, cell)))).otherwise("")
 
 
-def item_identity(stem: Column, choices: Column, answer: Column, tables: Column, image_hashes: Column) -> Column:
-    """Identity of a whole item: stem, choices, answer, tables and the hashes of its pictures, in that order."""
+def item_content(stem: Column, choices: Column, answer: Column, tables: Column, image_hashes: Column) -> Column:
+    """What an item is: stem, choices, answer, tables and the hashes of its pictures, in that order, as one text."""
     none = F.array().cast("array<string>")
     nonempty = F.filter(F.array(tables_json(tables)), lambda t: t != "")
     parts = F.concat(F.array(text(stem)), F.coalesce(choices, none), F.array(text(answer)), nonempty, F.coalesce(image_hashes, none))
-    return identity(F.array_join(parts, "\n"))
+    return F.array_join(parts, "\n")
+
+
+def item_identity(stem: Column, choices: Column, answer: Column, tables: Column, image_hashes: Column) -> Column:
+    """Identity of a whole item."""
+    return identity(item_content(stem, choices, answer, tables, image_hashes))
 
 
 def api_items(rows: DataFrame) -> DataFrame:
@@ -105,29 +114,39 @@ def legacy_identity(*fields: Column) -> Column:
     return F.when(whole == "", F.lit("")).otherwise(F.sha1(F.lower(whole)))
 
 
-def duplicate_of(incoming: DataFrame, bank: DataFrame, content: Iterable[str] = ("stem",)) -> DataFrame:
-    """For each incoming row the least bank id with its source name and content, if any.
+def _hashed(rows: DataFrame, content: Column, *more: str) -> DataFrame:
+    """id, source_name, hash and legacy hash of each row, and its further columns ``more``; texts go no further."""
+    plain = rows.select("id", "source_name", *more, collapsed(text(content)).alias("_content"))
+    return plain.select("id", "source_name", *more, identity(F.col("_content")).alias("hash"), legacy_identity(F.col("_content")).alias("legacy"))
 
-    Bank rows carry a stored hash, new or legacy; it shortlists, the stored content decides.
+
+def import_states(incoming: DataFrame, bank: DataFrame, content: Column | None = None) -> DataFrame:
+    """id, duplicate_of and state of each incoming row; ``content`` tells what a row is (its stem, or ``item_content``).
+
+    duplicate_of is the least bank id with its source name and content: a bank row's stored hash, new or legacy,
+    shortlists, the stored content decides. States are ``existing`` (the bank has it under this source), ``skipped`` (an
+    inserted row of this run has its content) and ``created``; a row that the bank rejects doesn't block a later row of
+    another source; rows without content are always created. Each content is hashed once, and only hashes are exchanged.
     """
-    fields = [F.col(c) for c in content]
-    new = incoming.withColumns({"_hash": identity(*fields), "_legacy": legacy_identity(*fields)})
-    old = bank.select(F.col("id").alias("_id"), F.col("source_name").alias("_source"), F.col("content_hash").alias("_stored"), identity(*fields).alias("_now"))
-    keys = new.select("id", "source_name", "_hash", F.explode(F.array_distinct(F.array("_hash", "_legacy"))).alias("_key")).where("_hash <> ''")
-    found = keys.join(old, (F.col("_key") == F.col("_stored")) & (F.col("source_name") == F.col("_source")) & (F.col("_hash") == F.col("_now")))
-    return new.join(found.groupBy("id").agg(F.min("_id").alias("duplicate_of")), "id", "left").drop("_hash", "_legacy")
+    content = F.col("stem") if content is None else content
+    new = _hashed(incoming, content)
+    old = _hashed(bank, content, "content_hash").select(F.col("id").alias("_id"), F.col("source_name").alias("_source"), F.col("content_hash").alias("_stored"), F.col("hash").alias("_now"), F.col("legacy").alias("_former"))
+    old = old.where((F.col("_stored") == F.col("_now")) | (F.col("_stored") == F.col("_former"))).groupBy("_source", "_now").agg(F.min("_id").alias("duplicate_of")).where("_now <> ''")
+    marked = new.join(old, (F.col("hash") == F.col("_now")) & (F.col("source_name") == F.col("_source")), "left")
+    key = F.when(F.col("hash") == "", F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.col("hash"))
+    turn = F.row_number().over(W.partitionBy(key, F.col("duplicate_of").isNull()).orderBy("id"))
+    state = F.when(F.col("duplicate_of").isNotNull(), "existing").when((turn > 1) & (F.col("hash") != ""), "skipped").otherwise("created")
+    return marked.select("id", "duplicate_of", state.alias("state"))
 
 
-def import_unique(incoming: DataFrame, bank: DataFrame, content: Iterable[str] = ("stem",)) -> DataFrame:
-    """What an import does with each row: ``existing`` (the bank has it under this source), ``skipped`` (an inserted row of this run has its content) or ``created``.
+def duplicate_of(incoming: DataFrame, bank: DataFrame, content: Column | None = None) -> DataFrame:
+    """The incoming rows with the least bank id that has their source name and content, if any."""
+    return incoming.join(import_states(incoming, bank, content).drop("state"), "id")
 
-    A row that the bank rejects doesn't block a later row of another source; rows without content are always created.
-    """
-    fields = [F.col(c) for c in content]
-    marked = duplicate_of(incoming, bank, content).withColumn("_hash", identity(*fields))
-    turn = F.row_number().over(W.partitionBy(F.col("duplicate_of").isNull(), F.when(F.col("_hash") == "", F.concat(F.lit("#"), F.col("id").cast("string"))).otherwise(F.col("_hash"))).orderBy("id"))
-    state = F.when(F.col("duplicate_of").isNotNull() & (F.col("_hash") != ""), "existing").when((turn > 1) & (F.col("_hash") != ""), "skipped").otherwise("created")
-    return marked.withColumn("state", state).drop("_hash")
+
+def import_unique(incoming: DataFrame, bank: DataFrame, content: Column | None = None) -> DataFrame:
+    """The incoming rows with duplicate_of and state."""
+    return incoming.join(import_states(incoming, bank, content), "id")
 
 
 def ordered_ids(selection: DataFrame) -> DataFrame:
@@ -147,10 +166,15 @@ def deleted(bank: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def appended(bank: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows with new ids after the largest one, in the order of their pos. One window numbers them: they are one import, not the bank."""
+    """Rows with new ids after the largest one, in the order of their pos: ranges of pos are numbered on their own, and each
+    begins after the rows of those before it. Only a row a range meets in one place."""
     top = bank.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy("pos")))
-    return bank.unionByName(numbered.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).select(*bank.columns))
+    spread = staged(rows.repartitionByRange("pos").withColumn("_part", F.spark_partition_id()), "import")
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = spread.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy("pos")))
+    numbered = placed.join(F.broadcast(offsets), "_part").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_n"))
+    return bank.unionByName(numbered.select(*bank.columns))
 
 
 def upserted_counts(counters: DataFrame, events: DataFrame) -> DataFrame:
@@ -183,7 +207,7 @@ def choices_split(whole: Column) -> Column:
 def choice_key(choice: Column) -> Column:
     """What makes two choices the same: no label, no white space, no case."""
     body = F.regexp_replace(choice, rf"^{WS}*(?:[①②③④⑤⑥⑦⑧⑨]|\(?[1-9][.)])", "")
-    return F.lower(F.regexp_replace(body, WS + "+", ""))
+    return casefolded(F.regexp_replace(body, WS + "+", ""))
 
 
 def safe_image_paths(paths: Column) -> Column:
@@ -192,16 +216,36 @@ def safe_image_paths(paths: Column) -> Column:
     return F.array_distinct(F.filter(paths, ok))
 
 
+#: What shows a question's score, and the forms of an exam, which differ between its copies.
+SCORE = r"\[\s*\d+\s*점\s*\]"
+FORMS = r"\(?\s*(?:홀수형|짝수형|미적분|확률과\s*통계|기하)\s*\)?"
+
+
 def loose_key(number: Column, stem: Column) -> Column:
-    """A key that survives drifting choices and pictures: the first six lines' letters and digits, 24 of them at least; else empty."""
-    head = F.array_join(F.slice(F.split(text(stem), "\n"), 1, 6), "\n")
-    bare = F.regexp_replace(F.regexp_replace(head, r"^\s*\d{1,3}\s*[.)]\s*", ""), r"[^0-9A-Za-z가-힣α-ωΑ-Ω]+", "")
-    return F.when(F.length(bare) < 24, "").otherwise(F.concat(text(number), F.lit(":"), F.substring(bare, 1, 180)))
+    """A key that survives drifting choices, pictures and forms: letters and digits up to the score, or of the first six lines,
+    without the question's number and the names of forms; 24 of them at least, else it is empty."""
+    whole = text(stem)
+    scored = F.regexp_extract(whole, rf"(?s)^(.*?{SCORE})", 1)
+    head = F.when(scored != "", scored).otherwise(F.array_join(F.slice(F.split(whole, "\r\n|[\n\r]"), 1, 6), "\n"))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"^\s*\d{1,3}\s*[.)]\s*", ""), FORMS, ""), r"[^0-9A-Za-z가-힣α-ωΑ-Ω]+", "")
+    return F.when(F.length(bare) < 24, "").otherwise(F.concat(F.trim(text(number)), F.lit(":"), F.substring(bare, 1, 180)))
 
 
 def safe_name(name: Column, most: int = 80) -> Column:
-    """A file name of letters, digits, dots, lines and dashes; runs of others become one line."""
-    return F.substring(F.regexp_replace(text(name), r"[^0-9A-Za-z가-힣._-]+", "_"), 1, most)
+    """A file name of ASCII letters, digits, Hangul, dots, lines and dashes, composed first; runs of others become one line."""
+    return F.substring(F.regexp_replace(composed(text(name)), r"[^0-9A-Za-z가-힣._-]+", "_"), 1, most)
+
+
+def upload_name(path: Column, most: int = 120) -> Column:
+    """The name of an uploaded file, which may have blanks; ``upload`` if it has none."""
+    name = F.trim(composed(F.substring_index(F.replace(text(path), F.lit("\\"), F.lit("/")), "/", -1)))
+    return F.substring(F.regexp_replace(F.when(name == "", "upload").otherwise(name), r"[^0-9A-Za-z가-힣._ -]+", "_"), 1, most)
+
+
+@F.arrow_udf(StringType())
+def composed(texts: pa.Array) -> pa.Array:
+    """Texts with letters and their marks as one character where there is one (NFC)."""
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def normal_tables(tables: Column) -> Column:

@@ -135,9 +135,9 @@ def explanations(items: DataFrame, circled: bool = True) -> DataFrame:
     return items.where(stripped(text("explanation")) != "").select("pos", heading.alias("heading"), F.split(stripped(F.col("explanation")), "\r\n|\r|\n").alias("lines"))
 
 
-def wants_answer_key(items: DataFrame, enabled: bool, sheet: bool) -> DataFrame:
-    """One row: whether an answer key is appended."""
-    return items.agg((F.lit(enabled and not sheet) & F.coalesce(F.bool_or(stripped(text("answer")) != ""), F.lit(False))).alias("appended"))
+def wants_answer_key(items: DataFrame, enabled: bool, sheet: bool, *by: str) -> DataFrame:
+    """Whether an answer key is appended, of each exam (by), or one row."""
+    return items.groupBy(*by).agg((F.lit(enabled and not sheet) & F.coalesce(F.bool_or(stripped(text("answer")) != ""), F.lit(False))).alias("appended"))
 
 
 def needs_answer_blank(stem: Column, has_choices: Column, template_blank: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Box = tuple[float, float, float, float]  # left, top, right, bottom
 
@@ -44,17 +45,6 @@ def merged_segments(segments: list[tuple[float, float, float]], across: float, a
     return [(float(pd.Series(g[0]).median()), g[1], g[2]) for g in out]
 
 
-def clusters(values: list[float], tolerance: float, anchored: bool) -> list[list[float]]:
-    """Sorted values in clusters: within the tolerance of the cluster's first value (anchored), or of its running mean."""
-    out: list[list[float]] = []
-    for v in sorted(values):
-        if out and abs(v - (out[-1][0] if anchored else sum(out[-1]) / len(out[-1]))) <= tolerance:
-            out[-1].append(v)
-        else:
-            out.append([v])
-    return out
-
-
 def band_score(source: list[tuple[float, float]], output: list[tuple[float, float]], tolerance: float) -> float:
     """Share of line bands (top, bottom) that find a partner within the tolerance, by two pointers over both sorted lists."""
     a, b = sorted(source), sorted(output)
@@ -98,6 +88,24 @@ def note_places(anchors: list[str], chunks: list[str]) -> list[int | None]:
     return out
 
 
+def clustered(rows: DataFrame, by: str, value: str, tolerance: float, anchored: bool) -> DataFrame:
+    """by, cluster (from 0), low, n and mean of each group's values: a value joins the cluster before it within the tolerance of
+    its first value (anchored), or of its mean so far. A fold over one page's values."""
+    state = "array<struct<low:double,total:double,n:bigint>>"
+
+    def step(found: Column, v: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        centre = last["low"] if anchored else last["total"] / last["n"]
+        near = F.coalesce(F.abs(v - centre) <= tolerance, F.lit(False))
+        grown = F.struct(last["low"].alias("low"), (last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))
+        new = F.struct(v.alias("low"), v.alias("total"), F.lit(1).cast("long").alias("n"))
+        return F.when(near, F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(found, F.array(new))).cast(state)
+
+    lists = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("values"))
+    out = lists.select(by, F.posexplode(F.aggregate("values", F.array().cast(state), step)).alias("cluster", "c"))
+    return out.select(by, F.col("cluster").cast("long").alias("cluster"), "c.low", "c.n", (F.col("c.total") / F.col("c.n")).alias("mean"))
+
+
 def merge_page_boxes(boxes: DataFrame, by: list[str], gap: float = 4.0, most_width: float = 1e9, most_height: float = 1e9) -> DataFrame:
     """Merged boxes (left, top, right, bottom, ord) of each page."""
     names = ["left", "top", "right", "bottom"]

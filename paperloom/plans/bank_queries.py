@@ -108,15 +108,21 @@ def stored_duplicates(spark, d):
     return bank.duplicate_of(items(spark, d).where("id % 2 = 1"), old).select("id", "duplicate_of")
 
 
-_IMPORT = f"""WITH h AS (SELECT doc_id, source, {_HASH} AS h FROM documents), m AS (SELECT n.*, (SELECT min(b.doc_id) FROM h b WHERE b.doc_id % 4 = 0 AND b.source = n.source AND b.h = n.h AND n.h <> '') AS dup FROM h n WHERE n.doc_id % 4 <> 0)
-SELECT doc_id AS id, dup AS duplicate_of, CASE WHEN dup IS NOT NULL THEN 'existing' WHEN h <> '' AND row_number() OVER (PARTITION BY dup IS NULL, CASE WHEN h = '' THEN '#' || doc_id ELSE h END ORDER BY doc_id) > 1 THEN 'skipped' ELSE 'created' END AS state FROM m"""
+#: What an item is in an import: its stem, two choices, its answer and, for every third id, a table.
+_CONTENT = "coalesce(text, '') || chr(10) || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'c' END || chr(10) || source || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '[[[\"' || lang || '\"]]]' ELSE '' END"
+_WHOLE_HASH = f"'v2:' || sha1(trim(regexp_replace({_CONTENT}, '{WS}+', ' ', 'g')))"
+_IMPORT = f"""WITH h AS (SELECT doc_id, source, {_WHOLE_HASH} AS h FROM documents), m AS (SELECT n.*, (SELECT min(b.doc_id) FROM h b WHERE b.doc_id % 4 = 0 AND b.source = n.source AND b.h = n.h) AS dup FROM h n WHERE n.doc_id % 4 <> 0)
+SELECT doc_id AS id, dup AS duplicate_of, CASE WHEN dup IS NOT NULL THEN 'existing' WHEN row_number() OVER (PARTITION BY dup IS NULL, h ORDER BY doc_id) > 1 THEN 'skipped' ELSE 'created' END AS state FROM m"""
 
 
 @query("DED_3_import_states", _IMPORT)
 def import_states(spark, d):
-    """A quarter of the items is the bank; the rest is one import."""
-    old = items(spark, d).where("id % 4 = 0").withColumn("content_hash", bank.identity(F.col("stem")))
-    return bank.import_unique(items(spark, d).where("id % 4 <> 0"), old).select("id", "duplicate_of", "state")
+    """A quarter of the items is the bank; the rest is one import. Items with one stem and other choices or tables are others."""
+    table_of = F.when(F.col("id") % 3 == 0, F.array(F.array(F.array("subject"))))
+    whole = bank.item_content(F.col("stem"), F.array(F.col("subject"), F.when(F.col("id") % 2 == 0, "b").otherwise("c")), F.col("source_name"), table_of, F.array().cast("array<string>"))
+    told = items(spark, d).withColumn("content", whole)
+    old = told.where("id % 4 = 0").withColumn("content_hash", bank.identity(F.col("content")))
+    return bank.import_states(told.where("id % 4 <> 0"), old, F.col("content"))
 
 
 @query("DED_4_import_result", f"SELECT state, count(*) AS n, min(id) AS first_id FROM ({_IMPORT}) GROUP BY state")
@@ -129,10 +135,10 @@ def ordered_ids(spark, d):
     return bank.ordered_ids(table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")))
 
 
-@query("DED_6_same_words", f"SELECT item_id, len(w) AS words, len(w) - len(list_distinct(w)) AS repeats FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: lower(regexp_replace(regexp_replace(x, '^{WS}*(?:[{CIRCLED}]|\\(?[1-9][.)])', ''), '{WS}+', '', 'g'))) AS w FROM benchmark)")
+@query("DED_6_same_words", f"SELECT item_id, len(w) AS words, len(w) - len(list_distinct(w)) AS repeats FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: replace(lower(regexp_replace(regexp_replace(x, '^{WS}*(?:[{CIRCLED}]|\\(?[1-9][.)])', ''), '{WS}+', '', 'g')), 'ß', 'ss')) AS w FROM (SELECT item_id, text || ' Straße STRASSE ① strasse' AS text FROM benchmark))")
 def same_words(spark, d):
     """The words of a benchmark item stand for choices."""
-    keys = F.transform(F.split("text", " "), bank.choice_key)
+    keys = F.transform(F.split(F.concat("text", F.lit(" Straße STRASSE ① strasse")), " "), bank.choice_key)
     return table(spark, d, "benchmark").select("item_id", F.size(keys).cast("long").alias("words"), (F.size(keys) - F.size(F.array_distinct(keys))).cast("long").alias("repeats"))
 
 

@@ -105,9 +105,11 @@ def answer_rows(spark, d):
     return C.answer_rows(n, 3, ("sel",))
 
 
-@query("CMP_4_wants_answer_key", "SELECT true AS appended")
+@query("CMP_4_wants_answer_key", f"SELECT sel, bool_or(flag = 'A' AND quantity > 20) AS appended FROM ({_NUM}) GROUP BY sel")
 def wants_key(spark, d):
-    return C.wants_answer_key(numbered(spark, d).withColumn("answer", F.col("flag")), True, False)
+    """An order's lines are an exam; some have an answer, some only blanks."""
+    answer = F.when(F.col("flag") != "A", None).when(F.col("quantity") > 20, "3").otherwise(" \u3000")
+    return C.wants_answer_key(numbered(spark, d).withColumn("answer", answer), True, False, "sel")
 
 
 _UNITS = "length(x) + length(regexp_replace(regexp_replace(x, '[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g'), '[\\x00-\\x{FF}]', '', 'g'))"
@@ -126,9 +128,18 @@ def heights(spark, d):
     return docs.select(F.col("doc_id").alias("id"), C.estimated_height(stem, choices, empty, 2, tables=tables, title=F.lit(""), answer=F.col("source"), explanation=F.col("lang"), blank=True).alias("height"))
 
 
-@query("WIN_14_layout_plan")
+_PLAN = f"""
+WITH RECURSIVE n AS (SELECT sel, pos, quantity * 3 AS height FROM ({_NUM})),
+w AS (SELECT DISTINCT sel, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS height, CAST(0 AS BIGINT) AS start_slot, CAST(0 AS BIGINT) AS end_slot, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS used, false AS break_before FROM n
+  UNION ALL SELECT sel, pos, height, f, CASE WHEN height > 100 THEN f + (height + 99) // 100 - 1 ELSE f END, CASE WHEN height > 100 THEN f + height // 100 ELSE f END, CASE WHEN height > 100 THEN height % 100 WHEN brk THEN height ELSE used + height END, brk
+  FROM (SELECT *, slot + CASE WHEN brk THEN 1 ELSE 0 END AS f FROM (SELECT n.sel, n.pos, n.height, w.slot, w.used, w.used > 0 AND w.used + n.height > 100 AS brk FROM w JOIN n ON n.sel = w.sel AND n.pos = w.pos + 1)))
+SELECT sel, pos, height, start_slot, end_slot, break_before, start_slot // 2 + 1 AS page, start_slot % 2 + 1 AS "column", CASE WHEN height > 100 THEN 'split' WHEN height >= 82 THEN 'tight' ELSE 'none' END AS risk FROM w WHERE pos > 0
+"""
+
+
+@query("WIN_14_layout_plan", _PLAN)
 def layout_plan(spark, d):
-    """Quantities stand for heights; a fold, so the tests hold it against a loop."""
+    """Quantities stand for heights."""
     n = numbered(spark, d).select("sel", "pos", (F.col("quantity") * 3).alias("height"))
     return C.planned(n, "sel", 2)
 

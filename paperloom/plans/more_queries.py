@@ -12,24 +12,34 @@ from ..operators import segment as S
 from ..registry import query, table
 from .segment_queries import _SQL_PARTS, boxes
 
-_LOOSE = "regexp_replace(regexp_replace(array_to_string(string_split(text, chr(10))[1:6], chr(10)), '^\\s*\\d{1,3}\\s*[.)]\\s*', ''), '[^0-9A-Za-z가-힣α-ωΑ-Ω]+', '', 'g')"
+#: Stems of forms of an exam: a number, a form's name, and of some a score, behind which they differ.
+_STEM = "CASE WHEN doc_id % 3 = 0 THEN (doc_id % 90 + 1) || '. ' ELSE '' END || CASE doc_id % 4 WHEN 0 THEN '(홀수형) ' WHEN 1 THEN '짝수형' ELSE '' END || CASE WHEN doc_id % 5 < 2 THEN substr(text, 1, 60) || ' [ 3 점 ] ' || doc_id ELSE text END"
+_HEAD = "CASE WHEN regexp_matches(t, '\\[\\s*\\d+\\s*점\\s*\\]') THEN regexp_extract(t, '(?s)^(.*?\\[\\s*\\d+\\s*점\\s*\\])', 1) ELSE array_to_string(string_split(t, chr(10))[1:6], chr(10)) END"
+_LOOSE = f"regexp_replace(regexp_replace(regexp_replace({_HEAD}, '^\\s*\\d{{1,3}}\\s*[.)]\\s*', ''), '\\(?\\s*(?:홀수형|짝수형|미적분|확률과\\s*통계|기하)\\s*\\)?', '', 'g'), '[^0-9A-Za-z가-힣α-ωΑ-Ω]+', '', 'g')"
 
 
-@query("DED_5_loose_keys", f"SELECT k AS key, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, CASE WHEN length({_LOOSE}) < 24 THEN '' ELSE lang || ':' || substr({_LOOSE}, 1, 180) END AS k FROM documents) WHERE k <> '' GROUP BY k")
+@query("DED_5_loose_keys", f"SELECT k AS key, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, CASE WHEN length(b) < 24 THEN '' ELSE lang || ':' || substr(b, 1, 180) END AS k FROM (SELECT doc_id, lang, {_LOOSE} AS b FROM (SELECT doc_id, lang, {_STEM} AS t FROM documents))) WHERE k <> '' GROUP BY k")
 def loose_keys(spark, d):
-    k = table(spark, d, "documents").select("doc_id", bank.loose_key(F.col("lang"), F.col("text")).alias("key"))
+    k = table(spark, d, "documents").select("doc_id", bank.loose_key(F.col("lang"), F.expr(_STEM)).alias("key"))
     return k.where("key <> ''").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("PRJ_14_safe_names", "SELECT page_id, substr(regexp_replace(url, '[^0-9A-Za-z가-힣._-]+', '_', 'g'), 1, 80) AS name FROM pages")
+#: Names with Hangul in pieces, signs, and folders.
+_NAMED = "concat(source, '/', doc_id, ' ᄒ', 'ᅡ', 'ᆫ글? ', text, '.hwp')"
+
+
+@query("PRJ_14_safe_names", f"SELECT doc_id AS id, substr(regexp_replace(nfc_normalize({_NAMED}), '[^0-9A-Za-z가-힣._-]+', '_', 'g'), 1, 80) AS name, substr(regexp_replace(trim(regexp_extract(nfc_normalize({_NAMED}), '(?s)([^/]*)$', 1)), '[^0-9A-Za-z가-힣._ -]+', '_', 'g'), 1, 120) AS upload FROM documents WHERE NOT contains(text, chr(92))")
 def safe_names(spark, d):
-    return table(spark, d, "pages").select("page_id", bank.safe_name(F.col("url")).alias("name"))
+    raw = F.expr(_NAMED)
+    return table(spark, d, "documents").where(~F.contains("text", F.lit("\\"))).select(F.col("doc_id").alias("id"), bank.safe_name(raw).alias("name"), bank.upload_name(raw).alias("upload"))
 
 
-@query("ARR_2_tables", "SELECT conv_id, turn, [[[trim(role), ''], ['x']]] AS tables FROM conversations")
+@query("ARR_2_tables", "SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 5 = 0 THEN [] ELSE [list_transform(string_split(l, '.'), lambda c: CASE WHEN length(c) % 4 = 0 THEN '' ELSE trim(c) END), []] END), lambda t: len(t) > 0) AS tables FROM conversations WHERE text IS NOT NULL")
 def tables(spark, d):
-    raw = F.array(F.array(F.array(F.concat(F.lit(" "), "role"), F.lit(None).cast("string")), F.array(F.lit("x "))), F.lit(None).cast("array<array<string>>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", bank.normal_tables(raw).alias("tables"))
+    """A turn's lines are its tables (some missing), sentences their cells (some missing), each with a missing second row."""
+    cells = lambda line: F.transform(F.split(line, r"\."), lambda c: F.when(F.length(c) % 4 > 0, F.concat(F.lit(" "), c)))
+    raw = F.transform(F.split("text", "\n"), lambda line: F.when(F.length(line) % 5 > 0, F.array(cells(line), F.lit(None).cast("array<string>"))))
+    return table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", bank.normal_tables(raw).alias("tables"))
 
 
 @query("STR_18_identifiers", "SELECT doc_id AS id, regexp_extract_all(text, '([A-Za-z]+[0-9]+(?:-[0-9]+)*)') AS ids FROM documents")
@@ -96,8 +106,14 @@ def choice_runs(spark, d):
 
 @query("WIN_16_clusters", f"WITH RECURSIVE p AS ({_SQL_PARTS}), c AS (SELECT page, CAST(0 AS BIGINT) AS cluster, min(t) AS low FROM p GROUP BY page UNION ALL SELECT c.page, c.cluster + 1, min(p.t) FROM c JOIN p ON p.page = c.page AND p.t > c.low + 18 GROUP BY c.page, c.cluster) SELECT c.page, cluster, low, count(*) AS n FROM c JOIN p ON p.page = c.page AND p.t BETWEEN low AND low + 18 GROUP BY ALL")
 def clusters(spark, d):
-    run = lambda rs: [{"cluster": i, "low": c[0], "n": len(c)} for i, c in enumerate(G.clusters([r["y"] for r in rs], 18, True))]
-    return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, cluster long, low double, n long")
+    """Tops of a page's boxes within 18 of their cluster's first."""
+    return G.clustered(page_rows(spark, d), "page", "y", 18.0, True).select("page", "cluster", "low", "n")
+
+
+@query("WIN_16_running_means", f"WITH RECURSIVE p AS (SELECT page, l, row_number() OVER (PARTITION BY page ORDER BY l, id) AS i FROM ({_SQL_PARTS})), c AS (SELECT page, i, CAST(0 AS BIGINT) AS cluster, l AS total, CAST(1 AS BIGINT) AS k FROM p WHERE i = 1 UNION ALL SELECT p.page, p.i, CASE WHEN abs(p.l - total / k) <= 22 THEN cluster ELSE cluster + 1 END, CASE WHEN abs(p.l - total / k) <= 22 THEN total + p.l ELSE p.l END, CASE WHEN abs(p.l - total / k) <= 22 THEN k + 1 ELSE 1 END FROM c JOIN p ON p.page = c.page AND p.i = c.i + 1) SELECT page, cluster, max(k) AS n, arg_max(total, k) / max(k) AS mean FROM c GROUP BY page, cluster")
+def running_means(spark, d):
+    """Left edges within 22 of their cluster's mean so far."""
+    return G.clustered(page_rows(spark, d), "page", "x", 22.0, False).select("page", "cluster", "n", "mean")
 
 
 @query("GEO_4_merged_segments", f"WITH RECURSIVE p AS (SELECT page, t AS axis, l AS a, l + w AS b, row_number() OVER (PARTITION BY page ORDER BY t, l, l + w, id) AS i FROM ({_SQL_PARTS})), m AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(axes DOUBLE[], a DOUBLE, b DOUBLE)[]) AS g FROM p UNION ALL SELECT page, i, CASE WHEN k IS NULL THEN list_append(g, {{'axes': [axis], 'a': a, 'b': b}}) ELSE list_transform(g, lambda x, j: CASE WHEN j = k THEN {{'axes': list_append(x.axes, axis), 'a': least(x.a, a), 'b': greatest(x.b, b)}} ELSE x END) END FROM (SELECT p.page, p.i, m.g, p.axis, p.a, p.b, list_filter(range(1, len(m.g) + 1), lambda j: abs(m.g[j].axes[1] - p.axis) <= 20 AND p.a <= m.g[j].b + 60 AND p.b >= m.g[j].a - 60)[1] AS k FROM m JOIN p ON p.page = m.page AND p.i = m.i + 1)) SELECT page, list_aggregate(x.axes, 'median') AS axis, x.a AS start, x.b AS \"end\" FROM (SELECT page, unnest(g) AS x FROM m QUALIFY i = max(i) OVER (PARTITION BY page))")

@@ -124,7 +124,6 @@ def test_numbering_limits(spark):
 def test_greedy_geometry():
     assert geometry.merged_boxes([(0, 0, 10, 10), (12, 0, 20, 10), (50, 50, 60, 60)], 3, 100, 100) == [(0, 0, 20, 10), (50, 50, 60, 60)]
     assert geometry.merged_boxes([(0, 0, 10, 10), (12, 0, 20, 10)], 3, 15, 100) == [(0, 0, 10, 10), (12, 0, 20, 10)]
-    assert geometry.clusters([0, 10, 18, 27], 18, True) == [[0, 10, 18], [27]] and geometry.clusters([0, 1.5, 3, 9], 2, False) == [[0, 1.5], [3], [9]]
     assert geometry.band_score([(0, 10), (20, 30)], [(1, 11), (50, 60)], 2) == 0.5
     assert geometry.note_places(["b", "a", ""], ["xa", "xb", "ya"]) == [1, 2, None]
     assert geometry.merged_segments([(1.0, 0, 5), (1.2, 4, 9), (8, 0, 1)], 0.5, 1) == [(1.1, 0, 9), (8.0, 0, 1)]
