@@ -144,8 +144,7 @@ _ROWS = "SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 TH
 
 @query("PRJ_1_api_items", f"SELECT id, coalesce(from_json(choices_json, '[\"VARCHAR\"]'), []) AS choices, CASE WHEN image_paths_json IS NULL THEN [] ELSE ['/files/' || replace(replace(from_json(image_paths_json, '[\"VARCHAR\"]')[1], ' ', '%20'), '+', '%2B')] END AS image_urls, CASE WHEN id % 4 = 0 THEN layout_json END AS layout, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS formulas FROM ({_ROWS})")
 def api_items(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("_parts_of_prj_1")
-    rows = spark.sql(_ROWS.replace("FROM part", "FROM _parts_of_prj_1"))
+    rows = spark.sql(_ROWS.replace("{", "{{").replace("}", "}}").replace("FROM part", "FROM {t}"), t=table(spark, d, "part"))
     stem = F.when(F.col("id") % 5 == 0, F.concat(F.lit("값 x² 는 "), F.regexp_replace("p_name", "[^A-Za-z ]", ""))).otherwise(F.regexp_replace("p_name", "[^A-Za-z ]", ""))
     out = bank.api_items(rows.withColumn("stem", stem).withColumns({"tables_json": F.lit("[]"), "content_hash": F.lit("v2:")}))
     return out.select("id", "choices", "image_urls", "layout", F.col("math_summary.symbolic").alias("formulas"))

@@ -331,6 +331,15 @@ def write_report(rows: DataFrame, path: str) -> None:
         fs.delete(former, True)
 
 
+def seconds(at: Column) -> Column:
+    """A time to the second."""
+    return F.date_trunc("second", at)
+
+
+def stamp(at: Column) -> Column:
+    """A time as it stands in names of files."""
+    return F.date_format(seconds(at), "yyyyMMdd_HHmmss")
+
+
 def now() -> Column:
-    """The current time to the second, and its stamp in file names is ``date_format(now(), 'yyyyMMdd_HHmmss')``."""
-    return F.date_trunc("second", F.current_timestamp())
+    return seconds(F.current_timestamp())
