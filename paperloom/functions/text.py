@@ -49,17 +49,25 @@ def cleaned(c: Column) -> Column:
     return stripped(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
 
+#: Characters that are shown twice as wide as a letter, beyond U+00FF and no white space.
+WIDE = r"[^\x{00}-\x{FF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _doubled(c: Column) -> Column:
+    """A text in which each wide character is followed by one more, so that lengths are widths."""
+    return F.regexp_replace(c, WIDE, "$0\x01")
+
+
 def visual_units(c: Column) -> Column:
     """Width: white space and characters up to U+00FF count 1, wider ones 2."""
-    wide = F.length(F.regexp_replace(F.regexp_replace(c, WS, ""), r"[\x{00}-\x{FF}]", ""))
-    return F.length(c) + wide
+    return F.length(_doubled(c))
 
 
 def wrapped_lines(c: Column, limit: int | Column) -> Column:
     """Lines that a text takes at a width: each of its lines takes at least one."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.ceil(visual_units(x) / limit)).cast("long"))
+    lines = F.split(_doubled(F.regexp_replace(c, "\r\n?", "\n")), "\n")
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.ceil(F.length(x) / limit)).cast("long"))
 
 
 def characters(c: Column) -> Column:

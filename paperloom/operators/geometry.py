@@ -1,96 +1,126 @@
-"""Geometry whose result depends on the order of its steps: one page is one group, and pages are bounded."""
+"""Geometry whose result depends on the order of its steps: folds over the arrays of one page, which is bounded, as columns."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Box = tuple[float, float, float, float]  # left, top, right, bottom
-
-
-def merged_boxes(boxes: list[Box], gap: float, most_width: float, most_height: float, rounds: int = 60) -> list[Box]:
-    """Boxes that touch within the gap become one, in order, until nothing changes; a union beyond the caps isn't made."""
-    out = list(boxes)
-    for _ in range(rounds):
-        before, i = len(out), 0
-        while i < len(out):
-            j = i + 1
-            while j < len(out):
-                a, b = out[i], out[j]
-                u = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                close = a[0] <= b[2] + gap and b[0] <= a[2] + gap and a[1] <= b[3] + gap and b[1] <= a[3] + gap
-                if close and u[2] - u[0] <= most_width and u[3] - u[1] <= most_height:
-                    out[i] = u
-                    del out[j]
-                else:
-                    j += 1
-            i += 1
-        if len(out) == before:
+from ..functions.choices import let
+from ..session import staged
+
+_BOX = "struct<left:double,top:double,right:double,bottom:double>"
+ROUNDS = 60
+
+
+def listed(rows: DataFrame, by: str | list[str], order: list[str], *columns: str) -> DataFrame:
+    """by and rows: each group's rows as an array of structs, in order."""
+    keys = [by] if isinstance(by, str) else by
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
+
+
+def merged_once(boxes: Column, gap: float, most_width: float, most_height: float) -> Column:
+    """Each box takes in, in order, the later ones that touch what it has become within the gap; a union beyond the caps isn't made."""
+
+    def taken(state: Column, b: Column) -> Column:
+        a = state["box"]
+        close = (a["left"] <= b["right"] + gap) & (b["left"] <= a["right"] + gap) & (a["top"] <= b["bottom"] + gap) & (b["top"] <= a["bottom"] + gap)
+        union = F.struct(F.least(a["left"], b["left"]).alias("left"), F.least(a["top"], b["top"]).alias("top"), F.greatest(a["right"], b["right"]).alias("right"), F.greatest(a["bottom"], b["bottom"]).alias("bottom"))
+        return let(union, lambda u: let(close & (u["right"] - u["left"] <= most_width) & (u["bottom"] - u["top"] <= most_height), lambda ok: F.struct(F.when(ok, u).otherwise(a).alias("box"), F.when(ok, state["left"]).otherwise(F.concat(state["left"], F.array(b))).alias("left"))))
+
+    none = F.array().cast(f"array<{_BOX}>")
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        inner = F.aggregate(F.slice(rest, F.lit(2), F.greatest(F.size(rest), F.lit(1))), F.struct(F.get(rest, F.lit(0)).alias("box"), none.alias("left")), taken)
+        return let(inner, lambda x: F.when(F.size(rest) > 0, F.struct(F.concat(state["out"], F.array(x["box"])).alias("out"), x["left"].alias("rest"))).otherwise(state))
+
+    return F.aggregate(boxes, F.struct(none.alias("out"), boxes.alias("rest")), step)["out"]
+
+
+def merge_page_boxes(boxes: DataFrame, by: list[str], gap: float = 4.0, most_width: float = 1e9, most_height: float = 1e9) -> DataFrame:
+    """Merged boxes (left, top, right, bottom) of each page, in the order of ord, in passes until no page changes (at most ``ROUNDS``)."""
+    names = ["left", "top", "right", "bottom"]
+    pages = listed(boxes, by, ["ord"], *names).select(*by, F.transform("rows", lambda r: F.struct(*[r[c].cast("double").alias(c) for c in names])).alias("boxes"))
+    pages, done = staged(pages.withColumn("open", F.lit(True)), "pages"), []
+    for _ in range(ROUNDS):
+        now = pages.where("open").withColumn("new", merged_once(F.col("boxes"), gap, most_width, most_height))
+        pages = staged(now.select(*by, F.col("new").alias("boxes"), (F.size("new") < F.size("boxes")).alias("open")), "pages")
+        done.append(pages.where("NOT open"))
+        if pages.where("open").isEmpty():
             break
-    return out
-
-
-def merged_segments(segments: list[tuple[float, float, float]], across: float, along: float) -> list[tuple[float, float, float]]:
-    """Axis-parallel segments (axis, start, end) on nearly one line that touch or nearly do: median axis, least start, largest end."""
-    out: list[list] = []
-    for axis, start, end in sorted(segments):
-        for group in out:
-            if abs(group[0][0] - axis) <= across and start <= group[2] + along and end >= group[1] - along:
-                group[0].append(axis)
-                group[1], group[2] = min(group[1], start), max(group[2], end)
-                break
-        else:
-            out.append([[axis], start, end])
-    return [(float(pd.Series(g[0]).median()), g[1], g[2]) for g in out]
-
-
-def band_score(source: list[tuple[float, float]], output: list[tuple[float, float]], tolerance: float) -> float:
-    """Share of line bands (top, bottom) that find a partner within the tolerance, by two pointers over both sorted lists."""
-    a, b = sorted(source), sorted(output)
-    i = j = hits = 0
-    while i < len(a) and j < len(b):
-        if abs(a[i][0] - b[j][0]) <= tolerance and abs(a[i][1] - b[j][1]) <= tolerance:
-            i, j, hits = i + 1, j + 1, hits + 1
-        elif a[i][0] < b[j][0]:
-            i += 1
-        else:
-            j += 1
-    return 2 * hits / (len(a) + len(b)) if a or b else 1.0
-
-
-def choice_runs(markers: list[tuple[float, int]], drift: float = 0.2, reach: float = 24.0) -> list[bool]:
-    """Which markers (x, number), in reading order, are questions: runs of 1 to 5 in another lane under a question are choices.
-
-    A lane follows its markers: its x moves a fifth of the way to each.
-    """
-    lane: float | None = None
-    number, out, run = 0, [], 0
-    for x, n in markers:
-        aside = lane is not None and abs(x - lane) > reach
-        if lane is not None and n <= 5 and (aside or n <= number) and n == run + 1:
-            run = n
-            out.append(False)
-            continue
-        run, number = 0, n
-        lane = x if lane is None or aside else lane * (1 - drift) + x * drift
-        out.append(True)
-    return out
-
-
-def note_places(anchors: list[str], chunks: list[str]) -> list[int | None]:
-    """For each endnote's anchor text the first chunk, at or after the one before it, that contains it."""
-    at, out = 0, []
-    for a in anchors:
-        k = next((i for i in range(at, len(chunks)) if a in chunks[i]), None) if a else None
-        out.append(k)
-        at = at if k is None else k
-    return out
+    else:
+        done.append(pages.where("open"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*by, F.explode("boxes").alias("b")).select(*by, *[f"b.{c}" for c in names])
+
+
+def merged_segments(segments: Column, across: float, along: float) -> Column:
+    """Axis-parallel segments (sorted structs of axis, start, end) on nearly one line that touch or nearly do: median axis, least
+    start, largest end. A segment joins the first group whose first axis is near."""
+    kind = "array<struct<first:double,axes:array<double>,start:double,end:double>>"
+
+    def step(groups: Column, s: Column) -> Column:
+        fits = F.transform(groups, lambda g: (F.abs(g["first"] - s["axis"]) <= across) & (s["start"] <= g["end"] + along) & (s["end"] >= g["start"] - along))
+        new = F.struct(s["axis"].alias("first"), F.array(s["axis"]).alias("axes"), s["start"].alias("start"), s["end"].alias("end"))
+        grown = lambda g: F.struct(g["first"].alias("first"), F.concat(g["axes"], F.array(s["axis"])).alias("axes"), F.least(g["start"], s["start"]).alias("start"), F.greatest(g["end"], s["end"]).alias("end"))
+        return let(F.array_position(fits, F.lit(True)).cast("int"), lambda at: F.when(at == 0, F.concat(groups, F.array(new))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, grown(g)).otherwise(g))).cast(kind))
+
+    groups = F.aggregate(segments, F.array().cast(kind), step)
+
+    def median(axes: Column) -> Column:
+        n = F.size(axes)
+        return (F.element_at(axes, F.floor((n + 1) / 2).cast("int")) + F.element_at(axes, F.floor(n / 2).cast("int") + 1)) / 2
+
+    return F.transform(groups, lambda g: F.struct(median(F.array_sort(g["axes"])).alias("axis"), g["start"].alias("start"), g["end"].alias("end")))
+
+
+def band_score(source: Column, output: Column, tolerance: float) -> Column:
+    """Share of line bands (sorted structs of top, bottom) that find a partner within the tolerance, by two pointers over both lists."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("hits"))
+
+    def step(s: Column, _: Column) -> Column:
+        a, b = F.get(source, s["i"]), F.get(output, s["j"])
+        hit = (F.abs(a["top"] - b["top"]) <= tolerance) & (F.abs(a["bottom"] - b["bottom"]) <= tolerance)
+        less = a["top"] < b["top"]
+        moved = F.struct((s["i"] + (hit | less).cast("int")).alias("i"), (s["j"] + (hit | ~less).cast("int")).alias("j"), (s["hits"] + hit.cast("int")).alias("hits"))
+        return F.when(a.isNull() | b.isNull(), s).otherwise(moved)
+
+    total = F.size(source) + F.size(output)
+    return F.when(total > 0, 2 * F.aggregate(F.concat(source, output), start, step)["hits"] / total).otherwise(F.lit(1.0))
+
+
+def choice_runs(markers: Column, drift: float = 0.2, reach: float = 24.0) -> Column:
+    """Which markers (structs of x and number, in reading order) are questions: runs of 1 to 5 in another lane under a question are
+    choices. A lane follows its markers: its x moves a fifth of the way to each."""
+    start = F.struct(F.lit(None).cast("double").alias("lane"), F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("run"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        aside = F.coalesce(F.abs(m["x"] - s["lane"]) > reach, F.lit(False))
+        choice = s["lane"].isNotNull() & (m["number"] <= 5) & (aside | (m["number"] <= s["number"])) & (m["number"] == s["run"] + 1)
+        lane = F.when(s["lane"].isNull() | aside, m["x"]).otherwise(s["lane"] * (1 - drift) + m["x"] * drift)
+        n = m["number"].cast("long")
+        return F.struct(F.when(choice, s["lane"]).otherwise(lane).alias("lane"), F.when(choice, s["number"]).otherwise(n).alias("number"), F.when(choice, n).otherwise(F.lit(0).cast("long")).alias("run"), F.concat(s["out"], F.array(~choice)).alias("out"))
+
+    return F.aggregate(markers, start, step)["out"]
+
+
+def note_places(anchors: Column, chunks: Column) -> Column:
+    """For each endnote's anchor text the place (from 0) of the first chunk, at or after the one before it, that contains it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, anchor: Column) -> Column:
+        places = F.transform(chunks, lambda c, i: F.when((i >= s["at"]) & F.contains(c, anchor), i))
+        found = F.when(anchor != "", F.array_min(places))
+        return let(found, lambda k: F.struct(F.coalesce(k, s["at"]).alias("at"), F.concat(s["out"], F.array(k)).alias("out")))
+
+    return F.aggregate(anchors, start, step)["out"]
 
 
 def clustered(rows: DataFrame, by: str, value: str, tolerance: float, anchored: bool) -> DataFrame:
     """by, cluster (from 0), low, n and mean of each group's values: a value joins the cluster before it within the tolerance of
-    its first value (anchored), or of its mean so far. A fold over one page's values."""
+    its first value (anchored), or of its mean so far."""
     state = "array<struct<low:double,total:double,n:bigint>>"
 
     def step(found: Column, v: Column) -> Column:
@@ -104,32 +134,3 @@ def clustered(rows: DataFrame, by: str, value: str, tolerance: float, anchored:
     lists = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("values"))
     out = lists.select(by, F.posexplode(F.aggregate("values", F.array().cast(state), step)).alias("cluster", "c"))
     return out.select(by, F.col("cluster").cast("long").alias("cluster"), "c.low", "c.n", (F.col("c.total") / F.col("c.n")).alias("mean"))
-
-
-def merge_page_boxes(boxes: DataFrame, by: list[str], gap: float = 4.0, most_width: float = 1e9, most_height: float = 1e9) -> DataFrame:
-    """Merged boxes (left, top, right, bottom, ord) of each page."""
-    names = ["left", "top", "right", "bottom"]
-    kinds = dict(boxes.dtypes)
-
-    def merge(page: pd.DataFrame) -> pd.DataFrame:
-        rows = merged_boxes(list(page.sort_values("ord")[names].itertuples(index=False, name=None)), gap, most_width, most_height)
-        out = pd.DataFrame(rows, columns=names)
-        for c in by:
-            out[c] = page[c].iloc[0]
-        return out[[*by, *names]]
-
-    return boxes.groupBy(*by).applyInPandas(merge, ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} double" for c in names)]))
-
-
-def folded(rows: DataFrame, by: str, order: list[str], function, schema: str) -> DataFrame:
-    """A function from a group's rows, in order, to rows; a group is a page or a document, which is bounded.
-
-    The schema begins with the group's column; the function returns dicts of the other columns.
-    """
-    names = [c.strip().split()[0] for c in schema.split(", ")]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = function(group.sort_values(order).to_dict("records"))
-        return pd.DataFrame([{by: group[by].iloc[0], **r} for r in out], columns=names)
-
-    return rows.groupBy(by).applyInPandas(run, schema)

@@ -100,8 +100,10 @@ def page_rows(spark, d):
 
 @query("WIN_12_choice_runs", f"WITH RECURSIVE p AS (SELECT *, CAST(w AS BIGINT) % 5 + 1 AS number, row_number() OVER (PARTITION BY page ORDER BY t, id) AS i FROM ({_SQL_PARTS})), s AS (SELECT page, id, i, l AS lane, number AS last, CAST(0 AS BIGINT) AS run, true AS question FROM p WHERE i = 1 UNION ALL SELECT page, id, i, CASE WHEN NOT question THEN lane WHEN aside THEN l ELSE lane * 0.8 + l * 0.2 END, CASE WHEN question THEN number ELSE last END, CASE WHEN question THEN 0 ELSE number END, question FROM (SELECT p.page, p.id, p.i, p.l, p.number, s.lane, s.last, abs(p.l - s.lane) > 24 AS aside, NOT ((abs(p.l - s.lane) > 24 OR p.number <= s.last) AND p.number = s.run + 1) AS question FROM s JOIN p ON p.page = s.page AND p.i = s.i + 1)) SELECT page, id, question FROM s")
 def choice_runs(spark, d):
-    run = lambda rs: [{"id": r["id"], "question": q} for r, q in zip(rs, G.choice_runs([(r["x"], r["p_size"] % 5 + 1) for r in rs]), strict=True)]
-    return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, id long, question boolean")
+    pages = G.listed(page_rows(spark, d), "page", ["y", "id"], "x", "p_size")
+    marks = F.transform("rows", lambda r: F.struct(r["x"].alias("x"), (r["p_size"] % 5 + 1).alias("number")))
+    told = pages.select("page", F.explode(F.arrays_zip(F.col("rows")["id"].alias("id"), G.choice_runs(marks).alias("question"))).alias("m"))
+    return told.select("page", "m.id", "m.question")
 
 
 @query("WIN_16_clusters", f"WITH RECURSIVE p AS ({_SQL_PARTS}), c AS (SELECT page, CAST(0 AS BIGINT) AS cluster, min(t) AS low FROM p GROUP BY page UNION ALL SELECT c.page, c.cluster + 1, min(p.t) FROM c JOIN p ON p.page = c.page AND p.t > c.low + 18 GROUP BY c.page, c.cluster) SELECT c.page, cluster, low, count(*) AS n FROM c JOIN p ON p.page = c.page AND p.t BETWEEN low AND low + 18 GROUP BY ALL")
@@ -118,25 +120,30 @@ def running_means(spark, d):
 
 @query("GEO_4_merged_segments", f"WITH RECURSIVE p AS (SELECT page, t AS axis, l AS a, l + w AS b, row_number() OVER (PARTITION BY page ORDER BY t, l, l + w, id) AS i FROM ({_SQL_PARTS})), m AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(axes DOUBLE[], a DOUBLE, b DOUBLE)[]) AS g FROM p UNION ALL SELECT page, i, CASE WHEN k IS NULL THEN list_append(g, {{'axes': [axis], 'a': a, 'b': b}}) ELSE list_transform(g, lambda x, j: CASE WHEN j = k THEN {{'axes': list_append(x.axes, axis), 'a': least(x.a, a), 'b': greatest(x.b, b)}} ELSE x END) END FROM (SELECT p.page, p.i, m.g, p.axis, p.a, p.b, list_filter(range(1, len(m.g) + 1), lambda j: abs(m.g[j].axes[1] - p.axis) <= 20 AND p.a <= m.g[j].b + 60 AND p.b >= m.g[j].a - 60)[1] AS k FROM m JOIN p ON p.page = m.page AND p.i = m.i + 1)) SELECT page, list_aggregate(x.axes, 'median') AS axis, x.a AS start, x.b AS \"end\" FROM (SELECT page, unnest(g) AS x FROM m QUALIFY i = max(i) OVER (PARTITION BY page))")
 def segments(spark, d):
-    run = lambda rs: [{"axis": a, "start": s, "end": e} for a, s, e in G.merged_segments([(r["y"], r["x"], r["x2"]) for r in rs], 20, 60)]
-    return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, axis double, start double, end double")
+    rows = page_rows(spark, d).select("page", "id", F.col("y").alias("axis"), F.col("x").alias("start"), F.col("x2").alias("end"))
+    pages = G.listed(rows, "page", ["axis", "start", "end", "id"])
+    return pages.select("page", F.explode(G.merged_segments(F.col("rows"), 20, 60)).alias("s")).select("page", "s.axis", "s.start", "s.end")
 
 
 @query("JOIN_12_note_places", "WITH RECURSIVE a AS (SELECT conv_id, turn, list_filter(v, lambda w: length(w) = list_max(list_transform(v, lambda u: length(u))))[1] AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS v FROM conversations WHERE role = 'user')), c AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role IS DISTINCT FROM 'user'), []) AS texts, list(turn ORDER BY turn) FILTER (role IS DISTINCT FROM 'user') AS turns FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS DOUBLE) AS place FROM c UNION ALL SELECT conv_id, i, coalesce(k, cursor), turn, CAST(turns[k] AS DOUBLE) FROM (SELECT m.conv_id, a.i, m.cursor, a.turn, c.turns, list_filter(range(m.cursor, len(c.texts) + 1), lambda q: a.a <> '' AND contains(c.texts[q], a.a))[1] AS k FROM m JOIN a ON a.conv_id = m.conv_id AND a.i = m.i + 1 JOIN c ON c.conv_id = m.conv_id)) SELECT conv_id, turn, place FROM m WHERE i > 0")
 def notes(spark, d):
-    def run(rs):
-        chunks = [r for r in rs if r["role"] != "user"]
-        anchors = [r for r in rs if r["role"] == "user"]
-        found = G.note_places([max(r["text"].split(" "), key=len) for r in anchors], [r["text"] for r in chunks])
-        return [{"turn": r["turn"], "place": None if k is None else chunks[k]["turn"]} for r, k in zip(anchors, found, strict=True)]
-
-    return G.folded(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], run, "conv_id long, turn long, place double")
+    """A user's turn is a note, anchored by its first longest word; the other turns are the chunks."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    words = F.split("text", " ")
+    longest = F.element_at(F.filter(words, lambda w: F.length(w) == F.array_max(F.transform(words, lambda u: F.length(u)))), 1)
+    note, chunk = F.when(F.col("role") == "user", F.struct("turn", longest.alias("anchor"))), F.when(~F.col("role").eqNullSafe(F.lit("user")), F.struct("turn", "text"))
+    lists = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(note)).alias("notes"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    places = F.transform(G.note_places(F.col("notes")["anchor"], F.col("chunks")["text"]), lambda k: F.get(F.col("chunks"), k)["turn"].cast("double"))
+    told = lists.select("conv_id", F.explode(F.arrays_zip(F.col("notes")["turn"].alias("turn"), places.alias("place"))).alias("n"))
+    return told.select("conv_id", "n.turn", "n.place")
 
 
 @query("JOIN_13_band_scores", f"WITH RECURSIVE g AS (SELECT page, coalesce(list([t, t + h] ORDER BY t, t + h) FILTER (id % 2 = 1), []) AS a, coalesce(list([t, t + h] ORDER BY t, t + h) FILTER (id % 2 = 0), []) AS b FROM ({_SQL_PARTS}) GROUP BY page), m AS (SELECT page, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS hits FROM g UNION ALL SELECT page, i + CAST(hit OR less AS BIGINT), j + CAST(hit OR NOT less AS BIGINT), hits + CAST(hit AS BIGINT) FROM (SELECT page, i, j, hits, abs(a[i][1] - b[j][1]) <= 12 AND abs(a[i][2] - b[j][2]) <= 12 AS hit, a[i][1] < b[j][1] AS less FROM m JOIN g USING (page) WHERE i <= len(a) AND j <= len(b))) SELECT page, CAST(2 * max(hits) AS DOUBLE) / (len(any_value(a)) + len(any_value(b))) AS score FROM m JOIN g USING (page) GROUP BY page")
 def bands(spark, d):
-    run = lambda rs: [{"score": G.band_score([(r["y"], r["y2"]) for r in rs if r["id"] % 2], [(r["y"], r["y2"]) for r in rs if r["id"] % 2 == 0], 12)}]
-    return G.folded(page_rows(spark, d), "page", ["y", "id"], run, "page long, score double")
+    band = F.struct(F.col("y").alias("top"), F.col("y2").alias("bottom"))
+    side = lambda k: F.sort_array(F.collect_list(F.when(F.col("id") % 2 == k, band)))
+    pages = page_rows(spark, d).groupBy("page").agg(side(1).alias("source"), side(0).alias("output"))
+    return pages.select("page", G.band_score(F.col("source"), F.col("output"), 12.0).alias("score"))
 
 
 _ROWS = "SELECT p_partkey AS id, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN '[\"' || p_brand || '\", \"b\"]' WHEN p_partkey % 3 = 1 THEN '[]' END AS choices_json, CASE WHEN p_partkey % 2 = 0 THEN '[\"img/a b' || p_size || '.png\", \"../x.png\"]' END AS image_paths_json, CASE p_partkey % 4 WHEN 0 THEN '{\"w\": 3}' WHEN 1 THEN '{}' WHEN 2 THEN 'broken' END AS layout_json FROM part"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import json
 
 import duckdb
 import pytest
@@ -82,8 +83,6 @@ def test_baskets_and_limits_are_loops(spark):
     e = table(spark, DATA, "events").orderBy("event_id").collect()
     baskets, opened = collections.defaultdict(list), {}
     allowed = {}
-    import json
-
     for r in e:
         b, i = baskets[r.user_id], json.loads(r.props)["k"]
         if r.event_type == "error":
@@ -121,12 +120,25 @@ def test_numbering_limits(spark):
     assert [r.issue for r in compose.numbering_issues(items, "sequential", 998).orderBy("position").collect()] == ["number_range_exceeded", "group"]
 
 
-def test_greedy_geometry():
-    assert geometry.merged_boxes([(0, 0, 10, 10), (12, 0, 20, 10), (50, 50, 60, 60)], 3, 100, 100) == [(0, 0, 20, 10), (50, 50, 60, 60)]
-    assert geometry.merged_boxes([(0, 0, 10, 10), (12, 0, 20, 10)], 3, 15, 100) == [(0, 0, 10, 10), (12, 0, 20, 10)]
-    assert geometry.band_score([(0, 10), (20, 30)], [(1, 11), (50, 60)], 2) == 0.5
-    assert geometry.note_places(["b", "a", ""], ["xa", "xb", "ya"]) == [1, 2, None]
-    assert geometry.merged_segments([(1.0, 0, 5), (1.2, 4, 9), (8, 0, 1)], 0.5, 1) == [(1.1, 0, 9), (8.0, 0, 1)]
+def test_greedy_geometry(spark):
+    one = spark.range(1)
+    box, band, segment = "array<struct<left:double,top:double,right:double,bottom:double>>", "array<struct<top:double,bottom:double>>", "array<struct<axis:double,start:double,end:double>>"
+    lit = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)
+    boxes = lambda *rows: lit([dict(zip(("left", "top", "right", "bottom"), r, strict=True)) for r in rows], box)
+    got = lambda c: plain(one.select(c.alias("x")).first().x)
+    assert got(geometry.merged_once(boxes((0, 0, 10, 10), (12, 0, 20, 10), (50, 50, 60, 60)), 3, 100, 100)) == ((0, 0, 20, 10), (50, 50, 60, 60))
+    assert got(geometry.merged_once(boxes((0, 0, 10, 10), (12, 0, 20, 10)), 3, 15, 100)) == ((0, 0, 10, 10), (12, 0, 20, 10))
+    bands = lambda *rows: lit([{"top": a, "bottom": b} for a, b in rows], band)
+    assert got(geometry.band_score(bands((0, 10), (20, 30)), bands((1, 11), (50, 60)), 2)) == 0.5 and got(geometry.band_score(bands(), bands(), 2)) == 1
+    assert got(geometry.note_places(F.array(*map(F.lit, ("b", "a", ""))), F.array(*map(F.lit, ("xa", "xb", "ya"))))) == (1, 2, None)
+    parts = [{"axis": a, "start": s, "end": e} for a, s, e in ((1.0, 0, 5), (1.2, 4, 9), (8, 0, 1))]
+    assert got(geometry.merged_segments(lit(parts, segment), 0.5, 1)) == ((1.1, 0, 9), (8.0, 0, 1))
+
+
+def test_boxes_merge_in_passes(spark):
+    rows = [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 30.0, 0.0, 40.0, 10.0), (1, 3, 12.0, 0.0, 28.0, 10.0), (2, 1, 0.0, 0.0, 1.0, 1.0)]  # the third joins the first, which then reaches the second
+    df = spark.createDataFrame(rows, "page int, ord int, left double, top double, right double, bottom double")
+    assert sorted(tuple(r) for r in geometry.merge_page_boxes(df, ["page"], 3.0).collect()) == [(1, 0, 0, 40, 10), (2, 0, 0, 1, 1)]
 
 
 def test_routes(spark):
