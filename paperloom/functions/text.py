@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's regular expressions know it, in a form that Java and RE2 read alike.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ODD = WS.replace(r"\x{1C}-\x{20}", r"\x{1C}-\x{1F}")  # but for the blank
 #: The signs between the numbers of a range of questions.
 DASHES = r"~∼～\-–"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,8 +36,8 @@ def like(c: Column, needle: str) -> Column:
 
 
 def collapsed(c: Column) -> Column:
-    """White-space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    """White-space runs as one blank, none at the ends; single blanks, which are most runs, are left alone."""
+    return F.trim(F.regexp_replace(c, f" {WS}+|{_ODD}{WS}*", " "))
 
 
 def stripped(c: Column) -> Column:

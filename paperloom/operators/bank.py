@@ -57,10 +57,21 @@ def repeated(selection: DataFrame) -> DataFrame:
     return selection.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
+def _whole(fields: Iterable[Column]) -> Column:
+    return collapsed(F.concat_ws("\n", *[text(f) for f in fields]))
+
+
+def _current(whole: Column) -> Column:
+    return F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("v2:"), F.sha1(whole)))
+
+
+def _former(whole: Column) -> Column:
+    return F.when(whole == "", F.lit("")).otherwise(F.sha1(F.lower(whole)))
+
+
 def identity(*fields: Column) -> Column:
     """Content identity: SHA-1 over the fields joined by newlines, white space collapsed, case kept; empty content has none."""
-    whole = collapsed(F.concat_ws("\n", *[text(f) for f in fields]))
-    return F.when(whole == "", F.lit("")).otherwise(F.concat(F.lit("v2:"), F.sha1(whole)))
+    return _current(_whole(fields))
 
 
 def tables_json(tables: Column) -> Column:
@@ -110,14 +121,13 @@ def quoted(path: Column) -> Column:
 
 def legacy_identity(*fields: Column) -> Column:
     """The former identity, which folded case and had no prefix; it only shortlists."""
-    whole = collapsed(F.concat_ws("\n", *[text(f) for f in fields]))
-    return F.when(whole == "", F.lit("")).otherwise(F.sha1(F.lower(whole)))
+    return _former(_whole(fields))
 
 
 def _hashed(rows: DataFrame, content: Column, *more: str) -> DataFrame:
     """id, source_name, hash and legacy hash of each row, and its further columns ``more``; texts go no further."""
-    plain = rows.select("id", "source_name", *more, collapsed(text(content)).alias("_content"))
-    return plain.select("id", "source_name", *more, identity(F.col("_content")).alias("hash"), legacy_identity(F.col("_content")).alias("legacy"))
+    plain = rows.select("id", "source_name", *more, _whole([content]).alias("_content"))
+    return plain.select("id", "source_name", *more, _current(F.col("_content")).alias("hash"), _former(F.col("_content")).alias("legacy"))
 
 
 def import_states(incoming: DataFrame, bank: DataFrame, content: Column | None = None) -> DataFrame:
