@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import exam_text as T
+from .choices import let
 from .text import CIRCLED, DASHES, cleaned, stripped, text
 
 
@@ -99,4 +100,9 @@ def opens_key(c: Column) -> Column:
     return first.rlike(rf"^({T.KEY_HEAD}|\[{T.BLANK}*정답{T.BLANK}*표{T.BLANK}*\])") & ~first.rlike(T.NUMBER_HEAD)
 
 
-key_pairs = T.arrow(lambda t: [{"number": n, "value": v} for n, v in T.answer_pairs(t).items()], "array<struct<number:string,value:string>>")
+def key_pairs(c: Column) -> Column:
+    """number and value of each answer that a text tells, the first for a number; lists of numeric choices tell none."""
+    bare = F.regexp_replace(text(c), rf"(?<![0-9{T.MARKS}]\s{{0,40}}){T.CHOICE_LIST}", "|")
+    number = F.transform(F.regexp_extract_all(bare, F.lit(T.PAIR), F.lit(1)), lambda n: n.cast("int").cast("string"))
+    pairs = F.arrays_zip(number.alias("number"), F.regexp_extract_all(bare, F.lit(T.PAIR), F.lit(2)).alias("value"))
+    return let(pairs, lambda p: F.filter(p, lambda x, i: F.array_position(p["number"], x["number"]) == i + 1))

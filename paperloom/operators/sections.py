@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exam_columns import opens_key
+from ..functions.exam_columns import key_pairs, opens_key
 from ..functions.exam_text import BLANK, KEY_HEAD, MARKS, NUMBER_HEAD
 from ..functions.text import CIRCLED, stripped, text
 from ..session import staged
 
 #: How many paragraphs after a title may hold the answers that make it one, and how many answers they are.
 AHEAD, ANSWERS = 5, 2
-_PAIR = rf"(?<![0-9.])([0-9]{{1,3}})(?![0-9])\s*(?:번\s*)?(?:[.):]\s*)?(?:정답\s*[:：]?\s*)?[{CIRCLED}]"
 
 
 def question_number(c: Column) -> Column:
@@ -38,7 +37,7 @@ def openings(paragraphs: DataFrame, by: list[str]) -> DataFrame:
     rows = paragraphs.withColumns({"_text": t, "_after": F.collect_list(text("text")).over(after), "number": question_number(text("text"))}).withColumn("_lines", lines)
     first, rest = F.get("_lines", F.lit(0)), F.slice("_lines", F.lit(2), F.greatest(F.size("_lines"), F.lit(1)))
     title = (F.length(first) <= 60) & ~F.contains(first, F.lit("?")) & first.rlike(f"{KEY_HEAD}$") & ~F.coalesce(F.get(rest, F.lit(0)).rlike(f"^[{MARKS}]"), F.lit(False))
-    told = F.size(F.array_distinct(F.transform(F.regexp_extract_all(F.array_join(rest, "\n"), F.lit(_PAIR), F.lit(1)), lambda n: n.cast("int"))))
+    told = F.size(key_pairs(F.array_join(rest, "\n")))
     opens = (F.col("_text") != "") & (opens_key(F.col("_text")) | (F.col("number").isNull() & title & (told >= ANSWERS)))
     answer = F.ltrim(text("text")).rlike(rf"{NUMBER_HEAD}{BLANK}*(?:정답{BLANK}*[:：]?{BLANK}*)?[{CIRCLED}]")
     return rows.withColumns({"answer": answer, "opens": F.coalesce(opens, F.lit(False))}).drop("_text", "_after", "_lines")

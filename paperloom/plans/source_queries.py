@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from ..functions import exam_text as T
+from ..functions.text import CIRCLED
 from ..operators import geometry as G
 from ..operators import segment as S
 from ..registry import query, table
@@ -137,12 +138,16 @@ def answer_lines(spark, d):
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", "parts.*")
 
 
-@query("STR_12_answer_pairs")
+#: Keys, lists of choices, and numbers that lead to nothing, around a turn's number.
+_KEYED = "concat(turn, '. ③ ', turn + 1, '번 정답 ② ', turn, ' ① 가 ', text, ' 보기 ① 10 ② 20 ③ 30 ', char(10), turn + 2, ') ④ 1234 ⑤ ', turn + 3, '.5 ① ', turn + 4, CASE WHEN turn % 2 = 0 THEN ' ❷' ELSE ' 정답: ⑤' END)"
+
+
+@query("STR_12_answer_pairs", f"WITH t AS (SELECT conv_id, turn, regexp_replace({_KEYED.replace('char(10)', 'chr(10)')}, '([^0-9{T.MARKS}\\s]\\s*)[{T.MARKS}]\\s*[0-9]{{1,3}}(?:\\s+[{T.MARKS}]\\s*[0-9]{{1,3}})+', '\\1|', 'g') AS x FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, turn, regexp_extract_all(x, '(?:^|[^0-9.])([0-9]{{1,3}})\\s*(?:번\\s*)?(?:[.):]\\s*)?(?:정답\\s*[:：]?\\s*)?[{CIRCLED}]', 1) AS n, regexp_extract_all(x, '(?:^|[^0-9.])[0-9]{{1,3}}\\s*(?:번\\s*)?(?:[.):]\\s*)?(?:정답\\s*[:：]?\\s*)?([{CIRCLED}])', 1) AS v FROM t), u AS (SELECT conv_id, turn, unnest(range(1, len(n) + 1)) AS i, n, v FROM p) SELECT conv_id, turn, CAST(CAST(n[i] AS INTEGER) AS VARCHAR) AS number, arg_min(v[i], i) AS value FROM u GROUP BY conv_id, turn, CAST(n[i] AS INTEGER)")
 def pairs(spark, d):
     from ..functions.exam_columns import key_pairs
 
-    t = F.concat(F.lit("빠른 정답 1. ③ 2. ⑤ "), "text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.explode(key_pairs(t)).alias("p")).select("conv_id", "turn", "p.*")
+    told = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.explode(key_pairs(F.expr(_KEYED))).alias("p"))
+    return told.select("conv_id", "turn", "p.*")
 
 
 @query("STR_15_numbered_lines")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import choices, exam_text
+from paperloom.functions import choices, exam_columns, exam_text
 from paperloom.operators import pages
 from paperloom.sources.pages import register
 
@@ -73,3 +73,11 @@ def test_choices_as_columns_are_the_plain_rules(spark, seed):
     texts = ["\n".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 9))) for _ in range(300)] + ["", None, "\r\n① a\r\n② b"]
     got = {r.i: (r.c.stem, list(r.c.choices)) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", choices.split_choices(F.col("t")).alias("c")).collect()}
     assert got == {i: exam_text.split_choices(t or "") for i, t in enumerate(texts)}
+
+
+def test_answer_pairs_as_columns_are_the_plain_rule(spark):
+    rng = random.Random(9)
+    parts = ["1", "2", "13", "③", "①", "②", ".", ")", " ", "  ", "\n", "번", "정답", ":", "가", "❶", "1234", "3.5"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(2000)] + ["", None, "① 1 ② 2", "9 ① 1 ② 2"]
+    got = {r.i: {p.number: p.value for p in r.p} for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", exam_columns.key_pairs(F.col("t")).alias("p")).collect()}
+    assert got == {i: exam_text.answer_pairs(t or "") for i, t in enumerate(texts)}
