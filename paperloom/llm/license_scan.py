@@ -177,6 +177,9 @@ d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents WHERE text IS NOT
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 h AS (SELECT p.doc_id, ts.license, ts.shingle, p.i - 1 AS at FROM p JOIN ts ON ts.shingle = concat_ws(' ', p.w[p.i], p.w[p.i+1], p.w[p.i+2], p.w[p.i+3], p.w[p.i+4])),
 k AS (SELECT h.doc_id, h.license, h.shingle, tn.total, tn.s, unnest(range(greatest(0, CAST(ceil((h.at - (tn.n + tn.s - 5)) / tn.s) AS BIGINT)), h.at // tn.s + 1)) AS k FROM h JOIN tn USING (license)),
-m AS (SELECT doc_id, license, k * any_value(s) AS first_word, count(DISTINCT shingle) / any_value(total) AS containment FROM k GROUP BY doc_id, license, k HAVING count(DISTINCT shingle) / any_value(total) >= 0.8)
-SELECT doc_id, license, count(*) AS n_windows, max(containment) AS containment, CAST(min(first_word) AS BIGINT) AS first_word FROM m GROUP BY doc_id, license
+m AS (SELECT doc_id, license, k * any_value(s) AS first_word, count(DISTINCT shingle) / any_value(total) AS containment FROM k GROUP BY doc_id, license, k HAVING count(DISTINCT shingle) / any_value(total) >= 0.8),
+l AS (SELECT *, CAST(floor(0.2 * (n - 4) + 1e-9) AS BIGINT) AS slack FROM tn),
+k2 AS (SELECT h.doc_id, h.license, h.shingle, l.total, l.s, unnest(range(greatest(0, CAST(ceil((h.at - (l.n + l.s + l.slack - 5)) / l.s) AS BIGINT)), h.at // l.s + 1)) AS k FROM h JOIN l USING (license) WHERE slack > 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id IS NOT DISTINCT FROM h.doc_id AND m.license = h.license)),
+m2 AS (SELECT doc_id, license, k * any_value(s) AS first_word, count(DISTINCT shingle) / any_value(total) AS containment FROM k2 GROUP BY doc_id, license, k HAVING count(DISTINCT shingle) / any_value(total) >= 0.8)
+SELECT doc_id, license, count(*) AS n_windows, max(containment) AS containment, CAST(min(first_word) AS BIGINT) AS first_word FROM (SELECT * FROM m UNION ALL SELECT * FROM m2) GROUP BY doc_id, license
 """

@@ -165,6 +165,25 @@ def test_license_scan_finds_notices_with_inserted_words():
 # -- op3 ------------------------------------------------------------------------------------------------
 
 
+def test_license_sql_says_longer_windows_too(spark):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, body in enumerate(list(license_scan.TEMPLATES.values()) * 3):
+        words = body.split()
+        for _ in range(int(rng.integers(0, max(1, len(words) // 12) + 1))):  # inserted words, as many as some windows bear
+            words.insert(int(rng.integers(0, len(words) + 1)), str(rng.choice(WORDS)))
+        rows.append((i, f"{prose(300 + i, int(rng.integers(0, 20)))} {' '.join(words)} {prose(400 + i, 9)}"))
+    table = documents(spark, rows)
+    c = duckdb.connect()
+    c.register("documents", table.select("doc_id", "text").toPandas())
+    want = c.sql(license_scan.ORACLE_SQL).fetchall()
+    got = license_scan.summary(license_scan.scan(table)).collect()
+    assert sorted((r.doc_id, r.license, r.n_windows, round(r.containment, 9), r.first_word) for r in got) == sorted((a, b, n, round(x, 9), f) for a, b, n, x, f in want)
+    assert len(want) > len(rows) / 2
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", None), (1, 3, "ann", "bye"), (2, 0, "system", "alone"), (None, None, None, "lost"), (3, 1, "x", "twice"), (3, 1, "x", "twice")]
     df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, perspective string, mask int")
