@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aliased, mixed, released, runs, text_bytes, word_spans
+from .shared import aliased, lean, mixed, released, runs, text_bytes, word_spans
 
 SAMPLE, WINDOW, CONTEXT, REPORTED, FOLDS = 4000, 8, 3, 3, 5  # REPORTED: words before a hit among which one can report it
 SHORTEST, LONGEST, FUZZY = 4, 8, 5  # letters of a beginning; letters from which an edit is allowed
 ODDS = float(np.log(4))  # log odds from which a term tells
 SHARE = 0.5  # what a misspelling that the sample doesn't have is worth of its entry
-BATCH_BYTES, CACHE_WORDS = 1 << 21, 250_000
+BATCH_BYTES, CACHE_WORDS = 1 << 20, 150_000
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = re.compile(r"^\W+|\W+$")
 #: Marks that open a quotation, with those that close it.
@@ -215,9 +215,9 @@ def contexts(words: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+@lean
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct whole words and beginnings of each text: one context, whether they stand in it twice or more, and its label."""
-    released()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             every = [folded(w) for w in (text or "").split()]
@@ -293,18 +293,18 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, reporting
         docs.unpersist()
 
 
+@lean
 def _codes(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct hits of each text, with its label."""
-    released()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             codes = {c for w in set((text or "").split()) if (c := scorer._code(w)) >= 0}
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array([toxic] * len(codes), pa.int32())], ["code", "toxic"])
 
 
+@lean
 def _cues(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words shortly before the hits of each text that has some, and the empty word for each such text, with its label."""
-    released()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = (text or "").split()
@@ -328,9 +328,9 @@ def _reporting(cues: DataFrame) -> frozenset[str]:
     return frozenset(r.cue for r in seen if r.cue and tells(r.c, r.t))
 
 
+@lean
 def _features(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of each text, and of the toxic ones also as if all their hits were misspelled: the sample may have few such."""
-    released()
     other = Scorer(scorer.lexicon, scorer.value, reporting=scorer.reporting)
     other.misspelled = 1
     for batch in batches:
@@ -383,6 +383,8 @@ def scored(scorer: Scorer, text: Column) -> Column:
         released()
         for texts in batches:
             yield pa.array(scorer.score(texts))
+        scorer.known.clear()
+        released()
 
     return score(text)
 
