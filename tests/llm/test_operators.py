@@ -769,3 +769,13 @@ def test_index_counts_windows_like_a_dictionary():
             for j in range(length[i] - window + 1):
                 count[window_at(i, j)] += weight[i]
         assert masks.tolist() == [sum(1 << j for j in range(length[i] - window + 1) if count[window_at(i, j)] > 1) for i in range(k)]
+
+
+# -- all ------------------------------------------------------------------------------------------------
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = documents(spark, [])
+    model = P.path("piece_bpe_32k.model")
+    for found in (license_scan.scan(none), piece_codec.digests(none, model), substring_dedup.digests(none), substring_dedup.without_repeats(none), source_mix.mix_documents(none), simhash.one_of_each(none)):
+        assert found.collect() == []

@@ -27,3 +27,9 @@ def test_pipeline(spark, tmp_path):
     assert sum(len((r.text or "").split()) for r in kept[3]) > 1.3 * sum(len((r.text or "").split()) for r in kept[2])
     assert len(kept[4]) == len(kept[3]) and all(r.checked for r in kept[4])
     assert corpus_pipeline.run(spark, folder).count() == len(kept[4])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
