@@ -17,6 +17,7 @@ it can't pose as a mark.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import aliased
@@ -52,6 +53,23 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     )
 
 
+def dialogues(turns: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """conv_id, perspective, part, text and masks (start and end of what the loss counts) of rotated dialogues.
+
+    A dialogue of up to ``most`` characters is one part; a longer one is cut between turns, so that a part is no longer than
+    that and its last turn. Joined in order, the parts are the dialogue.
+    """
+    order = W.partitionBy("conv_id", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "rendered")
+    before = F.coalesce(F.sum(F.char_length("rendered")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = turns.withColumn("before", before).withColumn("part", F.floor(F.col("before") / most).cast("int"))
+    piece = F.struct("before", F.row_number().over(order).alias("nth"), "rendered", "loss_start", "loss_end")
+    rows = placed.withColumn("piece", piece).groupBy("conv_id", "perspective", "part").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    since = F.get("pieces", F.lit(0))["before"]
+    shown = F.filter("pieces", lambda p: p["loss_end"] > p["loss_start"])
+    masks = F.transform(shown, lambda p: F.struct((p["before"] - since + p["loss_start"]).alias("start"), (p["before"] - since + p["loss_end"]).alias("end")))
+    return rows.select("conv_id", "perspective", "part", F.array_join(F.col("pieces")["rendered"], "").alias("text"), masks.alias("masks"))
+
+
 ORACLE_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),

@@ -196,6 +196,23 @@ def test_perspectives(spark):
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [60, 1 << 20])
+def test_dialogues_are_their_turns(spark, most):
+    rows = [(c, t, ["system", "user", "assistant", "guest"][t % 4 if t else 0], f"{prose(50 * c + t, t % 5)} 🙂") for c in range(3) for t in range(2 + 9 * c)] + [(9, None, "user", "x"), (9, 1, "user", "x"), (9, 1, "user", "x")]
+    turns = perspectives.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    whole = collections.defaultdict(list)
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.perspective, r.turn is not None, r.turn or 0, r.speaker, r.rendered)):
+        whole[r.conv_id, r.perspective].append(r)
+    parts = collections.defaultdict(list)
+    for r in sorted(perspectives.dialogues(turns, most).collect(), key=lambda r: r.part):
+        parts[r.conv_id, r.perspective].append(r)
+    assert set(parts) == set(whole) and (most > 60 or max(map(len, parts.values())) > 3)
+    for key, told in parts.items():
+        assert "".join(r.text for r in told) == "".join(r.rendered for r in whole[key])
+        assert [r.text[m.start : m.end] for r in told for m in r.masks] == [r.rendered[r.loss_start : r.loss_end] for r in whole[key] if r["mask"]]
+    turns.unpersist()
+
+
 def test_different_speakers_have_different_names(spark):
     who = ["a b", "a_b", "a_x20_b", "a\nb", "a", "🙂", "", "_x", "__x", "_", "x", "a-b", "é"]
     df = spark.createDataFrame([(1, i, w, "hi") for i, w in enumerate(who)], "conv_id long, turn long, role string, text string")
