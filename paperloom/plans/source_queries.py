@@ -81,30 +81,37 @@ def mastheads(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), masthead(exam_header(raw)).alias("masthead"))
 
 
-@query("STR_21_ranges", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 AND p_size <= p_size + p_partkey % 3 - 1 AND p_size < 100 THEN [p_size, p_size + CAST(p_partkey % 3 AS INTEGER) - 1] END AS range FROM part")
+#: Texts that begin with a range, and some that don't, around a part's size.
+_RANGED = "CASE p_partkey % 7 WHEN 0 THEN concat('[', p_size, '~', p_size - 1, '] x') WHEN 1 THEN concat(' [', p_size, ' ∼ ', p_size + 2, '] 다음 글을') WHEN 2 THEN concat('[ ', p_size, '-', p_size, ' ]') WHEN 3 THEN concat(p_name, ' [1~2]') WHEN 4 THEN concat('[', p_size, '–', p_size * 40, ']') WHEN 5 THEN concat('[', p_size, '～99]') ELSE concat('(', p_size, '~50)') END"
+
+
+@query("STR_21_ranges", rf"WITH t AS (SELECT p_partkey, string_split(regexp_replace(trim({_RANGED}), '[∼～–-]', '~', 'g'), ']')[1] AS x FROM part), n AS (SELECT p_partkey, x, list_transform(string_split(substr(x, 2), '~'), lambda v: trim(v)) AS v FROM t) SELECT p_partkey AS id, CASE WHEN x[1] = '[' AND len(v) = 2 AND regexp_full_match(v[1], '[0-9]{{1,3}}') AND regexp_full_match(v[2], '[0-9]{{1,3}}') AND CAST(v[1] AS INTEGER) <= CAST(v[2] AS INTEGER) THEN [CAST(v[1] AS INTEGER), CAST(v[2] AS INTEGER)] END AS range FROM n")
 def ranges(spark, d):
     from ..functions.exam_columns import shared_range
 
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("["), "p_size", F.lit("~"), F.col("p_size") - 1, F.lit("] x"))).otherwise(F.concat(F.lit(" ["), "p_size", F.lit(" ∼ "), F.col("p_size") + F.col("p_partkey") % 3 - 1, F.lit("] 다음 글을")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), shared_range(raw).alias("range"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), shared_range(F.expr(_RANGED)).alias("range"))
+
 
+#: Answers of several kinds around an order's key.
+_ANSWER = "CASE o_orderkey % 6 WHEN 0 THEN substr('①②③④⑤⑥⑦⑧⑨', CAST(o_orderkey % 9 + 1 AS INT), 3) WHEN 1 THEN concat(o_orderkey % 10, ', 3번') WHEN 2 THEN concat(o_orderkey % 100, ' ', o_orderkey % 4) WHEN 3 THEN concat('③, ', o_orderkey % 5, '/③') WHEN 4 THEN '없음' ELSE concat('정답 ', o_orderkey % 13, '번①') END"
 
-@query("STR_20_answer_numbers", "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN [CAST(o_orderkey % 9 + 1 AS INTEGER)] WHEN 1 THEN list_sort(list_distinct([CAST(o_orderkey % 9 + 1 AS INTEGER), 3])) ELSE [] END AS numbers FROM orders")
+
+@query("STR_20_answer_numbers", rf"SELECT o_orderkey AS id, list_sort(list_distinct(list_transform(list_filter(string_split_regex(translate({_ANSWER}, '①②③④⑤⑥⑦⑧⑨', '123456789'), '[^0-9]+'), lambda n: length(n) = 1 AND n <> '0'), lambda n: CAST(n AS INTEGER)))) AS numbers FROM orders")
 def answer_numbers(spark, d):
     from ..functions.exam_columns import answer_numbers as numbers
 
-    k = (F.col("o_orderkey") % 9 + 1).cast("string")
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.translate(k, "123456789", "①②③④⑤⑥⑦⑧⑨")).when(F.col("o_orderkey") % 3 == 1, F.concat(k, F.lit(", 3번"))).otherwise("없음")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_sort(numbers(raw)).alias("numbers"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_sort(numbers(F.expr(_ANSWER))).alias("numbers"))
+
+
+#: Stems behind their own number, in forms that lose it and forms that keep it.
+_PREFIXED = "CASE p_partkey % 9 WHEN 0 THEN concat(p_size, '. ', p_name) WHEN 1 THEN concat('문제 ', p_size, ') ', p_name) WHEN 2 THEN concat(p_size, '.5 + ', p_name) WHEN 3 THEN concat(p_size + 1, '. ', p_name) WHEN 4 THEN concat(p_size, '.+', p_name) WHEN 5 THEN concat('$', p_size, '.5+x$') WHEN 6 THEN concat('(', p_size, ') + ', p_name) WHEN 7 THEN concat('  ', p_size, ' .  ', p_name) ELSE concat(p_size, ')') END"
 
 
-@query("STR_14_prefixes", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_size || '.5 ' || p_name ELSE (p_size + 1) || '. ' || p_name END AS stem FROM part")
+@query("STR_14_prefixes", rf"WITH t AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, {_PREFIXED} AS x FROM part), u AS (SELECT *, CASE WHEN starts_with(ltrim(x), '문제') THEN ltrim(substr(ltrim(x), 3)) ELSE ltrim(x) END AS y FROM t), v AS (SELECT *, ltrim(substr(y, length(n) + 1)) AS z FROM u) SELECT p_partkey AS id, CASE WHEN starts_with(y, n) AND z[1] IN ('.', ')') AND (length(z) = 1 OR z[2] = ' ') THEN ltrim(substr(z, 2)) ELSE x END AS stem FROM v")
 def prefixes(spark, d):
     from ..operators.compose import without_prefix
 
-    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    raw = F.when(k == 0, F.concat(n, F.lit(". "), "p_name")).when(k == 1, F.concat(F.lit("문제 "), n, F.lit(") "), "p_name")).when(k == 2, F.concat(n, F.lit(".5 "), "p_name")).otherwise(F.concat((F.col("p_size") + 1).cast("string"), F.lit(". "), "p_name"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), without_prefix(raw, n).alias("stem"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), without_prefix(F.expr(_PREFIXED), F.col("p_size").cast("string")).alias("stem"))
 
 
 @query("STR_22_list_numbers", "SELECT p_partkey AS id, CASE WHEN p_size BETWEEN 1 AND 20 THEN chr(9312 + p_size - 1) ELSE CAST(p_size AS VARCHAR) END AS circled, chr(97 + CAST((p_size - 1) % 26 AS INTEGER)) AS latin FROM part")
