@@ -14,14 +14,22 @@ RECOGNITION = {"disabled": 0.34, "textless": 0.4, "low_confidence": 0.45, "low_a
 GROUPING = {"no_markers": 0.45, "conflicts": 0.48, "fallback": 0.52, "one_per_block": 0.42, "merged": 0.7, "full_page_image": 0.6}
 
 
-def page_diagnostics(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Per page: counts and ratios of blocks (area_ratio, confidence, text, backend); ratios divide by at least 1."""
+def page_diagnostics(blocks: DataFrame, by: list[str], order: str | None = None) -> DataFrame:
+    """Per page: counts and ratios of blocks (area_ratio, confidence, text, backend); ratios divide by at least 1.
+
+    With ``order``, a column that numbers a page's blocks, confidences are added in that order: sums of other orders differ in
+    their last digit, and with it a mean at a threshold would fall to either side by how the rows are partitioned.
+    """
     n = F.count(F.lit(1))
+    mean = F.avg("confidence")
+    if order:
+        told = F.sort_array(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct(order, "confidence"))))
+        mean = F.when(F.size(told) > 0, F.aggregate(told, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(told))
     ratio = lambda c: F.count_if(c) / F.greatest(n, F.lit(1))
     return blocks.groupBy(*by).agg(
         n.alias("blocks"), ratio(F.col("area_ratio") >= 0.5).alias("large_ratio"), F.max("area_ratio").alias("largest"),
         ratio(F.coalesce(F.col("confidence") < 0.5, F.lit(False))).alias("low_confidence_ratio"), ratio(text("text") == "").alias("empty_ratio"),
-        F.avg("confidence").alias("avg_confidence"),
+        mean.alias("avg_confidence"),
     )
 
 

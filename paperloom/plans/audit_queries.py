@@ -187,11 +187,11 @@ _DIAG = f"SELECT page, count(*) AS blocks, count(*) FILTER (area_ratio >= 0.5) /
 
 def blocks(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select(F.col("o_custkey").alias("page"), (F.col("o_totalprice") / 600000).alias("area_ratio"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 100 / 100).alias("confidence"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("text"), F.col("o_orderstatus").alias("backend"))
+    return o.select(F.col("o_custkey").alias("page"), (F.col("o_totalprice") / 600000).alias("area_ratio"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 100 / 100).alias("confidence"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("text"), F.col("o_orderstatus").alias("backend"), F.col("o_orderkey").alias("ord"))
 
 
 def page_diagnostics(spark, d) -> DataFrame:
-    return R.page_diagnostics(blocks(spark, d), ["page"])
+    return R.page_diagnostics(blocks(spark, d), ["page"], "ord")
 
 
 @query("AGG_5_diagnostics", f"SELECT * REPLACE (round(avg_confidence, 6) AS avg_confidence) FROM ({_DIAG})")

@@ -162,3 +162,36 @@ def test_retry_and_state_helpers(spark):
     assert [r.c for r in s.select(jobs.cancelled(F.col("s")).alias("c")).collect()] == ["cancelled", "cancel_requested", "failed"]
     marks = spark.createDataFrame([(1, 0.0, 100.0, 600.0), (1, 0.0, 400.0, 600.0), (2, 0.0, 100.0, 600.0), (2, 0.0, 150.0, 600.0)], "page int, top double, x double, page_width double")
     assert [r.column for r in segment.column_split(marks, ["page"]).orderBy("page", "x").collect()] == [0, 1, 0, 0]
+
+
+def test_risks_do_not_follow_partitions(spark, tmp_path):
+    import random
+
+    rng, rows, want = random.Random(5), [], {}
+    for page in range(1, 200):  # means of 0.55, which sums of some orders miss by a digit
+        n = rng.randrange(3, 12)
+        while not 0 <= (last := 55 * n - sum(shares := [rng.randrange(100) for _ in range(n - 1)])) < 100:
+            pass
+        keys = [page * 10000 + i * 100 + c for i, c in enumerate([*shares, last])]
+        rows += [(k, page, "O", 1000.0, "1-URGENT") for k in keys]
+        want[page] = sum_in_order([k % 100 / 100 for k in keys]) / n < 0.55
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    assert len(set(want.values())) == 2
+    diagnosed = {r.page: r.avg_confidence < 0.55 for r in router_diagnostics(spark, tmp_path).collect()}
+    assert diagnosed == want
+    read = [{r.page: r.risk for r in QUERIES["AGG_6_risk"](spark, str(tmp_path)).collect()} for _ in range(2)]
+    assert read[0] == read[1] and len(read[0]) == len(want)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+def router_diagnostics(spark, folder):
+    from paperloom.plans.audit_queries import page_diagnostics
+
+    return page_diagnostics(spark, str(folder))
