@@ -162,7 +162,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for t, m in enumerate(masks(radius))])
     rows = prints.select("fp", F.explode(tables).alias("k"))
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes, "k")
+    shared = merged(rows, sizes, "k")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -172,6 +172,12 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(partial(_links, radius), "u long, v long")
 
 
+def merged(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by exchange. Staged tables are small as files, so Spark would send them whole through the driver, whose memory
+    they then outgrow: fingerprints and their labels are as many as the documents."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: for every node of the links u, v a node that stands for its component."""
     less = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("x"))  # noqa: E731  a random order keeps the rounds few
@@ -183,9 +189,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hook = staged(ends.select(F.greatest("a", "b")["x"].alias("node"), F.least("a", "b").alias("low")).groupBy("node").agg(F.min("low")["x"].alias("low")), "hooks")
         # One hop further where the lower node moves as well.
         up = hook.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        hook = staged(hook.join(up, "low", "left").select("node", F.coalesce("lower", "low").alias("low")), "hooks")
-        to = lambda df, c, hook=hook: df.join(hook.select(F.col("node").alias(c), F.col("low").alias("_low")), c, "left").withColumn(c, F.coalesce("_low", c)).drop("_low")
-        label = hook.select("node", F.col("low").alias("root")) if label is None else to(label, "root").unionByName(hook.join(label, "node", "left_anti").select("node", F.col("low").alias("root")))
+        hook = staged(merged(hook, up, "low", "left").select("node", F.coalesce("lower", "low").alias("low")), "hooks")
+        to = lambda df, c, hook=hook: merged(df, hook.select(F.col("node").alias(c), F.col("low").alias("_low")), c, "left").withColumn(c, F.coalesce("_low", c)).drop("_low")
+        label = hook.select("node", F.col("low").alias("root")) if label is None else to(label, "root").unionByName(merged(hook, label, "node", "left_anti").select("node", F.col("low").alias("root")))
         label = staged(label, "labels")
         edges = staged(to(to(edges, "u"), "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     else:
@@ -200,11 +206,11 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     docs = staged(fingerprints(documents, shingle, seed), "fingerprints")
     prints = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     label = components(links(prints, radius, block))
-    linked = staged(label.join(prints, label["node"] == prints["fp"]).select("fp", "root", "least"), "linked")
+    linked = staged(merged(label.withColumnRenamed("node", "fp"), prints, "fp").select("fp", "root", "least"), "linked")
     least = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    known = linked.join(least, "root").select("fp", "component_id")
-    named = staged(prints.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = merged(linked, least, "root").select("fp", "component_id")
+    named = staged(merged(prints, known, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return merged(docs, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, **settings) -> DataFrame:
@@ -217,10 +223,10 @@ def one_of_each(documents: DataFrame, **settings) -> DataFrame:
     table = staged(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
     narrow = table.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text")
     prints_of = staged(fingerprints(narrow.select(F.col("row").alias("doc_id"), "text"), settings.get("shingle", SHINGLE), settings.get("seed", SEED)), "fingerprints")
-    named = narrow.select("row", "id", F.xxhash64("text").alias("tie")).join(prints_of.select(F.col("doc_id").alias("row"), "fp"), "row")
+    named = merged(narrow.select("row", "id", F.xxhash64("text").alias("tie")), prints_of.select(F.col("doc_id").alias("row"), "fp"), "row")
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tie", "row")
     prints = staged(named.groupBy("fp").agg(F.min(order).alias("least")), "prints")
     label = components(links(prints, settings.get("radius", RADIUS), settings.get("block", BLOCK)))
-    group = staged(prints.join(label, prints["fp"] == label["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least"), "groups")
+    group = staged(merged(prints, label.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least"), "groups")
     stay = group.groupBy("root").agg(F.min("least")["row"].alias(row)).select(row)
-    return table.join(stay, row, "left_semi").select(*documents.columns)
+    return merged(table, stay, row, "left_semi").select(*documents.columns)

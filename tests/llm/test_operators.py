@@ -448,6 +448,21 @@ def test_chain_of_links_is_one_component(spark):
     assert sorted(map(len, roots.values())) == [2, 501]
 
 
+def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch):
+    plans, stage = [], simhash.staged
+
+    def told(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, *rest)
+
+    monkeypatch.setattr(simhash, "staged", told)
+    docs = documents(spark, [(i, prose(i % 9, 30)) for i in range(40)])
+    out = [simhash.near_duplicates(docs), simhash.one_of_each(docs)]
+    assert [df.count() for df in out] == [40, 9]
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in out]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
