@@ -6,13 +6,21 @@ two running sums, along rows and then along columns, give how many boxes cover e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.choices import let
 
 GRID, SOFT, REACH = 64, 4, 3  # cells on either side; cells of a soft cell's side; places on either side of a mean
+PAGES = 64  # pages that a task measures at a time
+MEASURES = ["row_x", "row_y", "col_x", "col_y", "low", "high", "source", "output"]
 #: The weights of the scores.
 WEIGHTS = {"row_score": 0.25, "occupancy_score": 0.20, "column_score": 0.10, "bbox_score": 0.05, "density_score": 0.05}
 
@@ -38,40 +46,62 @@ def profile_similarity(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(some)
 
 
-def covered(boxes: DataFrame, by: list[str], width: float, height: float, grid: int = GRID) -> DataFrame:
-    """by, row, col and cover of every cell of a page's grid, for boxes with left, top, right and bottom."""
+def _marks(boxes: DataFrame, by: list[str], width: float, height: float, grid: int) -> DataFrame:
+    """by, row, col and n: the marks at the corners of the cells that boxes with left, top, right and bottom cover."""
     cell = lambda c, size, up: F.least(F.greatest((F.ceil(F.col(c) * grid / size) if up else F.floor(F.col(c) * grid / size)).cast("int"), F.lit(0)), F.lit(grid))
     spans = boxes.select(*by, cell("left", width, False).alias("c0"), cell("right", width, True).alias("c1"), cell("top", height, False).alias("r0"), cell("bottom", height, True).alias("r1"))
     corner = lambda r, c, n: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(n).alias("n"))
     marks = spans.select(*by, F.explode(F.array(corner("r0", "c0", 1), corner("r0", "c1", -1), corner("r1", "c0", -1), corner("r1", "c1", 1))).alias("m"))
-    marks = marks.groupBy(*by, "m.row", "m.col").agg(F.sum("m.n").alias("n"))
+    return marks.groupBy(*by, "m.row", "m.col").agg(F.sum("m.n").alias("n"))
+
+
+def covered(boxes: DataFrame, by: list[str], width: float, height: float, grid: int = GRID) -> DataFrame:
+    """by, row, col and cover of every cell of a page's grid, for boxes with left, top, right and bottom."""
+    marks = _marks(boxes, by, width, height, grid)
     cells = boxes.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("row")).select(*by, "row", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("col"))
     every = cells.join(marks, [*by, "row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     along = F.sum("n").over(W.partitionBy(*by, "row").orderBy("col"))
     return every.withColumn("n", along).withColumn("cover", F.sum("n").over(W.partitionBy(*by, "col").orderBy("row"))).drop("n")
 
 
+def _measured(by: int, grid: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages with their marks: smoothed profiles of both sides' ink along rows and columns, the lesser and greater ink of soft cells, and the ink of each side."""
+    soft, reach = np.arange(0, grid, SOFT), np.arange(grid)
+    low, high = np.maximum(reach - REACH, 0), np.minimum(reach + REACH + 1, grid)
+    for batch in batches:
+        for i in range(0, batch.num_rows, PAGES):
+            part = batch.slice(i, PAGES)
+            marks, n = part.column("marks"), part.num_rows
+            side, row, col, count = (x.to_numpy(zero_copy_only=False) for x in marks.flatten().flatten())
+            cover = np.zeros((n, 2, grid + 1, grid + 1), np.int64)
+            np.add.at(cover, (np.repeat(np.arange(n), marks.value_lengths().to_numpy()), side, row, col), count)
+            ink = (cover.cumsum(2).cumsum(3)[:, :, :grid, :grid] > 0).astype(np.int64)
+            out = part.columns[:by]
+            for axis in (3, 2):
+                sums = np.concatenate((np.zeros((n, 2, 1), np.int64), ink.sum(axis).cumsum(2)), axis=2)
+                smooth = (sums[:, :, high] - sums[:, :, low]) / float(2 * REACH + 1)
+                out += [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * grid), pa.array(smooth[:, k].ravel())) for k in (0, 1)]
+            cells = np.add.reduceat(np.add.reduceat(ink, soft, axis=2), soft, axis=3) / (SOFT * SOFT)
+            for x in (cells.min(1), cells.max(1), cells[:, 0], cells[:, 1]):
+                out.append(pa.array(x.sum((1, 2))))
+            yield pa.RecordBatch.from_arrays(out, [*part.schema.names[:by], *MEASURES])
+
+
 def layout_scores(boxes: DataFrame, by: list[str], width: float, height: float, grid: int = GRID) -> DataFrame:
     """by and the scores of each page, of boxes with side (source or output), left, top, right and bottom.
 
     Scores are shares; a page without ink on one side scores 0 where it is compared, one without any ink isn't there. ``score`` is
-    their mean by ``WEIGHTS``.
+    their mean by ``WEIGHTS``. A page travels as its summed marks, at most (grid + 1) squared a side; cells are no rows.
     """
     sides = ["source", "output"]
-    ink = covered(boxes, [*by, "side"], width, height, grid).withColumn("ink", (F.col("cover") > 0).cast("double"))
-    of = lambda side, c: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0.0))
-    cells = ink.groupBy(*by, F.floor(F.col("row") / SOFT).alias("row"), F.floor(F.col("col") / SOFT).alias("col")).agg(*[(of(s, "ink") / (SOFT * SOFT)).alias(s) for s in sides])
-    low, high = F.sum(F.least(*sides)), F.sum(F.greatest(*sides))
-    occupancy = cells.groupBy(*by).agg(F.when(high > 1e-6, low / high).otherwise(F.lit(1.0)).alias("occupancy_score"), *[(F.sum(s) * SOFT * SOFT).alias(s) for s in sides])
-    fewer, more = F.least(*sides), F.greatest(*sides)
-    occupancy = occupancy.withColumn("density_score", F.when(more > 0, fewer / more).otherwise(F.lit(1.0))).drop(*sides)
-    out = occupancy
-    for axis, name in (("row", "row_score"), ("col", "column_score")):
-        sums = ink.groupBy(*by, axis).agg(*[of(s, "ink").alias(s) for s in sides])
-        near = W.partitionBy(*by).orderBy(axis).rowsBetween(-REACH, REACH)
-        smooth = sums.select(*by, axis, *[(F.sum(s).over(near) / float(2 * REACH + 1)).alias(s) for s in sides])
-        listed = _listed(smooth, by, axis, sides)
-        out = out.join(listed.select(*by, profile_similarity(F.col("source"), F.col("output")).alias(name)), by)
+    marks = _marks(boxes.where(F.col("side").isin(*sides)), [*by, "side"], width, height, grid)
+    mark = F.struct((F.col("side") == "output").cast("int").alias("side"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "n")
+    pages = marks.groupBy(*by).agg(F.collect_list(mark).alias("marks"))
+    schema = T.StructType([*pages.schema.fields[: len(by)], *[T.StructField(c, T.ArrayType(T.DoubleType()) if c[-1] in "xy" else T.DoubleType()) for c in MEASURES]])
+    out = pages.mapInArrow(partial(_measured, len(by), grid), schema)
+    area = [F.col(c) * SOFT * SOFT for c in sides]
+    density = F.when(F.greatest(*area) > 0, F.least(*area) / F.greatest(*area)).otherwise(F.lit(1.0))
+    out = out.select(*by, F.when(F.col("high") > 1e-6, F.col("low") / F.col("high")).otherwise(F.lit(1.0)).alias("occupancy_score"), density.alias("density_score"), *[profile_similarity(F.col(f"{c}_x"), F.col(f"{c}_y")).alias(f"{name}_score") for c, name in (("row", "row"), ("col", "column"))])
     edge = lambda f, c, side: f(F.when(F.col("side") == side, F.col(c)))
     ends = boxes.groupBy(*by).agg(*[edge(f, c, s).alias(f"{s}_{c}") for s in sides for c, f in (("left", F.min), ("top", F.min), ("right", F.max), ("bottom", F.max))])
     away = sum((F.abs(F.col(f"source_{c}") - F.col(f"output_{c}")) / max(1.0, size) for c, size in (("left", width), ("top", height), ("right", width), ("bottom", height))), F.lit(0.0)) / 4
@@ -79,8 +109,3 @@ def layout_scores(boxes: DataFrame, by: list[str], width: float, height: float,
     score = sum((F.col(c) * weight for c, weight in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
     return out.select(*by, *WEIGHTS, score.alias("score"))
 
-
-def _listed(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Columns as arrays in order."""
-    every = F.sort_array(F.collect_list(F.struct(order, *columns)))
-    return rows.groupBy(*by).agg(every.alias("rows")).select(*by, *[F.col("rows")[c].alias(c) for c in columns])
