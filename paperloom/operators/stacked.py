@@ -3,7 +3,8 @@
 Rows (by, pos, text) go through seven steps in a fixed order. Each of the row steps classifies every row by windows over its
 neighbours and works out what it would become together with the row before, or with the next ones; where such matches
 overlap, the first wins. That choice is made within islands: runs of rows that matches connect, which are a few rows
-long whatever a document's length is. Rows outside islands stay as they are and aren't grouped.
+long whatever a document's length is. A row outside islands is one of its own and stays as it is. Each step reads what the
+former one gives once, and all of them work on the one exchange by document.
 """
 
 from __future__ import annotations
@@ -68,10 +69,9 @@ def merged(rows: DataFrame, by: list[str], back: Column | None, ahead: Column, w
     reached = F.max(F.col("_ahead").isNotNull().cast("int")).over(w.rowsBetween(1 - width, -1)) if width > 1 else F.lit(0)
     tied = F.col("_back").isNotNull() | F.col("_gone") | F.coalesce(F.lag("_gone").over(w), F.lit(False)) | (F.coalesce(reached, F.lit(0)) > 0)
     told = told.withColumn("_tied", F.coalesce(tied, F.lit(False)))
-    told = told.withColumns({"_island": F.sum((~F.col("_tied")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)), "_next": F.coalesce(F.lead("_tied").over(w), F.lit(False))})
-    alone = ~F.col("_tied") & ~F.col("_next")
-    item = F.struct("pos", "text", "_back", "_ahead", "_gone")
-    islands = told.where(~alone).groupBy(*by, "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    told = told.withColumn("_island", F.sum((~F.col("_tied")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    item = F.struct("pos", "text", "_back", "_ahead", "_gone", "_tied")
+    islands = told.groupBy(*by, "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.array().cast(f"array<{_OUT}>").alias("out"), F.lit(0).alias("skip"), F.lit(False).alias("free"))
     as_row = lambda pos, said: F.struct(pos.alias("pos"), said.alias("text")).cast(_OUT)
 
@@ -87,8 +87,10 @@ def merged(rows: DataFrame, by: list[str], back: Column | None, ahead: Column, w
         free = F.when(state["skip"] > 0, F.lit(False)).when(x["_gone"], state["free"]).otherwise(~back_now & x["_ahead"].isNull())
         return F.struct(out.alias("out"), skip.alias("skip"), free.alias("free"))
 
-    done = islands.select(*by, F.explode(F.aggregate("items", start, step)["out"]).alias("row")).select(*by, "row.pos", "row.text")
-    return told.where(alone).select(*by, "pos", "text").unionByName(done)
+    first = F.col("items")[0]
+    alone = (F.size("items") == 1) & ~first["_tied"]
+    rows = F.when(alone, F.array(as_row(first["pos"], first["text"]))).otherwise(F.aggregate("items", start, step)["out"])
+    return islands.select(*by, F.explode(rows).alias("row")).select(*by, "row.pos", "row.text")
 
 
 def _neighbours(rows: DataFrame, by: list[str]) -> tuple[DataFrame, dict[str, Column]]:

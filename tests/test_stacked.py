@@ -83,3 +83,11 @@ def test_the_first_of_overlapping_matches_wins(spark, seed):
         return stacked.merged(rows, by, back, ahead, 2, gone)
 
     assert run(spark, texts, step) == ["\n".join(scan(t.split("\n"))) for t in texts]
+
+
+def test_steps_share_one_exchange(spark):
+    rows = spark.createDataFrame([(1, 0, "y=□2"), (1, 1, "3"), (2, 0, "x")], "doc int, pos int, text string")
+    out = stacked.repaired(rows, ["doc"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Union" not in plan
+    assert {(r.doc, r.pos): r.text for r in out.collect()} == {(1, 0): "y=\\frac{3}{2}", (2, 0): "x"}
