@@ -7,8 +7,8 @@ import random
 
 import pytest
 
+from paperloom import catalog
 from paperloom.operators import audit
-from paperloom.registry import QUERIES
 
 
 def grams(t, n):
@@ -56,5 +56,5 @@ def test_documents_far_apart_meet(spark, tmp_path):
     t = "".join(random.Random(1).choice("abcdefgh ") for _ in range(700))
     rows = [(3, t, "en"), (4000, t + "x", "en"), (9000, t, "en"), (9001, t, "de"), (12, "other words", "en"), (5, None, "en"), (6, t, None)]
     spark.createDataFrame([(i, x, lang, "s", 1) for i, x, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.lang, r.a, r.b, r.copy) for r in QUERIES["JOIN_14_equal_pages"](spark, str(tmp_path)).collect()}
+    got = {(r.lang, r.a, r.b, r.copy) for r in catalog.queries()["JOIN_14_equal_pages"](spark, str(tmp_path)).collect()}
     assert got == {("en", 3, 4000, False), ("en", 3, 9000, True)}
