@@ -51,12 +51,18 @@ def cleaned(c: Column) -> Column:
 
 
 #: Characters that are shown twice as wide as a letter, beyond U+00FF and no white space.
-WIDE = r"[^\x{00}-\x{FF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The range comes first: most characters are outside it, and no other is looked up.
+WIDE = r"[\x{100}-\x{10FFFF}&&[^\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+
+
+def with_line_feeds(c: Column) -> Column:
+    """Line ends as LF; texts that have no others are only searched for bytes."""
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def _doubled(c: Column) -> Column:
     """A text in which each wide character is followed by one more, so that lengths are widths."""
-    return F.regexp_replace(c, WIDE, "$0\x01")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(c, WIDE, "$0\x01"))
 
 
 def visual_units(c: Column) -> Column:
@@ -67,7 +73,7 @@ def visual_units(c: Column) -> Column:
 def wrapped_lines(c: Column, limit: int | Column) -> Column:
     """Lines that a text takes at a width: each of its lines takes at least one."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    lines = F.split(_doubled(F.regexp_replace(c, "\r\n?", "\n")), "\n")
+    lines = F.split(_doubled(with_line_feeds(c)), "\n")
     return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.ceil(F.length(x) / limit)).cast("long"))
 
 

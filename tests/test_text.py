@@ -138,3 +138,19 @@ def test_pairs_among_lists_of_choices():
     assert T.answer_pairs("1 ③ 2 ① 3 ④") == {"1": "③", "2": "①", "3": "④"}
     assert T.answer_pairs("보기 ① 10 ② 20 ③ 30\n7. ④") == {"7": "④"}
     assert T.answer_pairs("3 ❷") == {}
+
+
+def test_loose_keys_are_worked_out_once(spark):
+    from paperloom import catalog
+
+    plan = catalog.queries()["DED_5_loose_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("미적분") == 1
+
+
+def test_widths_of_odd_lines(spark):
+    texts = ["", "a\r\nb\rc\n", "\r\r\n\n", "가" * 30 + "\r" + "é" * 60, "x" * 100, "😀　 " * 20]
+    units = lambda t: sum(2 if ord(c) > 255 and not c.isspace() else 1 for c in t)
+    want = [sum(max(1, -(-units(x) // 48)) for x in t.replace("\r\n", "\n").replace("\r", "\n").split("\n")) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = rows.select(X.wrapped_lines(X.text("t"), 48).alias("n"), X.visual_units(X.text("t")).alias("u")).collect()
+    assert [(r.n, r.u) for r in got] == [(w, units(t)) for w, t in zip(want, texts, strict=True)]
