@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import WS, ascii_fold, casefolded, collapsed, like, text
+from ..functions.choices import let
+from ..functions.text import WS, ascii_fold, casefolded, collapsed, like, text, with_line_feeds
 from ..session import staged
 
 SEARCHED = ("title", "stem", "source_name", "number", "answer")
@@ -235,10 +236,10 @@ def loose_key(number: Column, stem: Column) -> Column:
     """A key that survives drifting choices, pictures and forms: letters and digits up to the score, or of the first six lines,
     without the question's number and the names of forms; 24 of them at least, else it is empty."""
     whole = text(stem)
-    scored = F.regexp_extract(whole, rf"(?s)^(.*?{SCORE})", 1)
-    head = F.when(scored != "", scored).otherwise(F.array_join(F.slice(F.split(whole, "\r\n|[\n\r]"), 1, 6), "\n"))
+    scored = F.when(F.contains(whole, F.lit("점")), F.regexp_extract(whole, rf"(?s)^(.*?{SCORE})", 1)).otherwise("")
+    head = let(scored, lambda x: F.when(x != "", x).otherwise(F.substring_index(with_line_feeds(whole), "\n", 6)))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"^\s*\d{1,3}\s*[.)]\s*", ""), FORMS, ""), r"[^0-9A-Za-z가-힣α-ωΑ-Ω]+", "")
-    return F.when(F.length(bare) < 24, "").otherwise(F.concat(F.trim(text(number)), F.lit(":"), F.substring(bare, 1, 180)))
+    return let(bare, lambda x: F.when(F.length(x) < 24, "").otherwise(F.concat(F.trim(text(number)), F.lit(":"), F.substring(x, 1, 180))))
 
 
 def safe_name(name: Column, most: int = 80) -> Column:

@@ -20,7 +20,7 @@ _LOOSE = f"regexp_replace(regexp_replace(regexp_replace({_HEAD}, '^\\s*\\d{{1,3}
 
 @query("DED_5_loose_keys", f"SELECT k AS key, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, CASE WHEN length(b) < 24 THEN '' ELSE lang || ':' || substr(b, 1, 180) END AS k FROM (SELECT doc_id, lang, {_LOOSE} AS b FROM (SELECT doc_id, lang, {_STEM} AS t FROM documents))) WHERE k <> '' GROUP BY k")
 def loose_keys(spark, d):
-    k = table(spark, d, "documents").select("doc_id", bank.loose_key(F.col("lang"), F.expr(_STEM)).alias("key"))
+    k = table(spark, d, "documents").select("doc_id", F.explode(F.array(bank.loose_key(F.col("lang"), F.expr(_STEM)))).alias("key"))  # behind explode no filter works a key out again
     return k.where("key <> ''").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
