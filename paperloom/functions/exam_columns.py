@@ -102,7 +102,7 @@ def opens_key(c: Column) -> Column:
 
 def key_pairs(c: Column) -> Column:
     """number and value of each answer that a text tells, the first for a number; lists of numeric choices tell none."""
-    bare = F.regexp_replace(text(c), rf"(?<![0-9{T.MARKS}]\s{{0,40}}){T.CHOICE_LIST}", "|")
-    number = F.transform(F.regexp_extract_all(bare, F.lit(T.PAIR), F.lit(1)), lambda n: n.cast("int").cast("string"))
-    pairs = F.arrays_zip(number.alias("number"), F.regexp_extract_all(bare, F.lit(T.PAIR), F.lit(2)).alias("value"))
+    bare = F.regexp_replace(text(c), rf"(?=[{T.MARKS}])(?<![0-9{T.MARKS}]\s{{0,40}}){T.CHOICE_LIST}", "|")  # the look behind is costly: only at marks
+    said = F.regexp_extract_all(bare, F.lit(rf"(?=[0-9]){T.PAIR}"), F.lit(0))
+    pairs = F.transform(said, lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("int").cast("string").alias("number"), F.right(x, F.lit(1)).alias("value")))
     return let(pairs, lambda p: F.filter(p, lambda x, i: F.array_position(p["number"], x["number"]) == i + 1))
