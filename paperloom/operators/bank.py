@@ -242,15 +242,34 @@ def loose_key(number: Column, stem: Column) -> Column:
     return let(bare, lambda x: F.when(F.length(x) < 24, "").otherwise(F.concat(F.trim(text(number)), F.lit(":"), F.substring(x, 1, 180))))
 
 
+#: Characters that names keep, ASCII ones each by itself, which Java looks up in one table.
+NAMES = r"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._\-가-힣"
+#: Head of a text that is tried for a name, in lengths of the name.
+HEAD = 3
+
+
+def _telling(whole: Column, most: int) -> Column:
+    """A text's head where it surely tells the first ``most`` characters of the text's name, else the whole text.
+
+    A head ends before an ASCII character, which composes with none before it: composed, the head still begins the composed
+    text, and its name begins the text's name, as a run that goes on stays one line. A run of others can compose with the one
+    character before it, so a head's name has at least as many characters as the head keeps, less its runs.
+    """
+    head = F.regexp_extract(F.substring(whole, 1, HEAD * most), r"(?s)^(.*)[\x00-\x7F]", 1)
+    runs = F.regexp_replace(head, f"[^{NAMES}]+", "\n")
+    sure = let(runs, lambda r: 2 * F.length(F.replace(r, F.lit("\n"), F.lit(""))) - F.length(r))
+    return F.when(sure >= most, head).otherwise(whole)
+
+
 def safe_name(name: Column, most: int = 80) -> Column:
     """A file name of ASCII letters, digits, Hangul, dots, lines and dashes, composed first; runs of others become one line."""
-    return F.substring(F.regexp_replace(composed(text(name)), r"[^0-9A-Za-z가-힣._-]+", "_"), 1, most)
+    return F.substring(F.regexp_replace(composed(_telling(text(name), most)), f"[^{NAMES}]+", "_"), 1, most)
 
 
 def upload_name(path: Column, most: int = 120) -> Column:
     """The name of an uploaded file, which may have blanks; ``upload`` if it has none."""
-    name = F.trim(composed(F.substring_index(F.replace(text(path), F.lit("\\"), F.lit("/")), "/", -1)))
-    return F.substring(F.regexp_replace(F.when(name == "", "upload").otherwise(name), r"[^0-9A-Za-z가-힣._ -]+", "_"), 1, most)
+    name = composed(_telling(F.trim(F.substring_index(F.replace(text(path), F.lit("\\"), F.lit("/")), "/", -1)), most))
+    return F.substring(F.regexp_replace(F.when(name == "", "upload").otherwise(name), f"[^{NAMES} ]+", "_"), 1, most)
 
 
 @F.arrow_udf(StringType())

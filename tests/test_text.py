@@ -154,3 +154,25 @@ def test_widths_of_odd_lines(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     got = rows.select(X.wrapped_lines(X.text("t"), 48).alias("n"), X.visual_units(X.text("t")).alias("u")).collect()
     assert [(r.n, r.u) for r in got] == [(w, units(t)) for w, t in zip(want, texts, strict=True)]
+
+
+def test_names_from_heads_of_long_texts(spark):
+    import random
+    import re
+    import unicodedata
+
+    from paperloom.operators import bank
+
+    deal = random.Random(9)
+    kinds = ["ab.c-_ 9", "ae\u0301\u0323o ", "\u1112\u1161\u11ab가각 a", "가\u11a8b", "  ?!\t\n", "漢字 x", "a/ \\b", "\u212a\u2126\u0958z", "a\u0345\u0301/é"]
+    texts = ["", " ", "/", "a" * 79 + "e" + "\u0301" * 900 + "b", "a" + "\u0301" * 900 + "b" * 200, "e\u0301" * 500, " " * 2000 + "name", "x " * 60 + "\u1112\u1161\u11ab" * 300, "한글 " * 900, "?" * 999 + "/" + " " * 999 + "\u0301x" * 200]
+    texts += ["".join(deal.choice(deal.choice(kinds)) for _ in range(n)) for n in (60, 200, 250, 400, 900) for _ in range(20)]
+    texts += ["".join(deal.choice(kind) for _ in range(n)) for n in (250, 700) for kind in kinds for _ in range(5)]
+    names = r"[^0-9A-Za-z가-힣._-]+"
+    composed = lambda t: unicodedata.normalize("NFC", t)
+    upload = lambda t: composed(re.split(r"[/\\]", t)[-1]).strip(" ") or "upload"
+    want = [(re.sub(names, "_", composed(t))[:80], re.sub(names.replace("-]", " -]"), "_", upload(t))[:120]) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [(r.name, r.upload) for r in rows.select(bank.safe_name(F.col("t")).alias("name"), bank.upload_name(F.col("t")).alias("upload")).collect()] == want
+    long = spark.range(1).select(F.octet_length(bank._telling(F.repeat(F.lit("word and é "), 100000), 80)).alias("n")).first()
+    assert long.n <= 4 * 3 * 80  # no more is composed
