@@ -80,12 +80,11 @@ def _any(*conditions: Column) -> Column:
     return out
 
 
-def numbering_issues(items: DataFrame, mode: str = "preserve", start: int = 1, duplicates_confirmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """Issues of selections (pos, number, reason; one selection for each value of ``by``): what keeps them from being numbered."""
-    number = stripped(text(F.col("number").cast("string")))
-    times = F.count(F.lit(1)).over(W.partitionBy(*by, number))
-    place = F.row_number().over(W.partitionBy(*by).orderBy("pos"))
-    marked = items.withColumns({"_number": number, "_times": times, "position": place})
+def numbering_issues(items: DataFrame, mode: str = "preserve", start: int = 1, duplicates_confirmed: bool = False, by: tuple[str, ...] = (), order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Issues of selections (number, reason, in the order of ``order``; one selection for each value of ``by``): what keeps them from being numbered."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    times = F.count(F.lit(1)).over(W.partitionBy(*by, "_number"))  # a column, or its text would be worked out and sorted twice
+    marked = items.withColumn("_number", stripped(text(F.col("number").cast("string")))).withColumns({"position": place, "_times": times})
     preserve = F.lit(mode == "preserve")
     issue = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))

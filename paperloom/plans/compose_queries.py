@@ -20,12 +20,24 @@ def lines(spark, d) -> DataFrame:
 _POS = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)"
 
 
+_ORDER = ("line", "id", "l_suppkey", "l_extendedprice", "l_shipdate")
+#: Rows that a task of the line items sorts: more of them are more tasks, not larger ones.
+SORTED = 1_000_000
+
+
+def ordered(spark, d) -> DataFrame:
+    """Line items with the columns of their order. Keys have their final names before the exchange, so later steps need no other."""
+    li = table(spark, d, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("sel"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("id"), *_ORDER[2:], F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("long").alias("quantity"))
+    tasks = -(-li.count() // SORTED)  # counted in the file's footers
+    return rows.repartition(tasks, "sel") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def numbered(spark, d) -> DataFrame:
     from pyspark.sql import Window as W
 
-    li = table(spark, d, "lineitem")
-    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).cast("long")
-    return li.select(F.col("l_orderkey").alias("sel"), pos.alias("pos"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("long").alias("quantity"))
+    pos = F.row_number().over(W.partitionBy("sel").orderBy(*_ORDER)).cast("long")
+    return ordered(spark, d).withColumn("pos", pos).select("sel", "pos", F.col("line").alias("number"), "id", "flag", "quantity")
 
 
 _NUM = f"SELECT l_orderkey AS sel, {_POS} AS pos, l_linenumber AS number, l_partkey AS id, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem"
@@ -63,10 +75,10 @@ def unsupported(spark, d):
 
 @query("CMP_3_numbering_issues", f"WITH n AS ({_NUM}), t AS (SELECT *, count(*) OVER (PARTITION BY sel, number) AS times FROM n) SELECT sel, pos AS position, CASE WHEN flag = 'R' AND quantity > 40 THEN '' ELSE CAST(number AS VARCHAR) END AS original_number, CASE WHEN flag = 'A' AND quantity < 3 THEN 'group' WHEN flag = 'R' AND quantity > 40 THEN 'missing_original_number' ELSE 'duplicate_original_number' END AS issue FROM (SELECT *, count(*) OVER (PARTITION BY sel, CASE WHEN flag = 'R' AND quantity > 40 THEN '' ELSE CAST(number AS VARCHAR) END) AS k FROM t) WHERE (flag = 'A' AND quantity < 3) OR (flag = 'R' AND quantity > 40) OR k > 1")
 def issues(spark, d):
-    n = numbered(spark, d)
+    n = ordered(spark, d)
     blank = (F.col("flag") == "R") & (F.col("quantity") > 40)
-    n = n.withColumns({"number": F.when(blank, "").otherwise(F.col("number").cast("string")), "reason": F.when((F.col("flag") == "A") & (F.col("quantity") < 3), "group")})
-    return C.numbering_issues(n, by=("sel",)).withColumn("position", F.col("position").cast("long"))
+    n = n.withColumns({"number": F.when(blank, "").otherwise(F.col("line").cast("string")), "reason": F.when((F.col("flag") == "A") & (F.col("quantity") < 3), "group")})
+    return C.numbering_issues(n, by=("sel",), order=_ORDER).withColumn("position", F.col("position").cast("long"))
 
 
 @query("AGG_4_duplicate_numbers", f"SELECT sel, number, count(*) AS times FROM ({_NUM}) GROUP BY sel, number HAVING count(*) > 1")

@@ -120,6 +120,20 @@ def test_numbering_limits(spark):
     assert [r.issue for r in compose.numbering_issues(items, "sequential", 998).orderBy("position").collect()] == ["number_range_exceeded", "group"]
 
 
+def test_numbering_is_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    import re
+
+    from paperloom.plans import compose_queries
+
+    plan = lambda: QUERIES["CMP_3_numbering_issues"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    rows = QUERIES["CMP_3_numbering_issues"](spark, DATA).collect()
+    assert plan().count("Exchange ") == 1 and plan().count("Sort ") == 2
+    monkeypatch.setattr(compose_queries, "SORTED", 500, raising=False)
+    tasks = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert re.findall(r"Exchange hashpartitioning\(sel#\d+L?, (\d+)\)", plan()) == [str(tasks)]
+    assert sorted(QUERIES["CMP_3_numbering_issues"](spark, DATA).collect()) == sorted(rows)
+
+
 def test_greedy_geometry(spark):
     one = spark.range(1)
     box, band, segment = "array<struct<left:double,top:double,right:double,bottom:double>>", "array<struct<top:double,bottom:double>>", "array<struct<axis:double,start:double,end:double>>"
