@@ -9,6 +9,7 @@ import pytest
 
 from paperloom import catalog
 from paperloom.operators import audit
+from paperloom.session import staged
 
 
 def grams(t, n):
@@ -58,3 +59,20 @@ def test_documents_far_apart_meet(spark, tmp_path):
     spark.createDataFrame([(i, x, lang, "s", 1) for i, x, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.lang, r.a, r.b, r.copy) for r in catalog.queries()["JOIN_14_equal_pages"](spark, str(tmp_path)).collect()}
     assert got == {("en", 3, 4000, False), ("en", 3, 9000, True)}
+
+
+def test_only_texts_of_pairs_move(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    for _ in range(12):  # texts with eight others each that are like them, but not enough
+        t = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1200))
+        for _ in range(9):
+            u = list(t)
+            for at in rng.sample(range(len(u)), 20):
+                u[at] = rng.choice("qrst")
+            rows.append((1, len(rows), "".join(u)))
+    rows += [(1, 500, rows[7][2] + "x"), (1, 501, rows[7][2]), (1, 502, rows[7][2])]
+    kept = {}
+    monkeypatch.setattr(audit, "staged", lambda df, name, *more: kept.setdefault(name, staged(df, name, *more)))
+    got = {(r.a, r.b, r.copy) for r in audit.near_equal_pages(spark.createDataFrame(rows, "g int, page long, t string"), "g", "page", "t").collect()}
+    assert got == {(7, 500, False), (7, 501, True), (7, 502, True)}
+    assert max(df.count() for df in kept.values() if "text" in df.columns) == 2
